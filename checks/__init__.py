@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bands", "vector")
+MODULES = ("bands", "vector", "sampling", "aggregate")
 
 
 def load_all() -> None:

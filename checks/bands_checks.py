@@ -64,7 +64,7 @@ _NAMES = ["blue", "red"]
     "p1_select_bands",
     f"""
     WITH wanted AS (SELECT * FROM (VALUES (0, 'blue'), (1, 'red')) w(out_idx, band))
-    SELECT p.chip_id, p.platform, w.out_idx AS band_idx, p.px, round(p.v, 6) AS v, r.mean, r.std
+    SELECT p.chip_id, p.platform, CAST(w.out_idx AS BIGINT) AS band_idx, p.px, round(p.v, 6) AS v, r.mean, r.std
     FROM {PIX} p JOIN {REG} r ON r.platform = p.platform AND r.band_idx = p.band_idx
     JOIN wanted w ON w.band = r.band
     """,
@@ -72,7 +72,7 @@ _NAMES = ["blue", "red"]
 def _(t):
     chips = bands.select_bands(s.chips(t), s.registry(t), _NAMES)
     long = s.pixel_rows(chips, ["chip_id", "platform", "mean", "std"])
-    return long.withColumn("mean", F.get("mean", "band_idx")).withColumn("std", F.get("std", "band_idx"))
+    return long.withColumn("mean", F.get("mean", F.col("band_idx").cast("int"))).withColumn("std", F.get("std", F.col("band_idx").cast("int")))
 
 
 @check(
@@ -142,10 +142,10 @@ def _(t):
         "chip_id",
         "platform",
         "band_group",
-        F.col("band_idx").cast("bigint").alias("band_idx"),
-        F.get("group_idx", "band_idx").alias("src"),
-        F.get("mean", "band_idx").alias("mean"),
-        F.get("std", "band_idx").alias("std"),
+        "band_idx",
+        F.get("group_idx", F.col("band_idx").cast("int")).alias("src"),
+        F.get("mean", F.col("band_idx").cast("int")).alias("mean"),
+        F.get("std", F.col("band_idx").cast("int")).alias("std"),
         "px",
         "v",
     )

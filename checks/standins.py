@@ -92,8 +92,12 @@ CHIPS = f"(SELECT vec_id AS chip_id, {_PLATFORM_CASE} AS platform, {_BANDS_CASE}
 def pixel_rows(df: DataFrame, keep: list[str], pixels: str = "pixels") -> DataFrame:
     """Long (band_idx, px, v) form of a chip table, for comparing."""
     bands = df.select(*keep, F.posexplode(pixels).alias("band_idx", "_band"))
-    return bands.select(*keep, "band_idx", F.posexplode("_band").alias("px", "v")).withColumn(
-        "v", F.round(F.col("v").cast("double"), 6)
+    cells = bands.select(*keep, "band_idx", F.posexplode("_band").alias("px", "v"))
+    return cells.select(
+        *keep,
+        F.col("band_idx").cast("bigint").alias("band_idx"),
+        F.col("px").cast("bigint").alias("px"),
+        F.round(F.col("v").cast("double"), 6).alias("v"),
     )
 
 
