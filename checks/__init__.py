@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bands", "vector", "sampling", "aggregate")
+MODULES = ("bands", "vector", "sampling", "aggregate", "join", "tiling")
 
 
 def load_all() -> None:
