@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bands", "vector", "sampling", "aggregate", "join", "tiling")
+MODULES = ("bands", "vector", "sampling", "aggregate", "join", "tiling", "source", "learn", "stream")
 
 
 def load_all() -> None:

@@ -171,19 +171,32 @@ def knn_prefix(corpus: DataFrame, queries: DataFrame, prefix: int, k: int, **kw)
     return knn(corpus, queries, k, prefix=prefix, **kw)
 
 
-def knn_lsh(corpus: DataFrame, queries: DataFrame, radius: float, bucket_length: float, tables: int = 6, seed: int = 42) -> DataFrame:
-    """Approximate neighbours within ``radius`` by random-projection hashing (a hash-equi-join)."""
+def knn_lsh(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int,
+    radius: float,
+    bucket_length: float,
+    tables: int = 6,
+    seed: int = 42,
+    corpus_id: str = "vec_id",
+    query_id: str = "query_id",
+) -> DataFrame:
+    """Approximate k nearest rows within ``radius``: candidates share a random-projection bucket.
+
+    The candidate search is a hash equi-join between the corpus and the queries.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    left = corpus.select(F.col("vec_id").alias("neighbour_id"), array_to_vector("vec").alias("features"))
-    right = queries.select("query_id", array_to_vector("vec").alias("features"))
+    left = corpus.select(F.col(corpus_id).alias("neighbour_id"), array_to_vector("vec").alias("features"))
+    right = queries.select(F.col(query_id).alias("query_id"), array_to_vector("vec").alias("features"))
     lsh = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
     )
     pairs = lsh.fit(left).approxSimilarityJoin(left, right, radius, distCol="distance")
-    return pairs.select(
-        F.col("datasetB.query_id").alias("query_id"),
-        F.col("datasetA.neighbour_id").alias("neighbour_id"),
-        "distance",
+    found = pairs.select(
+        F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.neighbour_id").alias("neighbour_id"), "distance"
     )
+    order = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -64,9 +64,10 @@ def scan_chips(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def replace_table(df: DataFrame, name: str) -> None:
-    """Create the table or replace all of it."""
-    df.write.mode("overwrite").saveAsTable(name)
+def replace_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Create the table (at ``path``, if given) or replace all of it."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
