@@ -38,14 +38,14 @@ def _labelled(t):
 @check("v9_train_presence")
 def _(t):
     merged = random_split(_labelled(t), ["point_id", "vec_id"])
-    model = learn.train_presence(merged.filter("split = 'train'"), trees=20)
+    model = learn.train_presence(merged.filter("split = 'train'"), trees=100)
     return detected(learn.predict(model, s.embeddings(t), ["vec_id"]), ["vec_id"])
 
 
 @check("v9_presence_metrics")
 def _(t):
     merged = random_split(_labelled(t), ["point_id", "vec_id"])
-    model = learn.train_presence(merged.filter("split = 'train'"), trees=20)
+    model = learn.train_presence(merged.filter("split = 'train'"), trees=100)
     return classification_metrics(
         learn.predict(model, merged.filter("split = 'test'"), ["class"]), "class", "prediction"
     )

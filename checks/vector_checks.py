@@ -212,7 +212,7 @@ def _(t):
     series = s.embeddings(t).select(
         "vec_id", "vec", (F.col("vec_id") % 50).alias("location"), F.date_add(F.lit("2024-01-01").cast("date"), day).alias("dt")
     )
-    out = tokens.change_series(series, "location", "dt", "vec_id", F.col("dt") < F.lit("2024-01-06").cast("date"), 1.4, "week")
+    out = tokens.change_series(series, "location", "dt", "vec_id", F.col("dt") < F.lit("2024-01-06").cast("date"), 1.4)
     return out.select(
         "vec_id", "location", F.round("dist_prev", 6).alias("dist_prev"), F.round("dist_base", 6).alias("dist_base"), "shifted"
     )

@@ -91,31 +91,40 @@ def window(band: Column, w: Column, x0: Column, y0: Column, cw: Column, ch: Colu
 
 def resample_nearest(band: Column, h: Column, w: Column, h2: int, w2: int) -> Column:
     """Source cell floor(i * n / n2) for each target cell."""
-    cells = F.sequence(F.lit(0), F.lit(h2 * w2 - 1))
+    axis = lambda n, n2: F.transform(
+        F.sequence(F.lit(0), F.lit(n2 - 1)), lambda i: F.floor(i * n / F.lit(n2)).cast("int")
+    )
+    cols = axis(w, w2)
+    return F.flatten(
+        F.transform(axis(h, h2), lambda y: F.transform(cols, lambda x: F.get(band, y * w + x)))
+    )
 
-    def take(i: Column) -> Column:
-        y = F.floor(F.floor(i / w2) * h / F.lit(h2))
-        x = F.floor((i % w2) * w / F.lit(w2))
-        return F.get(band, (y * w + x).cast("int"))
 
-    return F.transform(cells, take)
+def resample_bilinear(band: Column, h: Column, w: Column, h2: int, w2: int) -> Column:
+    """Half-pixel centres, edges clamped (corners not aligned).
 
+    Neighbours and weights are worked out once per target row and column.
+    """
 
-def resample_bilinear(band: Column, h: Column, w: Column, h2: int, w2: int) -> Column:
-    """Half-pixel centres, edges clamped (corners not aligned)."""
-    cells = F.sequence(F.lit(0), F.lit(h2 * w2 - 1))
-
-    def axis(i: Column, n: Column, n2: int) -> tuple[Column, Column, Column]:
-        pos = F.greatest((i + F.lit(0.5)) * n / F.lit(float(n2)) - F.lit(0.5), F.lit(0.0))
-        low = F.least(F.floor(pos), n - 1)
-        return low, F.least(low + 1, n - 1), pos - low
-
-    def blend(i: Column) -> Column:
-        y0, y1, fy = axis(F.floor(i / w2), h, h2)
-        x0, x1, fx = axis(i % w2, w, w2)
-        at = lambda y, x: F.get(band, (y * w + x).cast("int"))
-        top = at(y0, x0) * (1 - fx) + at(y0, x1) * fx
-        low = at(y1, x0) * (1 - fx) + at(y1, x1) * fx
-        return top * (1 - fy) + low * fy
-
-    return F.transform(cells, blend)
+    def axis(n: Column, n2: int) -> Column:
+        def place(i: Column) -> Column:
+            pos = F.greatest((i + F.lit(0.5)) * n / F.lit(float(n2)) - F.lit(0.5), F.lit(0.0))
+            low = F.least(F.floor(pos).cast("int"), n - 1)
+            return F.struct(low.alias("a"), F.least(low + 1, n - 1).alias("b"), (pos - low).alias("f"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n2 - 1)), place)
+
+    cols = axis(w, w2)
+
+    def line(y: Column) -> Column:
+        top, low, fy = y["a"] * w, y["b"] * w, y["f"]
+
+        def blend(x: Column) -> Column:
+            at = lambda row, c: F.get(band, row + x[c])
+            upper = at(top, "a") * (1 - x["f"]) + at(top, "b") * x["f"]
+            lower = at(low, "a") * (1 - x["f"]) + at(low, "b") * x["f"]
+            return upper * (1 - fy) + lower * fy
+
+        return F.transform(cols, blend)
+
+    return F.flatten(F.transform(axis(h, h2), line))

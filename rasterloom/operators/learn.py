@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     LinearSVC,
@@ -16,10 +19,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@contextmanager
+def _kept(df: DataFrame):
+    """Training rows held (spilling to disk) while an estimator passes over them again and again."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def _features(df: DataFrame, vec: str = "vec") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vec).cast("array<double>")))
 
 
+def _labelled(df: DataFrame, label: str, vec: str) -> DataFrame:
+    return _features(df, vec).select("features", F.col(label).cast("double").alias("label"))
+
+
 def pca(table: DataFrame, k: int, vec: str = "vec") -> DataFrame:
     """Centred principal components as ``pc``; each loading's largest entry is positive.
 
@@ -32,7 +49,8 @@ def pca(table: DataFrame, k: int, vec: str = "vec") -> DataFrame:
         ]
     )
     ready = _features(table, vec)
-    model = steps.fit(ready)
+    with _kept(ready.select("features")) as rows:
+        model = steps.fit(rows)
     loadings = model.stages[1].pc.toArray()
     signs = [1.0 if col[abs(col).argmax()] >= 0 else -1.0 for col in loadings.T]
     flipped = F.zip_with(vector_to_array("_pc"), F.array(*[F.lit(s) for s in signs]), lambda v, s: v * s)
@@ -41,7 +59,8 @@ def pca(table: DataFrame, k: int, vec: str = "vec") -> DataFrame:
 
 def kmeans(table: DataFrame, k: int = 5, vec: str = "vec", seed: int = 42) -> DataFrame:
     ready = _features(table, vec)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(ready)
+    with _kept(ready.select("features")) as rows:
+        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
     return model.transform(ready).drop("features")
 
 
@@ -50,28 +69,29 @@ def train_presence(merged: DataFrame, label: str = "class", vec: str = "vec", tr
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="features", numTrees=trees, maxDepth=10, seed=seed
     )
-    return forest.fit(_features(merged, vec).select("features", F.col(label).cast("double").alias("label")))
+    with _kept(_labelled(merged, label, vec)) as rows:
+        return forest.fit(rows)
 
 
 def train_svm(table: DataFrame, label: str, vec: str = "vec", max_iter: int = 50):
     """One linear support-vector machine per class, on standardised inputs."""
-    ready = _features(table, vec).select("features", F.col(label).cast("double").alias("label"))
     steps = Pipeline(
         stages=[
             StandardScaler(inputCol="features", outputCol="scaled", withMean=True),
             OneVsRest(classifier=LinearSVC(maxIter=max_iter, featuresCol="scaled"), featuresCol="scaled", labelCol="label"),
         ]
     )
-    return steps.fit(ready)
+    with _kept(_labelled(table, label, vec)) as rows:
+        return steps.fit(rows)
 
 
 def train_mlp_head(table: DataFrame, label: str, classes: int, dim: int, vec: str = "vec", hidden: int = 512, seed: int = 42, max_iter: int = 50):
     """One hidden layer on class-token vectors."""
-    ready = _features(table, vec).select("features", F.col(label).cast("double").alias("label"))
     head = MultilayerPerceptronClassifier(
         layers=[dim, hidden, classes], featuresCol="features", labelCol="label", seed=seed, maxIter=max_iter
     )
-    return head.fit(ready)
+    with _kept(_labelled(table, label, vec)) as rows:
+        return head.fit(rows)
 
 
 def predict(model, table: DataFrame, keep: list[str], vec: str = "vec") -> DataFrame:

@@ -193,10 +193,9 @@ def sample_places(
 
 
 def head_per_group(files: DataFrame, by: str | list[str], order: str, k: int = 100) -> DataFrame:
-    """The first ``k`` per group; Spark limits each map task's groups before the shuffle."""
+    """The first ``k`` per group."""
     by = [by] if isinstance(by, str) else by
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    return files.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+    return top_per_group(files, by, [F.col(order)], k, [order], "_r").drop("_r")
 
 
 def sample_ids(ids: DataFrame, fraction: float, seed: int, key: list[str]) -> DataFrame:
@@ -227,9 +226,8 @@ def index_split(df: DataFrame, key: str, test: list) -> DataFrame:
 
 def random_chips_per_item(chips: DataFrame, item: str, key: list[str], k: int, seed: int | None) -> DataFrame:
     """``k`` random chips per item; the first ``k`` when no seed is given."""
-    order = [draw(seed, item, *key), *key] if seed is not None else key
-    rank = F.row_number().over(Window.partitionBy(item).orderBy(*order))
-    return chips.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+    order = [draw(seed, item, *key)] if seed is not None else []
+    return top_per_group(chips, [item], [*order, *[F.col(c) for c in key]], k, key, "_r").drop("_r")
 
 
 def shuffle(df: DataFrame, seed: int, key: list[str]) -> DataFrame:

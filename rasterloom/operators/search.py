@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rasterloom.functions.vectors import mean_vector
-from rasterloom.plans.scratch import scratch_path
+from rasterloom.plans.scratch import materialise, scratch_path
+from rasterloom.plans.skew import salted_join
 
 BLOCK_BYTES = 32 << 20  # query vectors shipped to every task at once
+BLOCK_ROWS = 4096
 STRIDE = 512  # queries multiplied with one Arrow batch at a time
 
 
@@ -87,8 +89,7 @@ def _block_search(queries, k: int, metric: str, width: int | None, types: tuple[
     return run
 
 
-def _one_block(corpus: DataFrame, block: DataFrame, k: int, metric: str, width: int | None, schema) -> DataFrame:
-    table = block.toArrow()
+def _search(corpus: DataFrame, table: pa.Table, k: int, metric: str, width: int | None, schema) -> DataFrame:
     ids = table.column(0).to_pylist()
     q = _matrix(table.column(1), width)
     if metric == "cosine":
@@ -114,10 +115,11 @@ def knn(
     """Exact k nearest corpus rows per query: (query_id, neighbour_id, distance, rank).
 
     The corpus never moves: each partition keeps its k best per query and only
-    those are shuffled. Query vectors are measured first; as long as they fit one
-    block they travel to the tasks, otherwise the corpus is scanned once per
-    block and each block's answer goes to a scratch table, so neither the driver
-    nor a task ever holds more than one block.
+    those are shuffled. Query vectors that fit one block (checked in rows and
+    bytes, in one pass) travel to the tasks. More queries than that are written
+    once, the corpus is scanned once per block of them and each block's answer
+    goes to a scratch table, so neither the driver nor a task ever holds more
+    than one block.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric}")
@@ -133,14 +135,17 @@ def knn(
     if prefix is not None:
         corpus = corpus.withColumn("vec", F.slice("vec", 1, prefix))
         queries = queries.withColumn("vec", F.slice("vec", 1, prefix))
-    size = queries.agg((F.sum(F.size("vec") * F.lit(8)) + F.count(F.lit(1)) * 64).alias("b")).first()["b"] or 0
-    blocks = -(-size // block_bytes) or 1
-    if blocks == 1:
-        return _one_block(corpus, queries, k, metric, prefix, schema)
+    few = queries.limit(BLOCK_ROWS + 1).toArrow()
+    if few.num_rows <= BLOCK_ROWS and few.nbytes <= block_bytes:
+        return _search(corpus, few, k, metric, prefix, schema)
+    queries = materialise(queries, "queries")
+    size = queries.agg(F.sum(F.size("vec") * F.lit(8) + 64).alias("b")).first()["b"]
+    blocks = 2 * -(-size // block_bytes)  # twice as many as needed, so an uneven hash still fits
     path = scratch_path(corpus.sparkSession, "knn")
-    for b in range(2 * blocks):  # twice the blocks, so an uneven hash still fits
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) == b)
-        _one_block(corpus, block, k, metric, prefix, schema).write.mode("append").parquet(path)
+    for b in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        if block.num_rows:
+            _search(corpus, block, k, metric, prefix, schema).write.mode("append").parquet(path)
     return corpus.sparkSession.read.parquet(path)
 
 
@@ -163,7 +168,7 @@ def knn_from_points(hits: DataFrame, corpus: DataFrame, k: int, corpus_id: str =
     wanted = hits.select(corpus_id).distinct()
     queries = corpus.join(wanted, corpus_id, "left_semi").withColumn("query_id", F.col(corpus_id))
     found = knn(corpus, queries, k, corpus_id=corpus_id)
-    return hits.join(found.withColumnRenamed("query_id", corpus_id), corpus_id)
+    return salted_join(hits, found.withColumnRenamed("query_id", corpus_id), [corpus_id])
 
 
 def knn_prefix(corpus: DataFrame, queries: DataFrame, prefix: int, k: int, **kw) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import vectors as v
+from rasterloom.plans.ranking import time_slices
 
 
 def vector_mean(table: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
@@ -61,26 +62,26 @@ def lerp_vectors(pairs: DataFrame, a: str, b: str, steps: int = 20) -> DataFrame
 
 
 def change_series(
-    table: DataFrame, by: str, dt: str, key: str, event: Column, threshold: float, bucket: str = "month"
+    table: DataFrame, by: str, dt: str, key: str, event: Column, threshold: float, rows_per_slice: int = 1_000_000
 ) -> DataFrame:
     """Distance of each vector to the previous date and to the location's pre-event mean.
 
-    Dates are cut into buckets. The window runs per (location, bucket); the first
-    row of a bucket finds its predecessor in a small table of bucket ends. A
-    location with any number of dates thus never sits in one task.
+    The window runs per (location, slice), where only locations beyond
+    ``rows_per_slice`` rows are cut into time slices; the first row of a slice
+    finds its predecessor in a small table of slice ends.
     """
-    rows = table.withColumn("_bucket", F.date_trunc(bucket, F.col(dt)))
-    inside = Window.partitionBy(by, "_bucket").orderBy(dt, key)
-    ends = rows.groupBy(by, "_bucket").agg(F.max_by("vec", F.struct(dt, key)).alias("_end"))
-    carried = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(by).orderBy("_bucket"))).drop("_end")
+    rows = time_slices(table, by, dt, rows_per_slice)
+    inside = Window.partitionBy(by, "_slice").orderBy(dt, key)
+    ends = rows.groupBy(by, "_slice").agg(F.max_by("vec", F.struct(dt, key)).alias("_end"))
+    carried = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(by).orderBy("_slice"))).drop("_end")
     base = table.filter(event).groupBy(by).agg(v.mean_vector("vec").alias("_base"))
     out = (
         rows.withColumn("_prev", F.lag("vec").over(inside))
-        .join(carried, [by, "_bucket"], "left")
+        .join(carried.filter(F.col("_carry").isNotNull()), [by, "_slice"], "left")
         .join(base, by, "left")
         .withColumn("_prev", F.coalesce("_prev", "_carry"))
         .withColumn("dist_prev", v.l2_distance("vec", "_prev"))
         .withColumn("dist_base", v.l2_distance("vec", "_base"))
     )
     flag = F.coalesce(F.col("dist_prev") > threshold, F.lit(False))
-    return out.withColumn("shifted", flag).drop("_bucket", "_prev", "_carry", "_base")
+    return out.withColumn("shifted", flag).drop("_slice", "_prev", "_carry", "_base")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.draws import draw
+from rasterloom.plans.scratch import materialise
 
 SLICE_DIGITS = 3  # 16**3 = 4096 slices per group
 
@@ -101,7 +102,9 @@ def top_per_group(
     """The first ``k`` rows per group in a caller-given order, ranked.
 
     A pass over ``fan`` salted sub-groups leaves at most ``fan * k`` rows per
-    group for the final window, so a hot group is never sorted in one task.
+    group for the final window, so a hot group is never sorted in one task. For
+    k up to ``spark.sql.optimizer.windowGroupLimitThreshold`` Spark also cuts
+    each map task's groups to k rows before either shuffle.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), F.lit(fan)))
     first = Window.partitionBy(*by, "_salt").orderBy(*order)
@@ -121,3 +124,30 @@ def best_row(df: DataFrame, by: list[Column | str], order: list[str], keep: list
     agg = df.groupBy(*by).agg(best)
     names = [c for c in agg.columns if c != "_best"]
     return agg.select(*names, *[F.col(f"_best.{c}").alias(c) for c in keep])
+
+
+def time_slices(df: DataFrame, by: str, dt: str, rows_per_slice: int = 1_000_000, most: int = 1024) -> DataFrame:
+    """Add ``_slice``: consecutive time ranges of a group, for groups too large for one task.
+
+    Groups up to ``rows_per_slice`` rows stay whole (slice 0). Larger ones are cut
+    at approximate time quantiles. The cuts (at most ``most`` per large group, and
+    there are at most ``rows / rows_per_slice`` large groups) are written out once,
+    so that every use of the slices sees the same ones.
+    """
+    micros = F.unix_micros(F.col(dt).cast("timestamp"))
+    large = (
+        df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_slice).select(by)
+    )
+    shares = [i / most for i in range(1, most)]
+    cuts = (
+        df.join(F.broadcast(large), by)
+        .groupBy(by)
+        .agg(F.array_distinct(F.percentile_approx(micros, shares, 100 * most)).alias("_cuts"))
+    )
+    cuts = F.broadcast(materialise(cuts, "cuts"))
+    place = F.size(F.filter("_cuts", lambda c: c < micros))
+    return (
+        df.join(cuts, by, "left")
+        .withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(place))
+        .drop("_cuts")
+    )
