@@ -47,7 +47,7 @@ def _(t):
     merged = random_split(_labelled(t), ["point_id", "vec_id"])
     model = learn.train_presence(merged.filter("split = 'train'"), trees=100)
     return classification_metrics(
-        learn.predict(model, merged.filter("split = 'test'"), ["class"]), "class", "prediction"
+        learn.predict(model, merged.filter("split = 'test'"), ["class"]), "class", "prediction", positive=1
     )
 
 

@@ -64,10 +64,15 @@ def kmeans(table: DataFrame, k: int = 5, vec: str = "vec", seed: int = 42) -> Da
     return model.transform(ready).drop("features")
 
 
-def train_presence(merged: DataFrame, label: str = "class", vec: str = "vec", trees: int = 100, seed: int = 42):
-    """Random forest on labelled vectors; returns the fitted model."""
+def train_presence(
+    merged: DataFrame, label: str = "class", vec: str = "vec", trees: int = 100, depth: int = 5, seed: int = 42
+):
+    """Random forest on labelled vectors; returns the fitted model.
+
+    More histogram memory per task lets all nodes of a level share one pass.
+    """
     forest = RandomForestClassifier(
-        labelCol="label", featuresCol="features", numTrees=trees, maxDepth=10, seed=seed
+        labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024
     )
     with _kept(_labelled(merged, label, vec)) as rows:
         return forest.fit(rows)

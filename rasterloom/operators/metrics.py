@@ -58,16 +58,26 @@ def class_metrics(df: DataFrame, label: str = "label", pred: str = "pred", by: l
     )
 
 
-def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
-    """Accuracy, support-weighted F1 and Jaccard, macro precision, recall and Dice."""
+def classification_metrics(
+    df: DataFrame, label: str = "label", pred: str = "pred", by: list[str] | None = None, positive: int | None = None
+) -> DataFrame:
+    """Accuracy, support-weighted F1 and Jaccard, macro Dice, precision and recall.
+
+    Precision and recall are those of the ``positive`` class if one is named,
+    macro averages otherwise.
+    """
     by = by or []
     per_class = class_metrics(df, label, pred, by)
     weighted = lambda c: F.sum(F.col("support") * F.col(c)) / F.sum("support")
+
+    def focus(c: str) -> Column:
+        return F.avg(c) if positive is None else F.max(F.when(F.col("cls") == positive, F.col(c)))
+
     return per_class.groupBy(*by).agg(
         F.sum("support").alias("n"),
         (F.sum("tp") / F.sum("support")).alias("accuracy"),
-        F.avg("precision").alias("precision"),
-        F.avg("recall").alias("recall"),
+        focus("precision").alias("precision"),
+        focus("recall").alias("recall"),
         weighted("f1").alias("f1_weighted"),
         weighted("jaccard").alias("jaccard_weighted"),
         F.avg("dice").alias("dice"),
