@@ -8,7 +8,6 @@ from checks import standins as s
 from checks.registry import check
 from rasterloom.operators import learn, search, spatial
 from rasterloom.operators.metrics import classification_metrics
-from rasterloom.operators.quality import detected
 from rasterloom.operators.sampling import random_split
 
 
@@ -30,25 +29,23 @@ def _(t):
 
 
 def _labelled(t):
-    """Footprints that labelled points fall into, with the point's class."""
+    """Footprints that labelled points fall into, split by (point, footprint), with their vectors."""
     hits = spatial.spatial_join(s.footprints(t), s.points(t)).select("vec_id", "point_id", "class")
-    return hits.join(s.embeddings(t), "vec_id")
+    return random_split(hits, ["point_id", "vec_id"]).join(s.embeddings(t), "vec_id")
 
 
 @check("v9_train_presence")
 def _(t):
-    merged = random_split(_labelled(t), ["point_id", "vec_id"])
-    model = learn.train_presence(merged.filter("split = 'train'"), trees=100)
-    return detected(learn.predict(model, s.embeddings(t), ["vec_id"]), ["vec_id"])
+    model = learn.train_presence(_labelled(t).filter("split = 'train'"))
+    # p13 keeps the detected rows; here every prediction is shown
+    return learn.predict(model, s.embeddings(t), ["vec_id"])
 
 
 @check("v9_presence_metrics")
 def _(t):
-    merged = random_split(_labelled(t), ["point_id", "vec_id"])
-    model = learn.train_presence(merged.filter("split = 'train'"), trees=100)
-    return classification_metrics(
-        learn.predict(model, merged.filter("split = 'test'"), ["class"]), "class", "prediction", positive=1
-    )
+    model = learn.train_presence(_labelled(t).filter("split = 'train'"))
+    tested = learn.predict(model, _labelled(t).filter("split = 'test'"), ["class"])
+    return classification_metrics(tested, "class", "prediction", positive=1)
 
 
 def _three(t):

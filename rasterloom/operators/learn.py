@@ -21,8 +21,13 @@ from pyspark.sql import functions as F
 
 @contextmanager
 def _kept(df: DataFrame):
-    """Training rows held (spilling to disk) while an estimator passes over them again and again."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Training rows held (spilling to disk) while an estimator passes over them again and again.
+
+    They are spread evenly first: adaptive execution would otherwise cache them in
+    as few partitions as their bytes suggest, and training is bound by cores.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(width).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield df
     finally:
@@ -83,7 +88,12 @@ def train_svm(table: DataFrame, label: str, vec: str = "vec", max_iter: int = 50
     steps = Pipeline(
         stages=[
             StandardScaler(inputCol="features", outputCol="scaled", withMean=True),
-            OneVsRest(classifier=LinearSVC(maxIter=max_iter, featuresCol="scaled"), featuresCol="scaled", labelCol="label"),
+            OneVsRest(
+                classifier=LinearSVC(maxIter=max_iter, featuresCol="scaled"),
+                featuresCol="scaled",
+                labelCol="label",
+                parallelism=4,
+            ),
         ]
     )
     with _kept(_labelled(table, label, vec)) as rows:
