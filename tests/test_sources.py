@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators.bands import attach_band_meta
 from rasterloom.operators.embed import OnnxEncoder, PatchMeanEncoder, embed_chips
-from rasterloom.pipeline import compose
+from rasterloom.compose import compose
 from rasterloom.sources import chips, tables
 from rasterloom.sources.registry import add_sensor, sensor_registry
 
