@@ -26,7 +26,8 @@ def _kept(df: DataFrame):
     They are spread evenly first: adaptive execution would otherwise cache them in
     as few partitions as their bytes suggest, and training is bound by cores.
     """
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    width = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     df = df.repartition(width).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield df

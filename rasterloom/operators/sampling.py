@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.draws import draw, uniform
 from rasterloom.functions.geo import box, boxes_overlap
-from rasterloom.plans.ranking import best_row, draw_cut, draw_rank, top_per_group
+from rasterloom.plans.ranking import best_row, draw_cut, draw_rank, draw_within, top_per_group
 
 # Fixed values: (class, tiles drawn, from how many highest), current and previous release.
 CRITERIA_V1 = [
@@ -207,16 +207,14 @@ def sample_ids(ids: DataFrame, fraction: float, seed: int, key: list[str]) -> Da
 
 def stratified_split(chips: DataFrame, by: list[str], key: list[str], seed: int, train: float = 0.8) -> DataFrame:
     """``split`` is train for exactly ``round(n * train)`` rows of every stratum."""
-    ranked = draw_rank(chips, by, key, seed, "_rank", "_n")
-    cut = F.round(F.col("_n") * F.lit(train))
-    return ranked.withColumn("split", F.when(F.col("_rank") <= cut, "train").otherwise("val")).drop("_rank", "_n")
+    marked = draw_within(chips, by, key, seed, F.round(F.col("group_size") * F.lit(train)), "_first")
+    return marked.withColumn("split", F.when(F.col("_first"), "train").otherwise("val")).drop("_first")
 
 
 def random_split(df: DataFrame, key: list[str], seed: int = 42, test: float = 0.3) -> DataFrame:
     """``split`` is test for exactly ``ceil(n * test)`` rows."""
-    ranked = draw_rank(df, [], key, seed, "_rank", "_n")
-    cut = F.ceil(F.col("_n") * F.lit(test))
-    return ranked.withColumn("split", F.when(F.col("_rank") <= cut, "test").otherwise("train")).drop("_rank", "_n")
+    marked = draw_within(df, [], key, seed, F.ceil(F.col("group_size") * F.lit(test)), "_first")
+    return marked.withColumn("split", F.when(F.col("_first"), "test").otherwise("train")).drop("_first")
 
 
 def index_split(df: DataFrame, key: str, test: list) -> DataFrame:

@@ -51,45 +51,67 @@ def draw_rank(
     """
     sliced = _sliced(df, by, draw(seed, *key), digits)
     local = Window.partitionBy("_group", "_slice").orderBy("_draw", *key)
-    out = (
-        sliced.join(_offsets(sliced), ["_group", "_slice"])
-        .withColumn(rank, F.col("_before") + F.row_number().over(local))
-    )
+    # rank first: the offsets then join on the partitioning the window already has
+    placed = sliced.withColumn("_local", F.row_number().over(local)).drop("_draw")
+    out = placed.join(_offsets(sliced), ["_group", "_slice"]).withColumn(rank, F.col("_before") + F.col("_local"))
     if size:
         out = out.withColumn(size, F.col("_size"))
-    return out.drop("_draw", "_group", "_slice", "_here", "_before", "_size")
+    return out.drop("_local", "_group", "_slice", "_here", "_before", "_size")
 
 
-def draw_cut(
+def draw_within(
     df: DataFrame,
     by: list[str],
     key: list[str],
     seed: int | str | Column,
     quota: Column,
+    flag: str = "within",
     digits: int = SLICE_DIGITS,
 ) -> DataFrame:
-    """Keep exactly the first ``quota`` rows of each group in draw order.
+    """Flag exactly the first ``quota`` rows of each group in draw order; ``quota`` may use ``group_size``.
 
-    ``quota`` may use ``group_size``. Slices wholly beyond the quota are dropped
-    by the join, before anything is sorted.
+    Only the slice that holds a group's last row within the quota is ranked, one
+    slice in 16**digits. That row is the group's mark, and every other row is
+    compared with it. Marks (one row per group) are written out first, so Spark
+    knows their true size when it decides whether to broadcast them, and the
+    rows themselves then need no shuffle.
     """
     sliced = _sliced(df, by, draw(seed, *key), digits)
-    kept = (
-        _offsets(sliced)
-        .withColumn("group_size", F.col("_size"))
-        .withColumn("_quota", quota)
-        .filter(F.col("_before") < F.col("_quota"))
-        .select("_group", "_slice", "_before", "_quota")
+    counted = materialise(_offsets(sliced), "slices")  # counted once, used twice
+    offsets = counted.withColumn("group_size", F.col("_size")).withColumn("_quota", quota.cast("bigint"))
+    before, here, cut = F.col("_before"), F.col("_here"), F.col("_quota")
+    edge = offsets.filter((before < cut) & (cut <= before + here)).select(
+        "_group", "_slice", (cut - before).alias("_need")
     )
     local = Window.partitionBy("_group", "_slice").orderBy("_draw", *key)
+    last = (
+        sliced.join(edge, ["_group", "_slice"])
+        .withColumn("_local", F.row_number().over(local))
+        .filter(F.col("_local") == F.col("_need"))
+        .select("_group", F.struct("_draw", *key).alias("_last"))
+    )
+    groups = offsets.groupBy("_group").agg(F.max("_quota").alias("_quota"), F.max("_size").alias("_size"))
+    marks = materialise(groups.join(last, "_group", "left"), "marks")
+    inside = (
+        F.when(F.col("_quota") >= F.col("_size"), True)
+        .when(F.col("_quota") <= 0, False)
+        .otherwise(F.struct("_draw", *key) <= F.col("_last"))
+    )
     return (
-        sliced.join(kept, ["_group", "_slice"])
-        .withColumn("_rank", F.col("_before") + F.row_number().over(local))
-        .filter(F.col("_rank") <= F.col("_quota"))
-        .drop("_draw", "_group", "_slice", "_before", "_quota", "_rank")
+        sliced.join(marks, "_group")
+        .withColumn(flag, inside)
+        .drop("_draw", "_group", "_slice", "_quota", "_size", "_last")
     )
 
 
+def draw_cut(
+    df: DataFrame, by: list[str], key: list[str], seed: int | str | Column, quota: Column, digits: int = SLICE_DIGITS
+) -> DataFrame:
+    """Keep exactly the first ``quota`` rows of each group in draw order."""
+    marked = draw_within(df, by, key, seed, quota, "_within", digits)
+    return marked.filter("_within").drop("_within")
+
+
 def top_per_group(
     df: DataFrame,
     by: list[str],

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import geo
 from rasterloom.functions import pixels as px
 from rasterloom.operators import pairing, sampling, search, spatial, tokens
-from rasterloom.plans.ranking import draw_rank, top_per_group
+from rasterloom.plans.ranking import draw_rank, draw_within, top_per_group
 from rasterloom.plans.skew import salted_join
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -35,6 +35,16 @@ def test_draw_rank_keeps_null_groups(spark):
     assert draw_rank(df, ["g"], ["id"], 1).count() == 100
 
 
+@pytest.mark.parametrize("quota", [0, 1, 7, 10_000])
+@pytest.mark.parametrize("digits", [1, 3])
+def test_draw_within_equals_rank(spark, quota, digits):
+    df = skewed(spark).withColumn("platform", F.when(F.col("platform") != "g1", F.col("platform")))
+    want = draw_rank(df, ["platform"], ["chip_id"], 6, "r").filter(F.col("r") <= quota)
+    got = draw_within(df, ["platform"], ["chip_id"], 6, F.lit(quota), "w", digits)
+    assert got.count() == 3000
+    assert sorted(r[0] for r in got.filter("w").select("chip_id").collect()) == sorted(r[0] for r in want.select("chip_id").collect())
+
+
 @pytest.mark.parametrize("digits", [1, 2, 4])
 def test_slices_do_not_change_ranks(spark, digits):
     a = draw_rank(skewed(spark), ["platform"], ["chip_id"], 5, digits=digits)
