@@ -8,23 +8,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rasterloom.functions.binding import let
+
 # Fixed values of the radar conversion.
 SAR_PLATFORM = "sentinel-1-rtc"
 SAR_FLOOR = 1e-10
 
 
-def per_band(pixels: Column, fn) -> Column:
-    return F.transform(pixels, fn)
-
-
 def pick_bands(pixels: Column, bands: Column, names: list[str]) -> Column:
     """Bands in caller order; a band the chip does not have comes out NULL."""
     wanted = F.array(*[F.lit(n) for n in names])
-    return F.transform(wanted, lambda n: F.get(pixels, (F.array_position(bands, n) - 1).cast("int")))
+    return let(
+        pixels, lambda p: F.transform(wanted, lambda n: F.get(p, (F.array_position(bands, n) - 1).cast("int")))
+    )
 
 
 def pick_positions(pixels: Column, positions: Column) -> Column:
-    return F.transform(positions, lambda i: F.get(pixels, i))
+    return let(pixels, lambda p: F.transform(positions, lambda i: F.get(p, i)))
 
 
 def rgb(pixels: Column, platform: Column, rgb_idx: Column) -> Column:
@@ -70,7 +70,8 @@ def minmax_stretch(values: Column) -> Column:
     """(x - min) / (max - min); a constant array maps to zeros."""
     lo, hi = F.array_min(values), F.array_max(values)
     span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    return F.transform(values, lambda x: (x - lo) / span)
+    ends = F.struct(lo.alias("lo"), span.alias("span"))
+    return let(ends, lambda e: F.transform(values, lambda x: (x - e["lo"]) / e["span"]))
 
 
 def flip_horizontal(band: Column, h: Column, w: Column) -> Column:
@@ -94,9 +95,10 @@ def resample_nearest(band: Column, h: Column, w: Column, h2: int, w2: int) -> Co
     axis = lambda n, n2: F.transform(
         F.sequence(F.lit(0), F.lit(n2 - 1)), lambda i: F.floor(i * n / F.lit(n2)).cast("int")
     )
-    cols = axis(w, w2)
-    return F.flatten(
-        F.transform(axis(h, h2), lambda y: F.transform(cols, lambda x: F.get(band, y * w + x)))
+    rows = axis(h, h2)
+    return let(
+        axis(w, w2),
+        lambda cols: F.flatten(F.transform(rows, lambda y: F.transform(cols, lambda x: F.get(band, y * w + x)))),
     )
 
 
@@ -114,9 +116,7 @@ def resample_bilinear(band: Column, h: Column, w: Column, h2: int, w2: int) -> C
 
         return F.transform(F.sequence(F.lit(0), F.lit(n2 - 1)), place)
 
-    cols = axis(w, w2)
-
-    def line(y: Column) -> Column:
+    def line(y: Column, cols: Column) -> Column:
         top, low, fy = y["a"] * w, y["b"] * w, y["f"]
 
         def blend(x: Column) -> Column:
@@ -127,4 +127,4 @@ def resample_bilinear(band: Column, h: Column, w: Column, h2: int, w2: int) -> C
 
         return F.transform(cols, blend)
 
-    return F.flatten(F.transform(axis(h, h2), line))
+    return let(axis(w, w2), lambda cols: F.flatten(F.transform(axis(h, h2), lambda y: line(y, cols))))

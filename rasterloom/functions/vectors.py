@@ -7,6 +7,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rasterloom.functions.binding import let
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -58,12 +60,10 @@ def mean_vector(vec: Column | str) -> Column:
 
 def unravel(vec: Column | str, rows: int, cols: int, depth: int) -> Column:
     """Flat array to an array of (row, col, vals) structs; anything beyond rows*cols*depth is dropped."""
-    vec = _col(vec)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(rows * cols - 1)),
-        lambda i: F.struct(
-            F.floor(i / cols).cast("int").alias("row"),
-            (i % cols).cast("int").alias("col"),
-            F.slice(vec, i * depth + 1, depth).alias("vals"),
-        ),
-    )
+    numbers = F.sequence(F.lit(0), F.lit(rows * cols - 1))
+
+    def cell(v: Column, i: Column) -> Column:
+        row, col = F.floor(i / cols).cast("int"), (i % cols).cast("int")
+        return F.struct(row.alias("row"), col.alias("col"), F.slice(v, i * depth + 1, depth).alias("vals"))
+
+    return let(_col(vec), lambda v: F.transform(numbers, lambda i: cell(v, i)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import pixels as px
+from rasterloom.functions.binding import let
 from rasterloom.sources.registry import platform_meta
 
 # Band groups of the optical + radar stack.
@@ -85,17 +86,25 @@ def select_band_groups(
         ]
     )
     at = lambda n: (F.array_position(F.col("reg_bands"), n) - 1).cast("int")
-    picked = with_meta.withColumn("_g", F.explode(table)).withColumn(
-        "group_idx", F.filter(F.transform(F.col("_g.wanted"), at), lambda i: i >= 0)
-    )
-    return picked.filter(F.size("group_idx") > 0).select(
-        *[c for c in chips.columns if c not in ("pixels", "bands")],
-        F.col("_g.group").alias("band_group"),
-        "group_idx",
-        px.pick_positions(F.col("pixels"), F.col("group_idx")).alias("pixels"),
-        px.pick_positions(F.col("reg_mean"), F.col("group_idx")).alias("mean"),
-        px.pick_positions(F.col("reg_std"), F.col("group_idx")).alias("std"),
-    )
+    found = lambda g: F.filter(F.transform(g["wanted"], at), lambda i: i >= 0)
+
+    def piece(pixels: Column, g: Column) -> Column:
+        take = lambda arr, idx: F.transform(idx, lambda i: F.get(arr, i))
+        return let(
+            found(g),
+            lambda idx: F.struct(
+                g["group"].alias("band_group"),
+                idx.alias("group_idx"),
+                take(pixels, idx).alias("pixels"),
+                take(F.col("reg_mean"), idx).alias("mean"),
+                take(F.col("reg_std"), idx).alias("std"),
+            ),
+        )
+
+    # groups are picked inside the row, so the chip is not copied once per group
+    pieces = let(F.col("pixels"), lambda p: F.transform(table, lambda g: piece(p, g)))
+    kept = F.filter(pieces, lambda s: F.size(s["group_idx"]) > 0)
+    return with_meta.select(*[c for c in chips.columns if c not in ("pixels", "bands")], F.inline(kept))
 
 
 def sensor_summary(chips: DataFrame, registry: DataFrame) -> DataFrame:

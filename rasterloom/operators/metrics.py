@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions.binding import let
 from rasterloom.functions.vectors import cosine
 
 # Fixed values of the losses.
@@ -104,9 +105,15 @@ def regression_metrics(
 
 def _standardised(vals: Column) -> Column:
     n = F.size(vals)
-    mean = F.aggregate(vals, F.lit(0.0), lambda a, v: a + v) / n
-    var = F.aggregate(vals, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / (n - 1)
-    return F.transform(vals, lambda v: (v - mean) / F.sqrt(var + F.lit(VARIANCE_FLOOR)))
+    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
+
+    def scaled(mean: Column) -> Column:
+        spread = total(F.transform(vals, lambda v: (v - mean) * (v - mean))) / (n - 1)
+        return let(
+            F.sqrt(spread + F.lit(VARIANCE_FLOOR)), lambda dev: F.transform(vals, lambda v: (v - mean) / dev)
+        )
+
+    return let(total(vals) / n, scaled)
 
 
 def masked_l1(patches: DataFrame, by: list[str] | None = None, standardise: bool = False) -> DataFrame:

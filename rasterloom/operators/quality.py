@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions.binding import let
 from rasterloom.functions.pixels import window
 
 # Nodata codes and band counts per feature platform.
@@ -62,21 +63,21 @@ def patch_cloud_pct(chips: DataFrame, scl: Column, key: list[str], size: int = 3
     """Truncated cloud percentage of each full ``size`` x ``size`` patch; stays in the row's task."""
     codes = codes or CLOUD_CODES
     h, w = F.col("h"), F.col("w")
-    grid = F.sequence(F.lit(0), F.floor(h / size).cast("int") * F.floor(w / size).cast("int") - 1)
-    cols = F.floor(w / size).cast("int")
-    cells = chips.filter((h >= size) & (w >= size)).select(
-        *key, "w", scl.alias("_scl"), cols.alias("_cols"), F.explode(grid).alias("patch_idx")
-    )
-    row = F.floor(F.col("patch_idx") / F.col("_cols")).cast("int")
-    col = (F.col("patch_idx") % F.col("_cols")).cast("int")
-    block = window(F.col("_scl"), F.col("w"), col * size, row * size, F.lit(size), F.lit(size))
-    cloudy = F.size(F.filter(block, lambda v: v.isin(*codes)))
-    return cells.select(
-        *key,
-        row.alias("patch_row"),
-        col.alias("patch_col"),
-        F.floor(F.lit(100) * cloudy / (size * size)).cast("int").alias("cloud_pct"),
-    )
+    rows, cols = F.floor(h / size).cast("int"), F.floor(w / size).cast("int")
+
+    def patch(raster: Column, n: Column) -> Column:
+        row, col = F.floor(n / cols).cast("int"), (n % cols).cast("int")
+        block = window(raster, w, col * size, row * size, F.lit(size), F.lit(size))
+        cloudy = F.size(F.filter(block, lambda v: v.isin(*codes)))
+        return F.struct(
+            row.alias("patch_row"),
+            col.alias("patch_col"),
+            F.floor(F.lit(100) * cloudy / (size * size)).cast("int").alias("cloud_pct"),
+        )
+
+    numbers = F.sequence(F.lit(0), rows * cols - 1)
+    patches = let(scl, lambda raster: F.transform(numbers, lambda n: patch(raster, n)))
+    return chips.filter((h >= size) & (w >= size)).select(*key, F.inline(patches))
 
 
 def complete_months(features: DataFrame, expected: int = COMPLETE_BANDS, by: list[str] | None = None) -> DataFrame:

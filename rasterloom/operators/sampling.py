@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.functions.binding import let
 from rasterloom.functions.draws import draw, uniform
 from rasterloom.functions.geo import box, boxes_overlap
 from rasterloom.plans.ranking import best_row, draw_cut, draw_rank, draw_within, top_per_group
@@ -394,8 +395,10 @@ def drop_channels(chips: DataFrame, seed: int, key: list[str], p_all: float = 0.
         .when(u < p_all + p_half, half)
         .otherwise(F.array().cast("array<int>"))
     )
-    zeroed = F.transform(
-        "pixels",
-        lambda band, c: F.when(F.array_contains(F.col("_gone"), c), F.transform(band, lambda v: v * 0)).otherwise(band),
-    )
-    return chips.withColumn("_gone", gone).withColumn("pixels", zeroed).drop("_gone")
+    def zeroed(out: Column) -> Column:
+        dark = lambda band: F.transform(band, lambda v: v * 0)
+        return F.transform(
+            "pixels", lambda band, c: F.when(F.array_contains(out, c), dark(band)).otherwise(band)
+        )
+
+    return chips.withColumn("pixels", let(gone, zeroed))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import pixels as px
+from rasterloom.functions.binding import let
 from rasterloom.functions.geo import affine_xy
 
 
@@ -22,18 +23,19 @@ def chip_raster(rasters: DataFrame, size: int, key: list[str]) -> DataFrame:
     nx, ny = _int(F.floor(F.col("w") / size)), _int(F.floor(F.col("h") / size))
     full = rasters.filter((F.col("w") >= size) & (F.col("h") >= size))
 
-    def piece(n: Column) -> Column:
+    def piece(pixels: Column, n: Column) -> Column:
         i, j = _int(F.floor(n / ny)), _int(n % ny)
         return F.struct(
             _int(n).alias("chip_no"),
             i.alias("chip_x"),
             j.alias("chip_y"),
             F.transform(
-                "pixels", lambda b: px.window(b, F.col("w"), i * size, j * size, F.lit(size), F.lit(size))
+                pixels, lambda b: px.window(b, F.col("w"), i * size, j * size, F.lit(size), F.lit(size))
             ).alias("pixels"),
         )
 
-    pieces = F.transform(F.sequence(F.lit(0), nx * ny - 1), piece)
+    numbers = F.sequence(F.lit(0), nx * ny - 1)
+    pieces = let(F.col("pixels"), lambda p: F.transform(numbers, lambda n: piece(p, n)))
     return full.select(*key, F.explode(pieces).alias("_c")).select(
         *key, "_c.chip_no", "_c.chip_x", "_c.chip_y", F.lit(size).alias("h"), F.lit(size).alias("w"), "_c.pixels"
     )
@@ -69,15 +71,17 @@ def patchify(chips: DataFrame, size: int, key: list[str]) -> DataFrame:
     """Patches in row-major order, each a vector ordered (band, row, column)."""
     cols, rows = _int(F.floor(F.col("w") / size)), _int(F.floor(F.col("h") / size))
 
-    def piece(n: Column) -> Column:
+    def piece(pixels: Column, n: Column) -> Column:
         r, c = _int(F.floor(n / cols)), _int(n % cols)
         vals = F.flatten(
-            F.transform("pixels", lambda b: px.window(b, F.col("w"), c * size, r * size, F.lit(size), F.lit(size)))
+            F.transform(pixels, lambda b: px.window(b, F.col("w"), c * size, r * size, F.lit(size), F.lit(size)))
         )
         return F.struct(r.alias("patch_row"), c.alias("patch_col"), _int(n).alias("patch_idx"), vals.alias("vals"))
 
-    pieces = F.transform(F.sequence(F.lit(0), rows * cols - 1), piece)
-    return chips.select(*key, F.inline(pieces))
+    numbers = F.sequence(F.lit(0), rows * cols - 1)
+    pieces = let(F.col("pixels"), lambda p: F.transform(numbers, lambda n: piece(p, n)))
+    full = chips.filter((F.col("w") >= size) & (F.col("h") >= size))
+    return full.select(*key, F.inline(pieces))
 
 
 def unpatchify(patches: DataFrame, size: int, h: int, w: int, key: list[str]) -> DataFrame:
@@ -110,9 +114,10 @@ def split_stacks(stacks: DataFrame, arrays: list[str], name: str = "name", whole
     """Stacks of exactly ``whole`` entries become parts named ``{name}_{i}``; others stay as they are."""
     full = F.size(arrays[0]) == whole
     ids = F.when(full, F.sequence(F.lit(0), F.lit(whole // part - 1))).otherwise(F.array(F.lit(-1)))
-    cut = lambda c, i: F.when(i >= 0, F.slice(F.col(c), i * part + 1, F.lit(part))).otherwise(F.col(c))
-    pieces = F.transform(
-        ids, lambda i: F.struct(i.alias("part"), *[cut(c, i).alias(c) for c in arrays])
+    cut = lambda a, i: F.when(i >= 0, F.slice(a, i * part + 1, F.lit(part))).otherwise(a)
+    pieces = let(
+        F.struct(*arrays),
+        lambda s: F.transform(ids, lambda i: F.struct(i.alias("part"), *[cut(s[c], i).alias(c) for c in arrays])),
     )
     rest = [c for c in stacks.columns if c not in (name, *arrays)]
     named = F.when(F.col("_s.part") >= 0, F.concat_ws("_", F.col(name), F.col("_s.part").cast("string"))).otherwise(
@@ -127,14 +132,15 @@ def composite_mask(chips: DataFrame, size: int, recon: str = "recon", mask: str
     """Reconstruction where the patch is masked, the chip elsewhere (mask: one 0/1 per patch)."""
     w = F.col("w")
     cols = _int(w / size)
+    patch = lambda i: _int(F.floor(F.floor(i / w) / size) * cols + F.floor((i % w) / size))
 
-    def cell(b: Column, v: Column, i: Column) -> Column:
-        y, x = F.floor(i / w), i % w
-        patch = _int(F.floor(y / size) * cols + F.floor(x / size))
-        return F.when(F.get(F.col(mask), patch) == 1, F.get(F.get(F.col(recon), b), i)).otherwise(v)
+    def blend(m: Column) -> Column:
+        one = lambda band, other: F.transform(
+            band, lambda v, i: F.when(F.get(m, patch(i)) == 1, F.get(other, i)).otherwise(v)
+        )
+        return F.zip_with("pixels", recon, one)
 
-    merged = F.transform("pixels", lambda band, b: F.transform(band, lambda v, i: cell(b, v, i)))
-    return chips.withColumn("pixels", merged).drop(recon, mask)
+    return chips.withColumn("pixels", let(F.col(mask), blend)).drop(recon, mask)
 
 
 def resample(chips: DataFrame, h2: int, w2: int, method: str = "bilinear") -> DataFrame:
