@@ -9,6 +9,7 @@ from checks.registry import check
 from rasterloom.operators import learn, search, spatial
 from rasterloom.operators.metrics import classification_metrics
 from rasterloom.operators.sampling import random_split
+from rasterloom.plans.scratch import materialise
 
 
 @check("v6_knn_lsh")
@@ -30,7 +31,8 @@ def _(t):
 
 def _labelled(t):
     """Footprints that labelled points fall into, split by (point, footprint), with their vectors."""
-    hits = spatial.spatial_join(s.footprints(t), s.points(t)).select("vec_id", "point_id", "class")
+    # written once: the split counts, marks and flags the same hits
+    hits = materialise(spatial.spatial_join(s.footprints(t), s.points(t)).select("vec_id", "point_id", "class"), "hits")
     return random_split(hits, ["point_id", "vec_id"]).join(s.embeddings(t), "vec_id")
 
 
@@ -43,8 +45,9 @@ def _(t):
 
 @check("v9_presence_metrics")
 def _(t):
-    model = learn.train_presence(_labelled(t).filter("split = 'train'"))
-    tested = learn.predict(model, _labelled(t).filter("split = 'test'"), ["class"])
+    rows = _labelled(t)
+    model = learn.train_presence(rows.filter("split = 'train'"))
+    tested = learn.predict(model, rows.filter("split = 'test'"), ["class"])
     return classification_metrics(tested, "class", "prediction", positive=1)
 
 

@@ -71,17 +71,24 @@ def change_series(
     finds its predecessor in a small table of slice ends.
     """
     rows = time_slices(table, by, dt, rows_per_slice)
-    inside = Window.partitionBy(by, "_slice").orderBy(dt, key)
-    ends = rows.groupBy(by, "_slice").agg(F.max_by("vec", F.struct(dt, key)).alias("_end"))
-    carried = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(by).orderBy("_slice"))).drop("_end")
+    if rows is None:
+        before = table.withColumn("_prev", F.lag("vec").over(Window.partitionBy(by).orderBy(dt, key)))
+    else:
+        inside = Window.partitionBy(by, "_slice").orderBy(dt, key)
+        ends = rows.groupBy(by, "_slice").agg(F.max_by("vec", F.struct(dt, key)).alias("_end"))
+        carried = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(by).orderBy("_slice")))
+        carried = carried.filter(F.col("_carry").isNotNull()).drop("_end")
+        before = (
+            rows.withColumn("_prev", F.lag("vec").over(inside))
+            .join(carried, [by, "_slice"], "left")
+            .withColumn("_prev", F.coalesce("_prev", "_carry"))
+            .drop("_slice", "_carry")
+        )
     base = table.filter(event).groupBy(by).agg(v.mean_vector("vec").alias("_base"))
     out = (
-        rows.withColumn("_prev", F.lag("vec").over(inside))
-        .join(carried.filter(F.col("_carry").isNotNull()), [by, "_slice"], "left")
-        .join(base, by, "left")
-        .withColumn("_prev", F.coalesce("_prev", "_carry"))
+        before.join(base, by, "left")
         .withColumn("dist_prev", v.l2_distance("vec", "_prev"))
         .withColumn("dist_base", v.l2_distance("vec", "_base"))
     )
     flag = F.coalesce(F.col("dist_prev") > threshold, F.lit(False))
-    return out.withColumn("shifted", flag).drop("_slice", "_prev", "_carry", "_base")
+    return out.withColumn("shifted", flag).drop("_prev", "_base")

@@ -148,18 +148,23 @@ def best_row(df: DataFrame, by: list[Column | str], order: list[str], keep: list
     return agg.select(*names, *[F.col(f"_best.{c}").alias(c) for c in keep])
 
 
-def time_slices(df: DataFrame, by: str, dt: str, rows_per_slice: int = 1_000_000, most: int = 1024) -> DataFrame:
+def time_slices(
+    df: DataFrame, by: str, dt: str, rows_per_slice: int = 1_000_000, most: int = 1024
+) -> DataFrame | None:
     """Add ``_slice``: consecutive time ranges of a group, for groups too large for one task.
 
-    Groups up to ``rows_per_slice`` rows stay whole (slice 0). Larger ones are cut
-    at approximate time quantiles. The cuts (at most ``most`` per large group, and
-    there are at most ``rows / rows_per_slice`` large groups) are written out once,
-    so that every use of the slices sees the same ones.
+    None when no group has more than ``rows_per_slice`` rows. Otherwise the large
+    groups are cut at approximate time quantiles and all others are slice 0. The
+    cuts (at most ``most`` per large group, and there are at most ``rows /
+    rows_per_slice`` large groups) are written out once, so that every use of the
+    slices sees the same ones.
     """
-    micros = F.unix_micros(F.col(dt).cast("timestamp"))
-    large = (
-        df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_slice).select(by)
+    large = materialise(
+        df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_slice).select(by), "large"
     )
+    if large.isEmpty():
+        return None
+    micros = F.unix_micros(F.col(dt).cast("timestamp"))
     shares = [i / most for i in range(1, most)]
     cuts = (
         df.join(F.broadcast(large), by)
