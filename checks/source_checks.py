@@ -74,7 +74,7 @@ def _tiled(t):
 )
 def _(t):
     path = scratch_path(t.spark, "embeddings")
-    tables.write_embeddings(_tiled(t), path, key=["vec_id"])
+    tables.write_embeddings(_tiled(t), path)
     total = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)
     back = tables.scan_embeddings(t.spark, path)
     return back.select("tile", "vec_id", "year", F.round(total, 6).alias("total"), "bbox.xmin", "bbox.ymax")
@@ -86,7 +86,7 @@ def _(t):
 )
 def _(t):
     path = scratch_path(t.spark, "embeddings")
-    tables.write_embeddings(_tiled(t), path, key=["vec_id"])
+    tables.write_embeddings(_tiled(t), path)
     back = t.spark.read.parquet(path)
     return back.groupBy("tile").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.octet_length("geometry")).alias("wkb_bytes")

@@ -9,6 +9,7 @@ from rasterloom.functions import names
 from rasterloom.functions.geo import box_wkb
 
 ROWS_PER_FILE = 1_000_000
+CHIPS_PER_FILE = 20_000
 
 
 def embeddings_filename(df: DataFrame, version: int = 1, tile: str = "tile", dt: str = "dt") -> DataFrame:
@@ -19,21 +20,19 @@ def embeddings_filename(df: DataFrame, version: int = 1, tile: str = "tile", dt:
     return spans.select(tile, F.concat_ws("_", F.col(tile), day("_a"), day("_b"), tag).alias("name"))
 
 
-def write_embeddings(
-    df: DataFrame, path: str, tile: str = "tile", key: list[str] | None = None, rows_per_file: int = ROWS_PER_FILE, mode: str = "append"
-) -> None:
+def write_embeddings(df: DataFrame, path: str, tile: str = "tile", mode: str = "append") -> None:
     """Zstandard Parquet partitioned by tile, with the footprint also as WKB.
 
-    Rows are spread by (tile, salt) so that a tile with very many rows is written
-    by many tasks; small tiles share tasks, and files are capped in rows.
+    Rows are gathered by tile in one shuffle; adaptive execution then splits the
+    tiles that outgrow its advisory size over several tasks and lets small ones
+    share a task, so files are few and no tile is one task's burden.
     """
     out = df.withColumn("geometry", box_wkb("bbox")) if "bbox" in df.columns and "geometry" not in df.columns else df
-    salt = F.pmod(F.xxhash64(*(key or [c for c in df.columns if c not in ("vec", tile)])), F.lit(64))
     (
-        out.repartition(F.col(tile), salt)
+        out.hint("rebalance", tile)
         .write.mode(mode)
         .option("compression", "zstd")
-        .option("maxRecordsPerFile", rows_per_file)
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
         .partitionBy(tile)
         .parquet(path)
     )
@@ -54,9 +53,8 @@ def scan_embeddings(spark: SparkSession, *paths: str, dt: str | None = "dt") ->
 
 def write_chips(df: DataFrame, path: str, mode: str = "append") -> None:
     """Chips, cubes or label chips as Parquet by platform; date and tile stay columns."""
-    salt = F.pmod(F.xxhash64("chip_id"), F.lit(256))
-    df.repartition(F.col("platform"), salt).write.mode(mode).option("compression", "zstd").option(
-        "maxRecordsPerFile", 20_000
+    df.hint("rebalance", "platform").write.mode(mode).option("compression", "zstd").option(
+        "maxRecordsPerFile", CHIPS_PER_FILE
     ).partitionBy("platform").parquet(path)
 
 

@@ -101,15 +101,17 @@ def test_embedding_files_carry_their_names(spark, tmp_path):
     assert (row["tile"], row["idx"], row["year"]) == ("29SNB", "3_7", 2020)
 
 
-def test_hot_tile_is_written_by_many_tasks(spark, tmp_path):
-    df = spark.range(2000).select(F.lit("T1").alias("tile"), F.col("id").alias("vec_id"))
-    # at this size adaptive execution would merge the shuffle partitions again
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+def test_hot_tile_is_split_and_small_tiles_are_not(spark, tmp_path):
+    tile = F.when(F.col("id") % 3 == 0, F.concat(F.lit("T"), F.col("id") % 30)).otherwise("hot")
+    df = spark.range(0, 60000, 1, 16).select(tile.alias("tile"), F.col("id").alias("vec_id"), F.rand(1).alias("v"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
     try:
-        tables.write_embeddings(df, str(tmp_path / "out"), key=["vec_id"])
+        tables.write_embeddings(df, str(tmp_path / "out"))
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert len(list((tmp_path / "out" / "tile=T1").glob("*.parquet"))) > 1
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = lambda t: len(list((tmp_path / "out" / f"tile={t}").glob("*.parquet")))
+    assert files("hot") > 1 and files("T3") <= 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60000
 
 
 def test_replace_and_drop_table(spark):
