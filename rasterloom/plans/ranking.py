@@ -91,15 +91,27 @@ def draw_within(
         .select("_group", F.struct("_draw", *key).alias("_last"))
     )
     groups = offsets.groupBy("_group").agg(F.max("_quota").alias("_quota"), F.max("_size").alias("_size"))
+
+    def inside(quota: Column, size: Column, last: Column) -> Column:
+        return (
+            F.when(quota >= size, True).when(quota <= 0, False).otherwise(F.struct("_draw", *key) <= last)
+        )
+
+    if not by:  # one group, one mark: two single rows, no join
+        whole, mark = groups.first(), last.first()
+        if whole is None:
+            return df.withColumn(flag, F.lit(False))
+        if mark is None:
+            return df.withColumn(flag, F.lit(whole["_quota"] >= whole["_size"]))
+        kind = last.schema["_last"].dataType
+        at = F.struct(*[F.lit(mark["_last"][f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
+        flagged = sliced.withColumn(flag, inside(F.lit(whole["_quota"]), F.lit(whole["_size"]), at))
+        return flagged.drop("_draw", "_group", "_slice")
+
     marks = materialise(groups.join(last, "_group", "left"), "marks")
-    inside = (
-        F.when(F.col("_quota") >= F.col("_size"), True)
-        .when(F.col("_quota") <= 0, False)
-        .otherwise(F.struct("_draw", *key) <= F.col("_last"))
-    )
     return (
         sliced.join(marks, "_group")
-        .withColumn(flag, inside)
+        .withColumn(flag, inside(F.col("_quota"), F.col("_size"), F.col("_last")))
         .drop("_draw", "_group", "_slice", "_quota", "_size", "_last")
     )
 

@@ -45,6 +45,16 @@ def test_draw_within_equals_rank(spark, quota, digits):
     assert sorted(r[0] for r in got.filter("w").select("chip_id").collect()) == sorted(r[0] for r in want.select("chip_id").collect())
 
 
+@pytest.mark.parametrize("quota", [0, 1, 70, 10_000])
+def test_draw_within_one_group(spark, quota):
+    df = skewed(spark, 100)
+    want = draw_rank(df, [], ["chip_id", "platform"], 6, "r").filter(F.col("r") <= quota)
+    got = draw_within(df, [], ["chip_id", "platform"], 6, F.lit(quota), "w")
+    assert got.count() == 100
+    assert sorted(r[0] for r in got.filter("w").collect()) == sorted(r[0] for r in want.collect())
+    assert draw_within(df.filter("chip_id < 0"), [], ["chip_id"], 6, F.lit(quota), "w").count() == 0
+
+
 @pytest.mark.parametrize("digits", [1, 2, 4])
 def test_slices_do_not_change_ranks(spark, digits):
     a = draw_rank(skewed(spark), ["platform"], ["chip_id"], 5, digits=digits)
