@@ -1,0 +1,111 @@
+"""The registered queries of this subpackage and the SQL that some of them must agree with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterloom.llm import mixing, quality, shards
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, table: str, sql: str | None = None):
+    """Register ``fn(table)``; a query may be called on a table of another folder too."""
+
+    def wrap(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
+
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return wrap
+
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query("op3_shards", "documents")
+def op3(documents: DataFrame) -> DataFrame:
+    """Byte law; SQL lacks crc32, so tests hold it against a brute-force version."""
+    return shards.byte_shards(documents, 40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "bytes_before"
+    )
+
+
+@query(
+    "op4_mixing",
+    "documents",
+    f"""
+    with d as (select doc_id, source, len({WORDS})::bigint as size, md5('11:' || doc_id) as draw from documents),
+    s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from d group by source),
+    w as (select *, 1 + place % 3 as weight, 3 * source_size as cap from s),
+    f as (
+      select *, (sum(source_size) over ())::bigint as total, (sum(weight) over ())::bigint as weights,
+        coalesce(sum(cap) over o, 0)::bigint as cap_before, coalesce(sum(weight) over o, 0)::bigint as weight_before
+      from w window o as (order by cap / weight, place rows between unbounded preceding and 1 preceding)),
+    c as (select *, cap * (weights - weight_before) <= weight * (total - cap_before) as capped from f),
+    g as (
+      select *, (sum(case when capped then cap else 0 end) over ())::bigint as cap_sum,
+        (sum(case when capped then weight else 0 end) over ())::bigint as cap_weight
+      from c),
+    t as (
+      select source, source_size,
+        case when capped then cap::double else (weight * (total - cap_sum))::double / (weights - cap_weight) end as target
+      from g),
+    p as (
+      select doc_id, source, size, coalesce(sum(size) over (partition by source order by draw, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start
+      from d)
+    select p.doc_id, p.size, t.source_size, t.target,
+      (case when t.source_size = 0 then 0 else (floor(t.target)::bigint // t.source_size) * p.size
+        + least(greatest(floor(t.target)::bigint % t.source_size - p.start, 0), p.size) end)::bigint as taken
+    from p join t on p.source is not distinct from t.source
+    """,
+)
+def op4(documents: DataFrame) -> DataFrame:
+    pieces = mixing.mix_sources(documents)
+    return (
+        pieces.groupBy("row", "doc_id", "size", "source_size", "target")
+        .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))), F.lit(0)).alias("taken"))
+        .select("doc_id", "size", "source_size", "target", "taken")
+    )
+
+
+REPORT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+@query(
+    "op6_quality_rules",
+    "documents",
+    rf"""
+    with w as (select doc_id, coalesce(text, '') as text, {WORDS} as w from documents),
+    x as (
+      select doc_id, row_number() over () as r, w, len(w)::bigint as n_words,
+        length(array_to_string(w, ''))::bigint as word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+        list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines,
+        len(list_filter(w, lambda v: regexp_matches(v, '^..', 's') and upper(v) = v and lower(v) <> v))::bigint as n_shouted
+      from w),
+    g as (select r, i, array_to_string(w[i:i + 7], ' ') as gram from (select r, w, unnest(range(1, n_words - 6)) as i from x where n_words >= 8)),
+    twice as (select r, gram from g group by r, gram having count(*) > 1),
+    covered as (select r, count(distinct i + k)::bigint as n from g join twice using (r, gram) cross join range(8) t(k) group by r),
+    m as (
+      select x.*, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, len(lines) as n_lines
+      from x left join covered c using (r))
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+      n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+      not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or word_chars < 2 * n_words or word_chars > 12 * n_words
+        or 10 * n_symbols > n_words or 2 * n_dup_lines > n_lines or 10 * n_shouted > 3 * n_words) as kept
+    from m
+    """,
+)
+def op6(documents: DataFrame) -> DataFrame:
+    judged = quality.quality_rules(documents.select("doc_id", "text"), report=REPORT)
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return judged.select("doc_id", *REPORT, failed.alias("base_failed"), "kept")
