@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import mixing, quality, shards
+from rasterloom.llm import mixing, quality, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,13 @@ def op4(documents: DataFrame) -> DataFrame:
     )
 
 
+@query("op5_simhash", "documents")
+def op5(documents: DataFrame) -> DataFrame:
+    """SQL would need XXH64 and all pairs; tests hold it against a brute-force version."""
+    found = simhash.near_duplicates(documents, words=4, max_bits=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 REPORT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
