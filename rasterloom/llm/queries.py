@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import mixing, quality, shards, simhash
+from rasterloom.llm import licenses, mixing, quality, shards, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,44 @@ def op6(documents: DataFrame) -> DataFrame:
     judged = quality.quality_rules(documents.select("doc_id", "text"), report=REPORT)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.select("doc_id", *REPORT, failed.alias("base_failed"), "kept")
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file of the machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op10_token_planes", "documents")
+def op10(documents: DataFrame) -> DataFrame:
+    """SQL has no tokenizer; tests hold it against the library's own ids."""
+    return tokenfile.id_checksums(tokenfile.token_file_round_trip(documents, vocabulary("byte_bpe_50k.json")))
+
+
+def _license_sql() -> str:
+    values = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    grams = rf"""list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"""
+    words = rf"""string_split(trim(regexp_replace(translate(text, '{licenses.UPPER}', '{licenses.SMALL}'), '[^a-z0-9]+', ' ', 'g')), ' ')"""
+    return rf"""
+    with lines as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as place from documents),
+    cut as (select doc_id, place, regexp_split_to_array(text, '{licenses.SENTENCE_GAP}') as s from lines),
+    paragraphs as (select doc_id, regexp_split_to_array(text, '{licenses.PARAGRAPH_GAP}') as p from documents),
+    units as (
+      select doc_id, 'line' as unit, place::int as place, 0::int as part, text from lines
+      union all
+      select doc_id, 'sentence', place::int, (generate_subscripts(s, 1) - 1)::int, unnest(s) from cut where len(s) > 1
+      union all
+      select * from (select doc_id, 'paragraph', (generate_subscripts(p, 1) - 1)::int, 0::int, unnest(p) as text from paragraphs) where contains(text, chr(10))),
+    a as (select *, {grams} as g from (select *, {words} as w from units)),
+    t as (select *, {grams} as g from (select *, {words} as w from (values {values}) v(template, license, text)))
+    select a.doc_id, a.unit, a.place, a.part, t.license, t.template::int as template, len(a.g)::int as n_bigrams,
+      2.0::double * len(list_intersect(a.g, t.g)) / (len(a.g) + len(t.g)) as dice
+    from a join t on len(a.g) between 0.6 * len(t.g) and 1.6 * len(t.g)
+    where 2.0::double * len(list_intersect(a.g, t.g)) / (len(a.g) + len(t.g)) >= {licenses.THRESHOLD}
+    """
+
+
+@query("op7_licenses", "documents", _license_sql())
+def op7(documents: DataFrame) -> DataFrame:
+    return licenses.scan_licenses(documents)

@@ -1,0 +1,360 @@
+"""Token ids as files of compressed bit or byte planes.
+
+A file holds one range of the documents in ascending id order:
+
+    magic | chunk 0 | chunk 1 | ... | document index | chunk index | length of the indexes | magic
+
+A chunk is a block of a fixed number of ids (the last of a file may be shorter).
+Its ids are transposed: plane k holds bit k (or byte k) of every id, and each
+plane is compressed with zstandard on its own, as the high planes are nearly
+constant. The chunk index keeps offset, first id, number of ids and the length of
+each plane, so a reader can fetch any chunk without the others; the document
+index keeps ids and token counts.
+
+Files are written to a temporary name and renamed, and their content depends on
+nothing but the rows of the range, so a repeated or twin task does no harm. Any
+folder that Arrow's file systems can open will do (``file``, ``hdfs``, ``s3``).
+
+Null texts encode like empty ones, to the end id alone. A null id sorts first.
+Documents of one id follow by hash of their text. An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+import struct
+import zlib
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rasterloom.llm.common import as_texts, slices
+from rasterloom.plans.scratch import scratch_path
+
+MAGIC = b"TKPLANE1"
+BLOCK_IDS = 1 << 16
+END_ID = 0
+MOST_CHUNKS = 500_000
+_GAP = re.compile(r"\s ")
+
+
+class ChunkEncoder:
+    """Encodes texts with the tokenizers library, each distinct chunk between spaces once.
+
+    A byte-level vocabulary never joins a visible character with a space after
+    it, so a text can be cut before each such space and its chunks encoded apart.
+    New words are encoded many at a time, joined by spaces: the token that begins
+    with the space shows where each word starts. When the memory of chunks is
+    full, chunks met only once leave it.
+    """
+
+    def __init__(self, path: str) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
+        self.codes: dict[str, int] = {}
+        self.uses = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def shrink(self) -> None:
+        keep = self.uses > 1
+        old = np.flatnonzero(keep)
+        place = np.cumsum(keep) - 1
+        self.codes = {k: int(place[c]) for k, c in self.codes.items() if keep[c]}
+        lengths = self.lengths[old]
+        ends = np.cumsum(lengths)
+        self.flat = self.flat[np.repeat(self.starts[old] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        self.starts, self.lengths, self.uses = ends - lengths, lengths, self.uses[old] // 2
+
+    def learn(self, keys: list[str]) -> None:
+        """Add chunks that are not known yet."""
+        alone = [k for k in keys if k[:1] == " " or k[-1:].isspace() or not k]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([k[1:] if k[:1] == " " else " " + k for k in alone], add_special_tokens=False)]
+        lengths = [np.fromiter(map(len, found), np.int64, len(found))]
+        flat = [np.fromiter((i for x in found for i in x), np.uint32)]
+        apart = set(alone)
+        joined = [k for k in keys if k not in apart]
+        for at in range(0, len(joined), 2048):
+            own = joined[at : at + 2048]
+            (e,) = self.tokenizer.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)
+            ids = np.array(e.ids, dtype=np.uint32)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(own):
+                raise ValueError("this vocabulary does not mark the starts of words")
+            flat.append(ids)
+            lengths.append(np.diff(starts, append=len(ids)))
+        new = np.concatenate(lengths)
+        self.codes.update(zip(alone + joined, range(len(self.codes), len(self.codes) + len(keys)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(new) - new])
+        self.lengths = np.concatenate([self.lengths, new])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.flat = np.concatenate([self.flat, *flat])
+
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """Keys: a word stands for itself after a space; a key that begins with a space stands for the rest of it."""
+        parts = text.split(" ")
+        if text[:1] != " " and not _GAP.search(text):
+            parts[0] = " " + parts[0]
+            return parts
+        out, held = [], parts[0]
+        for part in parts[1:]:
+            if held and not held[-1].isspace():
+                out.append(" " + held)
+                held = " " + part
+            else:
+                held += " " + part
+        return [*out, " " + held]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and the number of ids of each text."""
+        if len(self.codes) > MOST_CHUNKS:
+            self.shrink()
+        lists = [self.chunks(t) for t in texts]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        keys = [k for x in lists for k in x]
+        codes = np.fromiter(map(self.codes.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            unknown = [keys[i] for i in missing]
+            self.learn(list(dict.fromkeys(unknown)))
+            codes[missing] = np.fromiter(map(self.codes.get, unknown), np.int64, len(unknown))
+        self.uses += np.bincount(codes, minlength=len(self.uses))
+        lengths = self.lengths[codes]
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(bounds)
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(path: str) -> ChunkEncoder:
+    """The encoder of this worker process; what it has learnt serves later tasks too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
+def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
+    """The end id after each text's ids."""
+    return np.insert(ids, np.cumsum(counts), end_id)
+
+
+def split_planes(ids: np.ndarray, kind: str) -> list[bytes]:
+    """Planes of a block of ids: 32 bit planes or 4 byte planes, lowest first."""
+    raw = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)
+    if kind == "byte":
+        return [raw[:, k].tobytes() for k in range(4)]
+    bits = np.unpackbits(raw, axis=1, bitorder="little")
+    return [row.tobytes() for row in np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")]
+
+
+def join_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
+    rows = np.stack([np.frombuffer(p, np.uint8) for p in planes])
+    if kind == "byte":
+        return np.ascontiguousarray(rows.T).view("<u4").ravel()
+    bits = np.unpackbits(rows, axis=1, count=n, bitorder="little")
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u4").ravel()
+
+
+def _open(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+class Writer:
+    """Writes ids to one file in blocks of ``block`` ids."""
+
+    def __init__(self, uri: str, attempt: str, kind: str, block: int) -> None:
+        self.fs, self.path = _open(uri)
+        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.temporary = f"{self.path}.{attempt}"
+        self.out = self.fs.open_output_stream(self.temporary)
+        self.kind, self.block = kind, block
+        self.pending: list[np.ndarray] = []
+        self.held, self.written, self.offset = 0, 0, len(MAGIC)
+        self.index: list[list] = []
+        self.docs: list[pa.Array] = []
+        self.counts: list[np.ndarray] = []
+        self.packer = zstandard.ZstdCompressor(level=3)
+        self.out.write(MAGIC)
+
+    def add(self, doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
+        self.docs.append(doc_ids)
+        self.counts.append(counts)
+        self.pending.append(ids)
+        self.held += len(ids)
+        if self.held >= self.block:
+            ids = np.concatenate(self.pending)
+            whole = len(ids) // self.block * self.block
+            for at in range(0, whole, self.block):
+                self._chunk(ids[at : at + self.block])
+            self.pending, self.held = [ids[whole:]], len(ids) - whole
+
+    def _chunk(self, ids: np.ndarray) -> None:
+        planes = [self.packer.compress(p) for p in split_planes(ids, self.kind)]
+        self.out.write(b"".join(planes))
+        self.index.append([self.offset, self.written, len(ids), [len(p) for p in planes]])
+        self.offset += sum(map(len, planes))
+        self.written += len(ids)
+
+    def close(self) -> int:
+        rest = np.concatenate(self.pending) if self.pending else np.zeros(0, np.uint32)
+        if len(rest):
+            self._chunk(rest)
+        docs = pa.concat_arrays(self.docs) if self.docs else pa.array([], pa.int64())
+        counts = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
+        parts = [
+            self.packer.compress(np.asarray(docs.fill_null(0), dtype="<i8").tobytes()),
+            self.packer.compress(np.asarray(docs.is_null(), dtype=np.uint8).tobytes()),
+            self.packer.compress(counts.astype("<i8").tobytes()),
+            self.packer.compress(json.dumps({"planes": self.kind, "block": self.block, "chunks": self.index}).encode()),
+        ]
+        tail = struct.pack("<4q", *map(len, parts)) + MAGIC
+        self.out.write(b"".join(parts) + tail)
+        self.out.close()
+        self.fs.move(self.temporary, self.path)
+        return self.written
+
+
+class Reader:
+    """Reads the indexes of a file at once and its chunks one by one."""
+
+    def __init__(self, uri: str) -> None:
+        self.fs, path = _open(uri)
+        self.file = self.fs.open_input_file(path)
+        size = self.file.size()
+        tail = self.file.read_at(32 + len(MAGIC), size - 32 - len(MAGIC))
+        if tail[32:] != MAGIC or self.file.read_at(len(MAGIC), 0) != MAGIC:
+            raise ValueError(f"not a file of token planes: {uri}")
+        lengths = struct.unpack("<4q", tail[:32])
+        at = size - len(tail) - sum(lengths)
+        unpack, parts = zstandard.ZstdDecompressor(), []
+        for n in lengths:
+            parts.append(unpack.decompress(self.file.read_at(n, at)))
+            at += n
+        self.doc_ids = pa.array(np.frombuffer(parts[0], "<i8"), pa.int64(), mask=np.frombuffer(parts[1], np.uint8).astype(bool))
+        self.counts = np.frombuffer(parts[2], "<i8")
+        about = json.loads(parts[3])
+        self.kind, self.index, self.unpack = about["planes"], about["chunks"], unpack
+
+    def chunk(self, k: int) -> np.ndarray:
+        offset, _, n, lengths = self.index[k]
+        raw, planes, at = self.file.read_at(sum(lengths), offset), [], 0
+        for length in lengths:
+            planes.append(self.unpack.decompress(raw[at : at + length]))
+            at += length
+        return join_planes(planes, n, self.kind)
+
+    def documents(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(row of the document index, ids) in file order; no more than a chunk and a document in memory."""
+        held, k = np.zeros(0, np.uint32), 0
+        for row, n in enumerate(self.counts.tolist()):
+            if len(held) < n:
+                parts, have = [held], len(held)
+                while have < n:
+                    parts.append(self.chunk(k))
+                    have, k = have + len(parts[-1]), k + 1
+                held = np.concatenate(parts)
+            yield row, held[:n]
+            held = held[n:]
+
+
+def write_token_files(
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, planes: str = "bit", block: int = BLOCK_IDS
+) -> list[tuple[int, str, int, int]]:
+    """Encode all documents and write them in ascending id order; (file number, uri, documents, ids) per file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part = context.partitionId()
+        uri = f"{folder}/ids-{part:06d}.planes"
+        encoder = writer = None
+        n = 0
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                if writer is None:
+                    encoder = encoder_of(tokenizer)
+                    writer = Writer(uri, f"{context.taskAttemptId()}.tmp", planes, block)
+                ids, counts = encoder.encode(as_texts(piece.column("text")))
+                writer.add(piece.column("doc_id"), counts + 1, with_ends(ids, counts, end_id))
+                n += piece.num_rows
+        if writer is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "docs": pa.array([n], pa.int64()), "ids": pa.array([writer.close()], pa.int64())})
+
+    keys = ["doc_id", "tie", "salt"]
+    narrow = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("salt")
+    )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = narrow.repartitionByRange(parts, *[F.col(k) for k in keys]).sortWithinPartitions(*keys).select("doc_id", "text")
+    found = ranged.mapInArrow(run, "part int, uri string, docs long, ids long").collect()  # a row per file
+    return sorted((r.part, r.uri, r.docs, r.ids) for r in found)
+
+
+def read_token_files(spark, files: list[tuple[int, str, int, int]]) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens and ids of every document of the files."""
+    rows, before = [], 0
+    for part, uri, _, ids in files:
+        rows.append((part, uri, before))
+        before += ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, first in zip(batch.column("uri").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                reader = Reader(uri)
+                starts = first + np.cumsum(reader.counts) - reader.counts
+                held: list[np.ndarray] = []
+                size = done = 0
+                for row, ids in reader.documents():
+                    held.append(ids)
+                    size += len(ids)
+                    if size >= BLOCK_IDS * 8 or row + 1 == len(reader.counts):
+                        at = slice(done, row + 1)
+                        offsets = pa.array(np.concatenate([[0], np.cumsum(reader.counts[at])]), pa.int32())
+                        yield pa.RecordBatch.from_arrays(
+                            [reader.doc_ids[at], pa.array(starts[at]), pa.array(reader.counts[at]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(held).astype(np.int32)))],
+                            names=["doc_id", "start", "n_tokens", "ids"],
+                        )
+                        held, size, done = [], 0, row + 1
+
+    table = spark.createDataFrame(rows, "part int, uri string, first long").repartition(max(1, len(rows)))
+    return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+
+
+def id_checksums(tokens: DataFrame) -> DataFrame:
+    """The documents with ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers) in place of the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("ids")
+            values, offsets = np.asarray(column.values).astype("<u4"), np.asarray(column.offsets)
+            crc = [zlib.crc32(values[a:z]) for a, z in zip(offsets, offsets[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def token_file_round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
+    """Write all documents to a fresh shared folder and return what the files hold."""
+    spark = docs.sparkSession
+    files = write_token_files(docs, scratch_path(spark, "token-files"), tokenizer, **options)
+    return read_token_files(spark, files)
