@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import licenses, mixing, quality, shards, simhash, tokenfile
+from rasterloom.llm import ann, licenses, mixing, quality, shards, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,9 @@ def _license_sql() -> str:
 @query("op7_licenses", "documents", _license_sql())
 def op7(documents: DataFrame) -> DataFrame:
     return licenses.scan_licenses(documents)
+
+
+@query("op8_vantage_point_search", "embeddings")
+def op8(embeddings: DataFrame) -> DataFrame:
+    """The relaxed search; tests hold factor 1 against brute force and measure the recall of this one."""
+    return ann.nearest_neighbours(embeddings, embeddings.where("vec_id % 100 = 0"), k=10)
