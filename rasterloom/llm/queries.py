@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, licenses, mixing, quality, shards, simhash, tokenfile
+from rasterloom.llm import ann, licenses, mixing, pieces, quality, shards, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,12 @@ def op7(documents: DataFrame) -> DataFrame:
 def op8(embeddings: DataFrame) -> DataFrame:
     """The relaxed search; tests hold factor 1 against brute force and measure the recall of this one."""
     return ann.nearest_neighbours(embeddings, embeddings.where("vec_id % 100 = 0"), k=10)
+
+
+@query("op2_pieces", "documents")
+def op2(documents: DataFrame) -> DataFrame:
+    """Sampled ids and their exact round trip; tests hold the draw against enumerated segmentations."""
+    model = vocabulary("piece_bpe_32k.model")
+    encoded = pieces.encode_pieces(documents.select("doc_id", "text"), model, alpha=1.0, seed=2)
+    decoded = pieces.decode_pieces(encoded, model)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"), "ids")
