@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, licenses, mixing, pieces, quality, shards, simhash, tokenfile
+from rasterloom.llm import ann, html, licenses, mixing, pieces, quality, shards, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,9 @@ def op2(documents: DataFrame) -> DataFrame:
     encoded = pieces.encode_pieces(documents.select("doc_id", "text"), model, alpha=1.0, seed=2)
     decoded = pieces.decode_pieces(encoded, model)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"), "ids")
+
+
+@query("op9_html_text", "pages")
+def op9(pages: DataFrame) -> DataFrame:
+    """SQL has no HTML parser; tests hold it against pages whose text is known."""
+    return html.extract_main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
