@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, html, licenses, mixing, pieces, quality, shards, simhash, tokenfile
+from rasterloom.llm import ann, html, licenses, mixing, pieces, quality, secrets, shards, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,24 @@ def op2(documents: DataFrame) -> DataFrame:
 def op9(pages: DataFrame) -> DataFrame:
     """SQL has no HTML parser; tests hold it against pages whose text is known."""
     return html.extract_main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op1_secrets", "documents")
+def op1(documents: DataFrame) -> DataFrame:
+    """The field cannot be written in SQL; tests hold the patterns and the decoding against brute force."""
+    found = secrets.find_secrets(documents.select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(kind: str):
+        return F.filter("secrets", lambda s: s["kind"] == kind)
+
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+        F.size(of("crf")).cast("long").alias("n_crf"),
+    )
