@@ -41,8 +41,9 @@ from rasterloom.plans.scratch import scratch_path
 MAGIC = b"TKPLANE1"
 BLOCK_IDS = 1 << 16
 END_ID = 0
-MOST_CHUNKS = 500_000
-_GAP = re.compile(r"\s ")
+MOST_CHUNKS = 400_000
+# A letter with a punctuation mark other than an apostrophe after it: byte-level vocabularies never join the two.
+_WORD_END = re.compile(r"(?<=[^\W\d_])(?=[!-&(-/:-@\[-`{-~])")
 
 
 class ChunkEncoder:
@@ -50,9 +51,10 @@ class ChunkEncoder:
 
     A byte-level vocabulary never joins a visible character with a space after
     it, so a text can be cut before each such space and its chunks encoded apart.
-    New words are encoded many at a time, joined by spaces: the token that begins
-    with the space shows where each word starts. When the memory of chunks is
-    full, chunks met only once leave it.
+    A new chunk is cut once more where its word ends, as many chunks share a word and
+    differ in the marks after it. New words are encoded many at a time, joined by
+    spaces: the token that begins with the space shows where each word starts. When
+    the memory of chunks is full, chunks met only once leave it.
     """
 
     def __init__(self, path: str) -> None:
@@ -65,8 +67,10 @@ class ChunkEncoder:
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.codes: dict[str, int] = {}
         self.uses = np.zeros(0, np.int64)
+        self.blank = np.zeros(0, bool)  # empty, or white space at the end
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -74,15 +78,28 @@ class ChunkEncoder:
     def shrink(self) -> None:
         keep = self.uses > 1
         old = np.flatnonzero(keep)
-        place = np.cumsum(keep) - 1
-        self.codes = {k: int(place[c]) for k, c in self.codes.items() if keep[c]}
-        lengths = self.lengths[old]
+        place = (np.cumsum(keep) - 1).tolist()
+        self.codes = {k: place[c] for k, c in self.codes.items() if keep[c]}
+        self.flat, ends = self._gather(old)
+        self.lengths = self.lengths[old]
+        self.starts, self.uses, self.blank = ends - self.lengths, self.uses[old] // 2, self.blank[old]
+
+    def _append(self, keys: list[str], flat: list[np.ndarray], lengths: np.ndarray, blank: list[bool]) -> None:
+        """Store chunks; ``blank`` is about the first of them, the rest are not blank."""
+        self.codes.update(zip(keys, range(len(self.codes), len(self.codes) + len(keys)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
+        self.blank = np.concatenate([self.blank, np.array(blank, dtype=bool), np.zeros(len(keys) - len(blank), bool)])
+        self.flat = np.concatenate([self.flat, *flat])
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the coded chunks one after the other, and where each chunk's ids end."""
+        lengths = self.lengths[codes]
         ends = np.cumsum(lengths)
-        self.flat = self.flat[np.repeat(self.starts[old] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
-        self.starts, self.lengths, self.uses = ends - lengths, lengths, self.uses[old] // 2
+        return self.flat[np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))], ends
 
-    def learn(self, keys: list[str]) -> None:
-        """Add chunks that are not known yet."""
+    def _learn_whole(self, keys: list[str]) -> None:
         alone = [k for k in keys if k[:1] == " " or k[-1:].isspace() or not k]
         found = [e.ids for e in self.tokenizer.encode_batch_fast([k[1:] if k[:1] == " " else " " + k for k in alone], add_special_tokens=False)]
         lengths = [np.fromiter(map(len, found), np.int64, len(found))]
@@ -98,20 +115,33 @@ class ChunkEncoder:
                 raise ValueError("this vocabulary does not mark the starts of words")
             flat.append(ids)
             lengths.append(np.diff(starts, append=len(ids)))
-        new = np.concatenate(lengths)
-        self.codes.update(zip(alone + joined, range(len(self.codes), len(self.codes) + len(keys)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(new) - new])
-        self.lengths = np.concatenate([self.lengths, new])
-        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
-        self.flat = np.concatenate([self.flat, *flat])
+        self._append(alone + joined, flat, np.concatenate(lengths), [not k or k[-1].isspace() for k in alone])
+
+    def learn(self, keys: list[str]) -> None:
+        """Add chunks that are not known yet."""
+        whole, cut, heads, tails = [], [], [], []
+        search = _WORD_END.search
+        for k in keys:
+            whole_only = k[:1] == " " or k[-1:].isspace() or any(x in k for x in self.special)
+            end = None if whole_only else search(k)
+            if end is None:
+                whole.append(k)
+            else:
+                cut.append(k)
+                heads.append(k[: end.start()])
+                tails.append(" " + k[end.start() :])
+        self._learn_whole([k for k in dict.fromkeys([*whole, *heads, *tails]) if k not in self.codes])
+        if cut:
+            pairs = np.empty(2 * len(cut), np.int64)
+            pairs[::2] = np.fromiter(map(self.codes.get, heads), np.int64, len(cut))
+            pairs[1::2] = np.fromiter(map(self.codes.get, tails), np.int64, len(cut))
+            ids, _ = self._gather(pairs)
+            self._append(cut, [ids], self.lengths[pairs].reshape(-1, 2).sum(axis=1), [])
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Keys: a word stands for itself after a space; a key that begins with a space stands for the rest of it."""
+    def merged(text: str) -> list[str]:
+        """Chunks of a text with spaces after white space, which must not be cut there."""
         parts = text.split(" ")
-        if text[:1] != " " and not _GAP.search(text):
-            parts[0] = " " + parts[0]
-            return parts
         out, held = [], parts[0]
         for part in parts[1:]:
             if held and not held[-1].isspace():
@@ -121,23 +151,39 @@ class ChunkEncoder:
                 held += " " + part
         return [*out, " " + held]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the number of ids of each text."""
-        if len(self.codes) > MOST_CHUNKS:
-            self.shrink()
-        lists = [self.chunks(t) for t in texts]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        keys = [k for x in lists for k in x]
+    def coded(self, keys: list[str]) -> np.ndarray:
         codes = np.fromiter(map(self.codes.get, keys, repeat(-1)), np.int64, len(keys))
         missing = np.flatnonzero(codes < 0)
         if len(missing):
             unknown = [keys[i] for i in missing]
             self.learn(list(dict.fromkeys(unknown)))
             codes[missing] = np.fromiter(map(self.codes.get, unknown), np.int64, len(unknown))
+        return codes
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and the number of ids of each text.
+
+        A word's key is the word itself, for the chunk of a space and the word; a
+        key that begins with a space stands for the rest of it.
+        """
+        if len(self.codes) > MOST_CHUNKS:
+            self.shrink()
+        lists = [t.split(" ") for t in texts]
+        for parts in lists:
+            parts[0] = " " + parts[0]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        codes = self.coded([k for x in lists for k in x])
+        last = np.cumsum(counts) - 1
+        blank = self.blank[codes]
+        blank[last] = False
+        if blank.any():
+            row = np.repeat(np.arange(len(texts)), counts)
+            for k in np.unique(row[blank]):
+                lists[k] = self.merged(texts[k])
+            counts = np.fromiter(map(len, lists), np.int64, len(lists))
+            codes = self.coded([k for x in lists for k in x])
         self.uses += np.bincount(codes, minlength=len(self.uses))
-        lengths = self.lengths[codes]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        ids, ends = self._gather(codes)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(bounds)
 
@@ -279,7 +325,7 @@ class Reader:
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, planes: str = "bit", block: int = BLOCK_IDS
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, planes: str = "byte", block: int = BLOCK_IDS
 ) -> list[tuple[int, str, int, int]]:
     """Encode all documents and write them in ascending id order; (file number, uri, documents, ids) per file."""
 
