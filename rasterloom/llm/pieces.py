@@ -290,6 +290,7 @@ def encode_pieces(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0
     """The table with ``ids``: a sampled segmentation of ``text``, reproducible by ``key``. A column of that name is replaced."""
     base = docs.drop("ids")
     keyed = base.withColumn("__key", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{key}`").isNull()))
+    names = [*base.columns, "ids"]
     schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +300,7 @@ def encode_pieces(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0
                 ids, counts = sampler.sample(as_texts(piece.column(text)), np.asarray(piece.column("__key"), dtype=np.int64))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 own = [c for name, c in zip(piece.schema.names, piece.columns, strict=True) if name != "__key"]
-                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(offsets, pa.array(ids))], names=base.columns + ["ids"])
+                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(offsets, pa.array(ids))], names=names)
 
     return keyed.mapInArrow(run, schema)
 

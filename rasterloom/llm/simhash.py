@@ -20,6 +20,11 @@ vantage-point tree per mask finds every pair, at a radius that prunes:
 4. A task returns a spanning set of its links, never all pairs of a group, and
    the components are found with distributed label passing.
 
+A short fingerprint of a very large corpus also meets by chance. Where ``confirm`` is
+set, each document carries 128 more fingerprint bits of the same shingles, and a
+link holds only if at most ``confirm`` of those differ too; the search itself stays
+on the first 64.
+
 Null or word-free texts have fingerprint zero. Repeated ids give a row each; an
 empty table gives no rows.
 """
@@ -36,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import as_bytes, slices
+from rasterloom.llm.common import as_bytes, mix64, slices
 from rasterloom.llm.links import components, spanning
 from rasterloom.plans.scratch import materialise
 
@@ -62,34 +67,44 @@ def shingle_digests(text: bytes, words: int) -> list[bytes]:
     return [digest(flat[a:b], HASH_SEED) for a, b in zip(starts, ends[words - 1 :], strict=False)]
 
 
-def simhashes(texts: list[bytes], words: int) -> np.ndarray:
-    """Fingerprints of several texts as int64."""
+def simhashes(texts: list[bytes], words: int, more: int = 0) -> np.ndarray:
+    """Fingerprints of several texts as int64, one column each: the plain one and ``more`` independent ones.
+
+    The further ones come from scrambled hashes of the same shingles.
+    """
     digests: list[bytes] = []
     counts = np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         own = shingle_digests(text, words)
         counts[i] = len(own)
         digests += own
-    out = np.zeros(len(texts), dtype=np.int64)
+    out = np.zeros((len(texts), 1 + more), dtype=np.int64)
     full = np.flatnonzero(counts)
     if len(full):
-        bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
+        hashes = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
         starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1).view(">i8").ravel().astype(np.int64)
+        for k in range(1 + more):
+            bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+            out[full, k] = np.packbits(2 * ones > counts[full][:, None], axis=1).view(">i8").ravel().astype(np.int64)
+            hashes = mix64(hashes)
     return out
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long)."""
+MORE = ("more1", "more2")
+
+
+def fingerprints(docs: DataFrame, words: int, more: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) and, if asked for, two further columns of 64 bits."""
+    names = ["doc_id", "fp", *(MORE if more else ())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                fps = simhashes(as_bytes(piece.column("text")), words)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+                fps = simhashes(as_bytes(piece.column("text")), words, len(names) - 2)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *[pa.array(np.ascontiguousarray(c)) for c in fps.T]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 @dataclass
@@ -136,24 +151,36 @@ def route(node: Node, fps: np.ndarray, rows: np.ndarray, home: np.ndarray, mask:
         yield from route(side, fps, rows[inside], home[inside] & own[inside], mask, radius)
 
 
-def search_links(homes: np.ndarray, queries: np.ndarray, mask: int, radius: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links between distinct ``queries`` and ``homes``."""
+@dataclass
+class Points:
+    """Fingerprints with their node numbers and, where links need confirming, further bits (rows x 2)."""
+
+    bits: np.ndarray
+    node: np.ndarray
+    more: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.bits)
+
+
+def search_links(homes: Points, queries: Points, mask: int, radius: int, max_bits: int, confirm: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links between ``queries`` and ``homes``, as node numbers."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
-    stack = [(homes, queries, mask, radius)]
+    stack = [(np.arange(len(homes)), np.arange(len(queries)), mask, radius)]
     while stack:
         h, q, m, r = stack.pop()
         if not len(h) or not len(q):
             continue
         if len(h) > LEAF:
-            vantage = h[len(h) // 2]
-            dh = distance(h, vantage, m)
+            vantage = homes.bits[h[len(h) // 2]]
+            dh = distance(homes.bits[h], vantage, m)
             if dh.min() == dh.max():
                 if m != ALL_BITS:  # equal under this mask: go on with the whole fingerprint
                     stack.append((h, q, ALL_BITS, max_bits))
                     continue
             else:
-                dq = distance(q, vantage, m)
+                dq = distance(queries.bits[q], vantage, m)
                 oh, oq = np.argsort(dh, kind="stable"), np.argsort(dq, kind="stable")
                 h, dh, q, dq = h[oh], dh[oh], q[oq], dq[oq]
                 for ring in np.unique(dh):
@@ -162,19 +189,24 @@ def search_links(homes: np.ndarray, queries: np.ndarray, mask: int, radius: int,
                     if c < d:
                         stack.append((h[a:b], q[c:d], m, r))
                 continue
-        step = max(1, (1 << 18) // len(h))
+        step, own = max(1, (1 << 18) // len(h)), homes.bits[h]
         for at in range(0, len(q), step):
             part = q[at : at + step]
-            x = part[:, None] ^ h[None, :]
-            hit = np.flatnonzero((np.bitwise_count(x) <= max_bits) & (x != 0))
-            if len(hit):
-                found.append((part[hit // len(h)], h[hit % len(h)]))
-                held += len(hit)
+            hit = np.flatnonzero(np.bitwise_count(queries.bits[part][:, None] ^ own[None, :]) <= max_bits)
+            if not len(hit):
+                continue
+            x, y = part[hit // len(h)], h[hit % len(h)]
+            good = queries.node[x] != homes.node[y]
+            if confirm is not None:
+                good &= np.bitwise_count(queries.more[x] ^ homes.more[y]).sum(axis=1) <= confirm
+            if good.any():
+                found.append((queries.node[x[good]], homes.node[y[good]]))
+                held += int(good.sum())
             if held > 2_000_000:
                 found = [spanning(*(np.concatenate(z) for z in zip(*found, strict=True)))]
                 held = len(found[0][0])
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     return spanning(*(np.concatenate(z) for z in zip(*found, strict=True)))
 
 
@@ -183,14 +215,15 @@ def band_masks(bands: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def fingerprint_links(distinct: DataFrame, max_bits: int, bands: int) -> DataFrame:
-    """A spanning set (u, v) of all links between the distinct fingerprints ``fp``."""
+def fingerprint_links(distinct: DataFrame, max_bits: int, bands: int, confirm: int | None = None) -> DataFrame:
+    """A spanning set (u, v) of all links between distinct fingerprints: columns fp, node, and further bits to confirm by."""
     spark = distinct.sparkSession
     rows = distinct.count()
     wanted = max(1, math.ceil(math.sqrt(rows / 1000)), math.ceil(rows / HOMES_PER_SHARD))
     depth = math.ceil(math.log2(wanted))
     rate = min(1.0, SAMPLE_PER_SHARD * 2**depth / max(rows, 1))
     order = F.xxhash64(F.col("fp"), F.lit(7))
+    extra = list(MORE) if confirm is not None else []
     taken = distinct.where((order.bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)) < rate).collect()
     sample = np.array(sorted(r.fp for r in taken), dtype=np.int64).view(np.uint64)
     sample = sample[np.argsort(np.array([xxhash.xxh64_intdigest(int(x).to_bytes(8, "big"), 3) for x in sample], dtype=np.uint64))]
@@ -223,32 +256,39 @@ def fingerprint_links(distinct: DataFrame, max_bits: int, bands: int) -> DataFra
                     who = np.concatenate([visitors, np.tile(visitors[at], n)])
                     kind = np.concatenate([np.zeros(len(visitors), bool), np.ones(n * len(at), bool)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(task, pa.int32()), pa.array(np.full(len(who), band), pa.int32()), pa.array(kind), pa.array(fps[who])],
-                        names=["task", "band", "home", "fp"],
+                        [pa.array(task, pa.int32()), pa.array(np.full(len(who), band), pa.int32()), pa.array(kind), *[c.take(pa.array(who)) for c in batch.columns]],
+                        names=["task", "band", "home", *batch.schema.names],
                     )
 
     def search(table: pa.Table) -> pa.Table:
         home = np.asarray(table.column("home"), dtype=bool)
         bits = np.asarray(table.column("fp"), dtype=np.int64).view(np.uint64)
-        mask = masks[table.column("band")[0].as_py()]
-        u, v = search_links(bits[home], bits[~home], mask, radius, max_bits)
-        return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
-
-    sent = distinct.select("fp").mapInArrow(send, "task int, band int, home boolean, fp long")
+        node = np.asarray(table.column("node"), dtype=np.int64)
+        more = np.stack([np.asarray(table.column(c), dtype=np.int64) for c in extra], axis=1).view(np.uint64) if extra else None
+        homes, queries = (Points(bits[x], node[x], None if more is None else more[x]) for x in (home, ~home))
+        u, v = search_links(homes, queries, masks[table.column("band")[0].as_py()], radius, max_bits, confirm)
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+
+    columns = ["fp", "node", *extra]
+    sent = distinct.select(*columns).mapInArrow(send, "task int, band int, home boolean, " + ", ".join(f"{c} long" for c in columns))
     return sent.groupBy("task").applyInArrow(search, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, bands: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, bands: int = 3, confirm: int | None = None) -> DataFrame:
     """doc_id, fp and component_id: the smallest id that links can reach, the document's own included.
 
-    Links join fingerprints with at most ``max_bits`` differing bits.
+    Links join fingerprints with at most ``max_bits`` differing bits (and at most
+    ``confirm`` of the 128 further ones, where that is given).
     """
-    fps = materialise(fingerprints(docs, words), "fingerprints")
-    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
-    roots = materialise(components(fingerprint_links(reps, max_bits, bands)).withColumnRenamed("node", "fp").join(reps, "fp"), "fingerprint-roots")
+    own = ["fp", *(MORE if confirm is not None else ())]
+    node = F.col("fp") if confirm is None else F.xxhash64(*own)
+    fps = materialise(fingerprints(docs, words, confirm is not None).withColumn("node", node), "fingerprints")
+    reps = materialise(fps.groupBy("node", *own).agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
+    links = fingerprint_links(reps, max_bits, bands, confirm)
+    roots = materialise(components(links).join(reps.select("node", "rep"), "node"), "fingerprint-roots")
     least = materialise(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "fingerprint-least")
-    joined = roots.join(least, "root").select("fp", "component_id")
+    joined = roots.join(least, "root").select("node", "component_id")
     members = materialise(
-        reps.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "fingerprint-members"
+        reps.join(joined, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "fingerprint-members"
     )
-    return fps.join(members, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(members, "node").select("doc_id", "fp", "component_id")
