@@ -10,13 +10,20 @@ dice = 2 |A and B| / (|A| + |B|). Before that,
 * a unit is dropped if even all its bigrams known to any template could not reach
   t against the smallest candidate.
 
-Both bounds are exact. Null and empty texts have no units with bigrams and give no
+Both bounds are exact. So is the one that most texts stop at: a unit that reaches the
+threshold shares so many bigrams with its template that at least one of them holds an
+anchor word; texts and units without any anchor word are passed over. The anchors are
+chosen from the templates by that rule. Null and empty texts have no units with bigrams and give no
 rows; repeated rows give their rows again; equal scores are all returned.
 """
 
 from __future__ import annotations
 
+import math
+import operator
 import re
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +96,32 @@ def units(text: Column) -> Column:
     return F.concat(let(F.split(text, "\n", -1), of_lines), paragraphs)
 
 
+def anchor_words(sets: list[set[str]], threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold against some template holds at least one.
+
+    A unit with |A| bigrams shares at least t (|A| + |B|) / 2 of them, and |A| is at least
+    t / (2 - t) |B|. Once fewer bigrams of a template are without an anchor than
+    that, a shared one has an anchor.
+    """
+    needed = [math.ceil(threshold * (math.ceil(threshold / (2 - threshold) * len(s) - 1e-9) + len(s)) / 2 - 1e-9) for s in sets]
+    open_ = [{g for g in s} for s in sets]
+    chosen: list[str] = []
+    while any(len(s) >= n for s, n in zip(open_, needed, strict=True)):
+        gain: Counter[str] = Counter()
+        for s, n in zip(open_, needed, strict=True):
+            if len(s) >= n:
+                gain.update(w for g in s for w in set(g.split(" ")))
+        word = max(gain, key=lambda w: (min(len(w), 5), gain[w], w))
+        chosen.append(word)
+        open_ = [{g for g in s if word not in g.split(" ")} for s in open_]
+    return chosen
+
+
+def has_anchor(text: Column, anchors: list[str]) -> Column:
+    """Whether a text may hold an anchor word; small letters come from ``lower``, which maps A-Z as the normalisation does."""
+    return let(F.lower(text), lambda low: reduce(operator.or_, [F.contains(low, F.lit(w)) for w in anchors]))
+
+
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per unit and template that reach the threshold.
 
@@ -96,7 +129,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     """
     sets = [plain_bigrams(text) for _, text in templates]
     known = sorted(set().union(*sets))
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9  # bounds may be met exactly
     sizes = sorted({len(s) for s in sets})
     table = F.array(
         *[
@@ -124,7 +157,9 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
         bigrams(F.col("u.text")),
         lambda own: F.struct(F.size(own).alias("n"), F.when(bounded(own), F.when(F.coalesce(could(own), F.lit(False)), compare(own)).otherwise(none)).otherwise(none).alias("matches")),
     )
-    cut = docs.select(F.col("doc_id"), F.explode(units(F.col("text"))).alias("u"))
+    anchors = anchor_words(sets, threshold)
+    near = docs.where(has_anchor(F.col("text"), anchors)).select("doc_id", "text")
+    cut = near.select(F.col("doc_id"), F.explode(units(F.col("text"))).alias("u")).where(has_anchor(F.col("u.text"), anchors))
     scored = cut.select("doc_id", "u.unit", "u.place", "u.part", F.explode(F.array(found)).alias("f"))
     return scored.select("doc_id", "unit", "place", "part", F.col("f.n").alias("n_bigrams"), F.explode("f.matches").alias("m")).select(
         "doc_id", "unit", "place", "part", "m.license", "m.template", "n_bigrams", "m.dice"
