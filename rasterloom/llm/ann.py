@@ -12,7 +12,8 @@ Both trees drop a branch if ``factor * bound >= distance of the k-th hit``, wher
 exact; a larger one drops branches whose bound comes close, trading recall for
 work. Distances are Euclidean, in double precision, on the original vectors.
 
-Vectors that are null, zero, or hold null or non-finite components take no part.
+Vectors that are null, zero, or hold null or non-finite components take no part,
+nor do rows without an id.
 Vectors of different lengths never meet. Rows with the query's own id are no
 candidates; a repeated query id is answered for each of its rows. Ties go to the
 smaller id. An empty table gives no rows.
@@ -149,7 +150,7 @@ def nearest_neighbours(
 ) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` found for each row of ``queries``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    narrow = lambda df: df.where(usable(vector)).select(
+    narrow = lambda df: df.where(usable(vector) & F.col(id_column).isNotNull()).select(
         F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")
     )
     corpus = narrow(vectors).withColumn("dim", F.size("v"))
@@ -164,7 +165,7 @@ def nearest_neighbours(
         rate = min(1.0, SAMPLE_PER_REGION * 2**depth / n)
         order = F.xxhash64("vec_id", F.lit(5)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
         taken = corpus.where((F.col("dim") == dim) & (order <= rate)).select("vec_id", "v").collect()
-        sample = np.array([r.v for r in sorted(taken, key=lambda r: (r.vec_id is None, r.vec_id))], dtype=float).reshape(-1, dim)
+        sample = np.array([r.v for r in sorted(taken, key=lambda r: r.vec_id)], dtype=float).reshape(-1, dim)
         leaves: list[int] = []
         trees[dim] = region_tree(sample, depth, leaves)
         splits = np.maximum(1, np.ceil(np.array(leaves) / max(rate, 1e-12) / HOMES_PER_TASK)).astype(np.int64)
@@ -211,8 +212,8 @@ def nearest_neighbours(
             return _found([], [], [], [])
         x = np.asarray(homes.column("v").combine_chunks().flatten()).reshape(len(homes), -1)
         q = np.asarray(own.column("v").combine_chunks().flatten()).reshape(len(own), -1)
-        ids = np.asarray(homes.column("vec_id").fill_null(np.iinfo(np.int64).max - 1), dtype=np.int64)
-        named = np.asarray(own.column("vec_id").fill_null(-1), dtype=np.int64)
+        ids = np.asarray(homes.column("vec_id"), dtype=np.int64)
+        named = np.asarray(own.column("vec_id"), dtype=np.int64)
         best = Best(q, named, k, np.asarray(own.column("reach"), dtype=float))
         search_shard(x, ids, best, factor)
         hit = np.isfinite(best.score)

@@ -42,8 +42,9 @@ from rasterloom.llm.common import as_texts, mix64, slices
 
 SPACE = "▁"
 BITS = 32
-MOST_UNITS = 200_000
-SLICE_TEXT = 2 << 20
+MOST_UNITS = 120_000
+UNITS_AT_ONCE = 10_000  # lattices built together, a bound on working memory
+SLICE_TEXT = 1 << 20
 
 
 BYTE_SYMBOL = 0x110000  # symbols are code points, and above them the 256 byte pieces
@@ -209,20 +210,23 @@ class Sampler:
         self.codes: dict[str, int] = {}
         self.ends = np.zeros(0, np.int64)
         self.keys = np.zeros(0, np.int64)
-        self.before = np.zeros(0, np.int64)
+        self.before = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
         self.uses = np.zeros(0, np.int64)
         self.places = 0
 
     def _learn(self, new: list[str]) -> None:
-        found = lattices(new, self.vocabulary)
+        keys, before, ids, ends = [self.keys], [self.before], [self.ids], [self.ends]
+        for at in range(0, len(new), UNITS_AT_ONCE):
+            found = lattices(new[at : at + UNITS_AT_ONCE], self.vocabulary)
+            keys.append(found.keys + (np.int64(self.places) << BITS))
+            before.append(np.where(found.before < 0, -1, found.before + self.places).astype(np.int32))
+            ids.append(found.ids)
+            ends.append(found.last + self.places)
+            self.places += int(found.last[-1]) + 1
         self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
-        self.keys = np.concatenate([self.keys, found.keys + (np.int64(self.places) << BITS)])
-        self.before = np.concatenate([self.before, np.where(found.before < 0, -1, found.before + self.places)])
-        self.ids = np.concatenate([self.ids, found.ids])
-        self.ends = np.concatenate([self.ends, found.last + self.places])
+        self.keys, self.before, self.ids, self.ends = map(np.concatenate, (keys, before, ids, ends))
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
-        self.places += int(found.last[-1]) + 1
 
     def _shrink(self) -> None:
         often = [u for u, c in self.codes.items() if self.uses[c] > 2]
@@ -256,7 +260,7 @@ class Sampler:
             edge = np.searchsorted(self.keys, at << BITS | r, side="right") - 1
             drawn.append(self.ids[edge])
             walkers.append(alive)
-            at = self.before[edge]
+            at = self.before[edge].astype(np.int64)
             open_ = at >= 0
             step += 1
             steps[alive[~open_]] = step
@@ -286,21 +290,33 @@ def _vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
-def encode_pieces(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The table with ``ids``: a sampled segmentation of ``text``, reproducible by ``key``. A column of that name is replaced."""
-    base = docs.drop("ids")
+def encode_pieces(
+    docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text", checked: str | None = None
+) -> DataFrame:
+    """The table with ``ids``: a sampled segmentation of ``text``, reproducible by ``key``. A column of that name is replaced.
+
+    ``checked`` names a column that says whether the ids decode to the text again.
+    """
+    base = docs.drop("ids", *([checked] if checked else []))
     keyed = base.withColumn("__key", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{key}`").isNull()))
-    names = [*base.columns, "ids"]
-    schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    names = [*base.columns, "ids", *([checked] if checked else [])]
+    extra = [T.StructField(checked, T.BooleanType())] if checked else []
+    schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(model, alpha, seed)
         for batch in batches:
             for piece in slices(batch, text, SLICE_TEXT):
-                ids, counts = sampler.sample(as_texts(piece.column(text)), np.asarray(piece.column("__key"), dtype=np.int64))
+                texts = as_texts(piece.column(text))
+                ids, counts = sampler.sample(texts, np.asarray(piece.column("__key"), dtype=np.int64))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 own = [c for name, c in zip(piece.schema.names, piece.columns, strict=True) if name != "__key"]
-                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(offsets, pa.array(ids))], names=names)
+                if checked:
+                    back = map(sampler.vocabulary.decode, np.split(ids, np.cumsum(counts)[:-1]))
+                    own_check = [pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())]
+                else:
+                    own_check = []
+                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(offsets, pa.array(ids)), *own_check], names=names)
 
     return keyed.mapInArrow(run, schema)
 
