@@ -349,15 +349,14 @@ def _(t):
 
 @check(
     "a20_equalise_histogram",
-    f"""
-    WITH e AS (SELECT vec_id, pos, v, min(v) OVER w AS lo, max(v) OVER w AS hi FROM {ENT} WINDOW w AS (PARTITION BY vec_id)),
-    b AS (SELECT *, (hi - lo) / 256 AS step, least(CAST(floor((v - lo) / (hi - lo) * 256) AS BIGINT), 255) AS bin FROM e),
-    h AS (SELECT vec_id, g.bin, count(b.pos) AS n FROM (SELECT DISTINCT vec_id, r.bin FROM embeddings, range(256) r(bin)) g LEFT JOIN b USING (vec_id, bin) GROUP BY vec_id, g.bin),
-    c AS (SELECT vec_id, bin, sum(n) OVER (PARTITION BY vec_id ORDER BY bin) / 64 AS cdf FROM h),
-    x AS (SELECT *, (v - lo) / step - 0.5 AS xp FROM b),
-    y AS (SELECT *, greatest(0, least(255, CAST(floor(xp) AS BIGINT))) AS k, greatest(0, least(255, CAST(floor(xp) AS BIGINT) + 1)) AS k1 FROM x)
-    SELECT y.vec_id, CAST(y.pos AS INTEGER) AS pos, round(a.cdf + (b.cdf - a.cdf) * (xp - floor(xp)), 6) AS v
-    FROM y JOIN c a ON a.vec_id = y.vec_id AND a.bin = y.k JOIN c b ON b.vec_id = y.vec_id AND b.bin = y.k1
+    """
+    WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+    r AS (SELECT vec_id, vec, list_min(vec) AS lo, (list_max(vec) - list_min(vec)) / 256 AS step FROM e),
+    b AS (SELECT *, list_transform(vec, lambda v: least(CAST(floor((v - lo) / step) AS BIGINT), 255)) AS bins FROM r),
+    x AS (SELECT vec_id, bins, len(vec) AS n, unnest(list_transform(vec, lambda v: (v - lo) / step - 0.5)) AS xp, generate_subscripts(vec, 1) - 1 AS pos FROM b),
+    y AS (SELECT *, greatest(0, least(255, CAST(floor(xp) AS BIGINT))) AS k, greatest(0, least(255, CAST(floor(xp) AS BIGINT) + 1)) AS k1 FROM x),
+    c AS (SELECT *, len(list_filter(bins, lambda q: q <= k)) / n AS low, len(list_filter(bins, lambda q: q <= k1)) / n AS high FROM y)
+    SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(low + (high - low) * (xp - floor(xp)), 6) AS v FROM c
     """,
 )
 def _(t):

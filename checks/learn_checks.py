@@ -38,16 +38,16 @@ def _labelled(t):
 
 @check("v9_train_presence")
 def _(t):
-    model = learn.train_presence(_labelled(t).filter("split = 'train'"))
+    fitted = learn.train_presence(_labelled(t).filter("split = 'train'"))
     # p13 keeps the detected rows; here every prediction is shown
-    return learn.predict(model, s.embeddings(t), ["vec_id"])
+    return learn.predict(fitted, s.embeddings(t), ["vec_id"])
 
 
 @check("v9_presence_metrics")
 def _(t):
     rows = _labelled(t)
-    model = learn.train_presence(rows.filter("split = 'train'"))
-    tested = learn.predict(model, rows.filter("split = 'test'"), ["class"])
+    fitted = learn.train_presence(rows.filter("split = 'train'"))
+    tested = learn.predict(fitted, rows.filter("split = 'test'"), ["class"])
     return classification_metrics(tested, "class", "prediction", positive=1)
 
 
@@ -58,12 +58,12 @@ def _three(t):
 @check("v10_train_svm")
 def _(t):
     rows = _three(t)
-    model = learn.train_svm(rows.filter("split = 'train'"), "kind", max_iter=10)
-    return learn.predict(model, rows.filter("split = 'test'"), ["vec_id", "kind"])
+    fitted = learn.train_svm(rows.filter("split = 'train'"), "kind")
+    return learn.predict(fitted, rows.filter("split = 'test'"), ["vec_id", "kind"])
 
 
 @check("v11_train_mlp_head")
 def _(t):
     rows = _three(t)
-    model = learn.train_mlp_head(rows.filter("split = 'train'"), "kind", 3, 64, hidden=32, max_iter=20)
-    return learn.predict(model, rows.filter("split = 'test'"), ["vec_id", "kind"])
+    fitted = learn.train_mlp_head(rows.filter("split = 'train'"), "kind", 3, 64)
+    return learn.predict(fitted, rows.filter("split = 'test'"), ["vec_id", "kind"])

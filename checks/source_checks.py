@@ -134,31 +134,39 @@ def _(t):
 
 
 def landing_files(t):
-    """Full and short stacks (events), stacks without pixels (pages), no stacks at all (documents)."""
+    """Full and short stacks (events), stacks without pixels (pages), no stacks at all (documents).
+
+    Files of the three kinds share their names and differ by folder.
+    """
 
     def stacks(name: str, rows, key: str, per: int):
         members = F.array_sort(F.collect_list(F.struct(key, F.array(F.array(F.col("v").cast("float"))).alias("p"))))
         grouped = rows.groupBy(F.floor(F.col(key) / per).alias("n")).agg(members.alias("m"))
         return grouped.select(
-            F.concat(F.lit(f"landing/{name}_"), F.col("n").cast("string"), F.lit(".npz")).alias("path"),
+            F.concat(F.lit(f"landing/{name}/cube_"), F.col("n").cast("string"), F.lit(".npz")).alias("path"),
             F.lit(1).alias("h"),
             F.lit(1).alias("w"),
             F.col("m.p").alias("pixels"),
         )
 
     good = c.encode_stacks(stacks("events", t("events").withColumn("v", F.col("value")), "event_id", 128))
-    other = c.encode_stacks(stacks("pages", t("pages").withColumn("v", F.lit(1.0)), "page_id", 100), "labels")
-    junk = t("documents").select(
-        F.concat(F.lit("landing/doc_"), F.col("doc_id").cast("string"), F.lit(".npz")).alias("path"),
-        F.col("text").cast("binary").alias("content"),
+    other = c.encode_stacks(stacks("pages", t("pages").withColumn("v", F.length("html")), "page_id", 100), "labels")
+    junk = t("documents").groupBy(F.floor(F.col("doc_id") / 20).alias("n")).agg(
+        F.array_join(F.array_sort(F.collect_list("text")), "\n").cast("binary").alias("content")
     )
+    junk = junk.select(F.concat(F.lit("landing/documents/cube_"), F.col("n").cast("string"), F.lit(".npz")).alias("path"), "content")
     return good.unionByName(other).unionByName(junk)
 
 
+def short_path(path: str):
+    """Folder and name of a file."""
+    return F.array_join(F.slice(F.split(path, "/"), -2, 2), "/")
+
+
 QA = """
-    SELECT 'events_' || (event_id // 128) || '.npz' AS file, CASE WHEN count(*) = 128 THEN 'valid' ELSE 'wrong_first_dim' END AS status FROM events GROUP BY event_id // 128
-    UNION ALL SELECT DISTINCT 'pages_' || (page_id // 100) || '.npz', 'missing_pixels' FROM pages
-    UNION ALL SELECT 'doc_' || doc_id || '.npz', 'unreadable' FROM documents
+    SELECT 'events/cube_' || (event_id // 128) || '.npz' AS file, CASE WHEN count(*) = 128 THEN 'valid' ELSE 'wrong_first_dim' END AS status FROM events GROUP BY event_id // 128
+    UNION ALL SELECT DISTINCT 'pages/cube_' || (page_id // 100) || '.npz', 'missing_pixels' FROM pages
+    UNION ALL SELECT DISTINCT 'documents/cube_' || (doc_id // 20) || '.npz', 'unreadable' FROM documents
 """
 
 
@@ -168,7 +176,7 @@ def _(t):
     checked = c.chip_qa(c.stack_files(t.spark, root))
     valid, quarantine = c.split_by_qa(checked)
     both = valid.unionByName(quarantine)
-    return both.select(F.element_at(F.split("path", "/"), -1).alias("file"), "status")
+    return both.select(short_path("path").alias("file"), "status")
 
 
 def located_chips(t):

@@ -67,29 +67,33 @@ def equalise_histogram(chips: DataFrame, values: str, nbins: int = 256) -> DataF
     """Map each value of the array through the cumulative distribution of its own array.
 
     The distribution is taken at the centres of equal bins and interpolated
-    linearly. Per-row work, hence Arrow batches and no shuffle.
+    linearly, over all bands of a chip at once if its array holds several. NULLs
+    (and NaN) stay and are not counted. Per-row work, hence Arrow batches and no
+    shuffle.
     """
     schema = T.StructType(
         [T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == values else f for f in chips.schema]
     )
 
     def one(v: np.ndarray) -> np.ndarray:
-        if not v.size or v.min() == v.max():
-            return np.ones_like(v)
-        counts, edges = np.histogram(v, bins=nbins)
-        share = counts.cumsum() / v.size
-        return np.interp(v, (edges[:-1] + edges[1:]) / 2, share)
+        there = ~np.isnan(v)
+        own = v[there]
+        if own.size:
+            counts, edges = np.histogram(own, bins=nbins)
+            v[there] = np.interp(own, (edges[:-1] + edges[1:]) / 2, counts.cumsum() / own.size)
+        return v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(values)
             column = batch.column(at)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = column.flatten()
+            empty = np.asarray(flat.is_null())
             ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            parts = np.split(flat, ends[:-1]) if len(ends) else []
-            out = np.concatenate([one(p) for p in parts]) if parts else flat
+            parts = np.split(np.array(flat.cast(pa.float64()).fill_null(np.nan), dtype=np.float64), ends[:-1]) if len(ends) else []
+            out = np.concatenate([one(p) for p in parts]) if parts else np.zeros(0)
             offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-            mapped = pa.ListArray.from_arrays(offsets, pa.array(out, pa.float64()))
+            mapped = pa.ListArray.from_arrays(offsets, pa.array(out, pa.float64(), mask=empty), mask=column.is_null())
             columns = [mapped if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 

@@ -120,32 +120,48 @@ def sensor_summary(chips: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def normalise_join(values: DataFrame, registry: DataFrame) -> DataFrame:
-    """Long (platform, band, value) rows scaled with the registry."""
-    stats = F.broadcast(registry.select("platform", "band", "mean", "std"))
+def known(found: Column, wanted: Column, value: Column, unknown: str) -> Column:
+    """``value`` where the registry has the sensor; otherwise an error with its name, or NULL.
+
+    No chip is dropped: ``unknown="error"`` stops the job, ``unknown="null"``
+    returns the row with NULL in place of the value.
+    """
+    if unknown not in ("error", "null"):
+        raise ValueError(f"unknown must be 'error' or 'null', not {unknown}")
+    missing = F.raise_error(F.concat(F.lit("not in the sensor registry: "), F.coalesce(wanted, F.lit("NULL"))))
+    return F.when(found.isNotNull(), value).otherwise(missing if unknown == "error" else F.lit(None))
+
+
+def normalise_join(values: DataFrame, registry: DataFrame, unknown: str = "error") -> DataFrame:
+    """Long (platform, band, value) rows scaled with the registry; see ``known`` for sensors or bands it lacks."""
+    stats = F.broadcast(registry.select("platform", "band", "mean", "std", F.lit(True).alias("_known")))
+    name = F.concat_ws("/", F.coalesce("platform", F.lit("NULL")), F.coalesce("band", F.lit("NULL")))
+    scaled = F.try_divide(F.col("value") - F.col("mean"), F.col("std"))
     return (
-        values.join(stats, ["platform", "band"])
-        .withColumn("scaled", (F.col("value") - F.col("mean")) / F.col("std"))
-        .drop("mean", "std")
+        values.join(stats, ["platform", "band"], "left")
+        .withColumn("scaled", known(F.col("_known"), name, scaled, unknown))
+        .drop("mean", "std", "_known")
     )
 
 
-def standardise_chips(chips: DataFrame, registry: DataFrame) -> DataFrame:
-    """Radar to decibel, then (x - mean) / std per band: a narrow, per-row job."""
-    with_meta = chips.join(platform_meta(registry), "platform")
+def standardise_chips(chips: DataFrame, registry: DataFrame, unknown: str = "error") -> DataFrame:
+    """Radar to decibel, then (x - mean) / std per band: a narrow, per-row job; see ``known`` for unknown sensors."""
+    with_meta = chips.join(platform_meta(registry), "platform", "left")
     decibel = px.sar_to_db(F.col("pixels"), F.col("platform"))
     return with_meta.select(
         *[c for c in chips.columns if c != "pixels"],
-        px.standardise(decibel, F.col("reg_mean"), F.col("reg_std")).alias("pixels"),
+        known(F.col("reg_mean"), F.col("platform"), px.standardise(decibel, F.col("reg_mean"), F.col("reg_std")), unknown).alias("pixels"),
     )
 
 
-def destandardise_chips(chips: DataFrame, registry: DataFrame, byte_platforms: tuple[str, ...] = ("naip", "linz")) -> DataFrame:
-    """Back to sensor units; aerial sensors are cast to bytes."""
-    with_meta = chips.join(platform_meta(registry), "platform")
+def destandardise_chips(
+    chips: DataFrame, registry: DataFrame, byte_platforms: tuple[str, ...] = ("naip", "linz"), unknown: str = "error"
+) -> DataFrame:
+    """Back to sensor units; aerial sensors are cast to bytes; see ``known`` for unknown sensors."""
+    with_meta = chips.join(platform_meta(registry), "platform", "left")
     back = px.destandardise(F.col("pixels"), F.col("reg_mean"), F.col("reg_std"))
     as_byte = F.transform(px.to_byte(back), lambda b: F.transform(b, lambda v: v.cast("double")))
     return with_meta.select(
         *[c for c in chips.columns if c != "pixels"],
-        F.when(F.col("platform").isin(*byte_platforms), as_byte).otherwise(back).alias("pixels"),
+        known(F.col("reg_mean"), F.col("platform"), F.when(F.col("platform").isin(*byte_platforms), as_byte).otherwise(back), unknown).alias("pixels"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rasterloom.operators.bands import attach_band_meta
+from rasterloom.operators.bands import attach_band_meta, known
 
 
 class Encoder(Protocol):
@@ -47,7 +47,7 @@ class PatchMeanEncoder:
 
 
 class OnnxEncoder:
-    """A model file run by onnxruntime; ``feeds`` names the model inputs it takes, in any subset.
+    """A network file run by onnxruntime; ``feeds`` names the inputs it takes, in any subset.
 
     The session opens once per task, on first use. ``path`` must be readable
     from every executor (a shared folder or a shipped file).
@@ -81,18 +81,21 @@ def embed_chips(
     encoder: Encoder | Callable[..., np.ndarray],
     keep: list[str],
     batch: int = 32,
+    unknown: str = "error",
 ) -> DataFrame:
     """Vectors of all chips: (keep..., vec).
 
     Chips stay in their partitions: an Arrow batch is cut into single-platform,
     equal-shape runs of at most ``batch`` chips for the encoder. Missing time or
-    location is all zeros.
+    location is all zeros. Chips of a sensor that the registry lacks stop the job
+    with its name, or come out with a NULL vector if ``unknown`` is ``"null"``.
     """
     zeros = F.array(*[F.lit(0.0)] * 4)
     for name in ("time", "latlon"):
         if name not in chips.columns:
             chips = chips.withColumn(name, zeros)
-    ready = attach_band_meta(chips, registry).filter(F.col("waves").isNotNull())
+    ready = attach_band_meta(chips, registry)
+    ready = ready.withColumn("waves", known(F.col("waves"), F.col("platform"), F.col("waves"), unknown))
     ready = ready.select(
         *keep,
         F.col("platform").alias("_platform"),
@@ -115,6 +118,11 @@ def embed_chips(
             for one in dict.fromkeys(shape):
                 members = np.flatnonzero([s == one for s in shape])
                 _, h, w, gsd = one
+                if col["_waves"][int(members[0])].as_py() is None:
+                    part = rows.take(pa.array(members))
+                    none = pa.nulls(len(members), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n_keep)], none], schema=arrow)
+                    continue
                 for lo in range(0, len(members), batch):
                     take = pa.array(members[lo : lo + batch])
                     part = rows.take(take)

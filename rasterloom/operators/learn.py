@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 def _kept(df: DataFrame):
     """Training rows held (spilling to disk) while an estimator passes over them again and again.
 
-    They are spread evenly first: adaptive execution would otherwise cache them in
-    as few partitions as their bytes suggest, and training is bound by cores.
+    They are spread evenly first, over at least two partitions a core: adaptive
+    execution would otherwise cache them in as few partitions as their bytes
+    suggest, and training is bound by cores. The number follows the data through
+    ``spark.sql.shuffle.partitions`` and has no upper bound of its own.
     """
     spark = df.sparkSession
-    width = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     df = df.repartition(width).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield df
@@ -56,24 +58,24 @@ def pca(table: DataFrame, k: int, vec: str = "vec") -> DataFrame:
     )
     ready = _features(table, vec)
     with _kept(ready.select("features")) as rows:
-        model = steps.fit(rows)
-    loadings = model.stages[1].pc.toArray()
+        fitted = steps.fit(rows)
+    loadings = fitted.stages[1].pc.toArray()
     signs = [1.0 if col[abs(col).argmax()] >= 0 else -1.0 for col in loadings.T]
     flipped = F.zip_with(vector_to_array("_pc"), F.array(*[F.lit(s) for s in signs]), lambda v, s: v * s)
-    return model.transform(ready).withColumn("pc", flipped).drop("features", "centred", "_pc")
+    return fitted.transform(ready).withColumn("pc", flipped).drop("features", "centred", "_pc")
 
 
 def kmeans(table: DataFrame, k: int = 5, vec: str = "vec", seed: int = 42) -> DataFrame:
     ready = _features(table, vec)
     with _kept(ready.select("features")) as rows:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
-    return model.transform(ready).drop("features")
+        fitted = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
+    return fitted.transform(ready).drop("features")
 
 
 def train_presence(
     merged: DataFrame, label: str = "class", vec: str = "vec", trees: int = 100, depth: int = 5, seed: int = 42
 ):
-    """Random forest on labelled vectors; returns the fitted model.
+    """Random forest on labelled vectors; returns the fitted forest.
 
     More histogram memory per task lets all nodes of a level share one pass.
     """
@@ -110,7 +112,7 @@ def train_mlp_head(table: DataFrame, label: str, classes: int, dim: int, vec: st
         return head.fit(rows)
 
 
-def predict(model, table: DataFrame, keep: list[str], vec: str = "vec") -> DataFrame:
+def predict(fitted, table: DataFrame, keep: list[str], vec: str = "vec") -> DataFrame:
     """(keep..., prediction) for every row."""
-    scored = model.transform(_features(table, vec))
+    scored = fitted.transform(_features(table, vec))
     return scored.select(*keep, F.col("prediction").cast("int").alias("prediction"))

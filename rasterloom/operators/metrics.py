@@ -117,14 +117,14 @@ def _standardised(vals: Column) -> Column:
 
 
 def masked_l1(patches: DataFrame, by: list[str] | None = None, standardise: bool = False) -> DataFrame:
-    """L1 per patch, averaged over masked patches (vals, recon, masked)."""
+    """L1 per patch, averaged over masked patches (vals, recon, masked); NULL where nothing is masked."""
     truth = F.col("vals")
     if standardise:
         patches = patches.withColumn("vals", _standardised(truth))
     gaps = F.zip_with("vals", "recon", lambda a, b: F.abs(a - b))
     loss = F.aggregate(gaps, F.lit(0.0), lambda a, v: a + v) / F.size(gaps)
     mask = F.col("masked")
-    return patches.groupBy(*(by or [])).agg((F.sum(loss * mask) / F.sum(mask)).alias("loss"))
+    return patches.groupBy(*(by or [])).agg(F.try_divide(F.sum(loss * mask), F.sum(mask)).alias("loss"))
 
 
 def combined_loss(

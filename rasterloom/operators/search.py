@@ -21,10 +21,13 @@ STRIDE = 512  # queries multiplied with one Arrow batch at a time
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int | None) -> np.ndarray:
-    """List column to a float64 matrix without a Python loop."""
+    """List column to a float64 matrix without a Python loop; the lists must have one length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if n and (lengths != lengths[0]).any():
+        raise ValueError(f"vectors of different lengths in one search: {sorted(set(lengths.tolist()))[:5]}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(n, -1) if n else flat.reshape(0, width or 0)
     return rows if width is None else rows[:, :width]
@@ -56,6 +59,8 @@ def _block_search(queries, k: int, metric: str, width: int | None, types: tuple[
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             m = _matrix(batch.column(1), width)
+            if m.shape[1] != q.shape[1]:
+                raise ValueError(f"corpus vectors of length {m.shape[1]}, queries of length {q.shape[1]}")
             if metric == "cosine":
                 m = _unit(m)
             m_sq = (m**2).sum(axis=1)
@@ -91,6 +96,8 @@ def _block_search(queries, k: int, metric: str, width: int | None, types: tuple[
 
 def _search(corpus: DataFrame, table: pa.Table, k: int, metric: str, width: int | None, schema) -> DataFrame:
     ids = table.column(0).to_pylist()
+    if len(set(ids)) != len(ids):
+        raise ValueError("a query id occurs more than once")
     q = _matrix(table.column(1), width)
     if metric == "cosine":
         q = _unit(q)
@@ -114,6 +121,9 @@ def knn(
 ) -> DataFrame:
     """Exact k nearest corpus rows per query: (query_id, neighbour_id, distance, rank).
 
+    Rows whose vector is NULL or holds a NULL take no part, on either side.
+    Vectors of different lengths and query ids that occur twice are errors.
+
     The corpus never moves: each partition keeps its k best per query and only
     those are shuffled. Query vectors that fit one block (checked in rows and
     bytes, in one pass) travel to the tasks. More queries than that are written
@@ -132,6 +142,8 @@ def knn(
             T.StructField("distance", T.DoubleType()),
         ]
     )
+    whole = F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull())
+    corpus, queries = corpus.where(whole), queries.where(whole)
     if prefix is not None:
         corpus = corpus.withColumn("vec", F.slice("vec", 1, prefix))
         queries = queries.withColumn("vec", F.slice("vec", 1, prefix))

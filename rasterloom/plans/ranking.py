@@ -169,7 +169,7 @@ def time_slices(
     groups are cut at approximate time quantiles and all others are slice 0. The
     cuts (at most ``most`` per large group, and there are at most ``rows /
     rows_per_slice`` large groups) are written out once, so that every use of the
-    slices sees the same ones.
+    slices sees the same ones and Spark knows their size when it picks a join.
     """
     large = materialise(
         df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_slice).select(by), "large"
@@ -179,11 +179,11 @@ def time_slices(
     micros = F.unix_micros(F.col(dt).cast("timestamp"))
     shares = [i / most for i in range(1, most)]
     cuts = (
-        df.join(F.broadcast(large), by)
+        df.join(large, by)
         .groupBy(by)
         .agg(F.array_distinct(F.percentile_approx(micros, shares, 100 * most)).alias("_cuts"))
     )
-    cuts = F.broadcast(materialise(cuts, "cuts"))
+    cuts = materialise(cuts, "cuts")
     place = F.size(F.filter("_cuts", lambda c: c < micros))
     return (
         df.join(cuts, by, "left")

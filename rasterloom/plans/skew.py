@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.plans.scratch import materialise
+
 ROWS_PER_TASK = 1_000_000
 
 
@@ -14,17 +16,16 @@ def salted_join(
     """Inner equi-join; keys with more than ``rows_per_task`` rows in ``big`` are split.
 
     A hot key's ``big`` rows are spread over ``ceil(n / rows_per_task)`` salts and
-    its ``small`` rows are copied to each of them. Hot keys number at most
-    ``rows(big) / rows_per_task``, which bounds the broadcast table: a million
-    hot keys would need a trillion rows.
+    its ``small`` rows are copied to each of them. The hot keys are written out
+    once, so Spark knows their true size when it picks the join with them.
     """
-    hot = (
+    hot = materialise(
         big.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows_per_task)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_splits"))
+        .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_splits")),
+        "hot-keys",
     )
-    hot = F.broadcast(hot)
     splits = F.coalesce(F.col("_splits"), F.lit(1))
     left = (
         big.join(hot, keys, "left")

@@ -28,10 +28,10 @@ def test_kmeans_finds_the_blobs(blobs):
 
 @pytest.mark.parametrize("fit", ["forest", "svm", "mlp"])
 def test_classifiers_separate_the_blobs(blobs, fit):
-    model = {
+    fitted = {
         "forest": lambda: learn.train_presence(blobs, "kind", trees=5),
         "svm": lambda: learn.train_svm(blobs, "kind", max_iter=5),
         "mlp": lambda: learn.train_mlp_head(blobs, "kind", 3, 4, hidden=8, max_iter=30),
     }[fit]()
-    scored = learn.predict(model, blobs, ["kind"])
+    scored = learn.predict(fitted, blobs, ["kind"])
     assert scored.filter("kind = prediction").count() >= 115

@@ -34,3 +34,19 @@ def test_names_match():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_works_without_the_corpus_subpackage(tmp_path):
+    """The subpackage and its pipeline may be deleted; nothing else imports them."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(entry.__file__).parent
+    for name in ("checks", "rasterloom"):
+        shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, check=False)
+    assert done.returncode == 0 and done.stdout.strip().endswith("False"), done.stderr[-500:]

@@ -251,3 +251,65 @@ def test_projection_round_trip(spark, lon, lat):
     x, y = geo.reproject(F.lit(lon), F.lit(lat), 4326, epsg)
     back = spark.range(1).select(*geo.reproject(x, y, epsg, 4326)).collect()[0]
     assert back[0] == pytest.approx(lon, abs=1e-7) and back[1] == pytest.approx(lat, abs=1e-7)
+
+
+def test_unknown_sensors_never_vanish(spark):
+    import pytest
+
+    from rasterloom.operators import bands, embed
+    from rasterloom.sources.registry import sensor_registry
+
+    registry = sensor_registry(spark)
+    rows = [(1, "linz", 2, 2, [[1.0] * 4] * 3), (2, "balloon", 2, 2, [[1.0] * 4] * 3), (3, None, 2, 2, [[1.0] * 4] * 3)]
+    chips = spark.createDataFrame(rows, "chip_id int, platform string, h int, w int, pixels array<array<double>>")
+    for job in (bands.standardise_chips, bands.destandardise_chips):
+        with pytest.raises(Exception, match="balloon|NULL"):
+            job(chips, registry).collect()
+        out = {r.chip_id: r.pixels for r in job(chips, registry, unknown="null").collect()}
+        assert set(out) == {1, 2, 3} and out[1] is not None and out[2] is None and out[3] is None
+    encoder = embed.PatchMeanEncoder(4)
+    with pytest.raises(Exception, match="balloon|NULL"):
+        embed.embed_chips(chips, registry, encoder, ["chip_id"]).collect()
+    out = {r.chip_id: r.vec for r in embed.embed_chips(chips, registry, encoder, ["chip_id"], unknown="null").collect()}
+    assert set(out) == {1, 2, 3} and out[1] is not None and out[2] is None
+    values = spark.createDataFrame([("linz", "red", 1.0), ("linz", "sonar", 1.0), ("balloon", "red", 1.0)], "platform string, band string, value double")
+    with pytest.raises(Exception, match="sonar|balloon"):
+        bands.normalise_join(values, registry).collect()
+    scaled = bands.normalise_join(values, registry, unknown="null").collect()
+    assert len(scaled) == 3 and sum(r.scaled is None for r in scaled) == 2
+
+
+def test_search_leaves_null_vectors_out_and_refuses_ragged_ones(spark):
+    import pytest
+
+    from rasterloom.operators import search
+
+    corpus = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [None, 1.0]), (4, [0.0, 3.0])], "vec_id int, vec array<double>")
+    queries = spark.createDataFrame([(7, [0.0, 1.5]), (8, None)], "query_id int, vec array<double>")
+    found = search.knn(corpus, queries, 3).collect()
+    assert sorted((r.query_id, r.rank, r.neighbour_id) for r in found) == [(7, 1, 1), (7, 2, 4)]
+    with pytest.raises(ValueError, match="more than once"):
+        search.knn(corpus, queries.unionByName(queries), 3)
+    ragged = corpus.unionByName(spark.createDataFrame([(5, [1.0, 2.0, 3.0])], corpus.schema))
+    with pytest.raises(Exception, match="length"):
+        search.knn(ragged, queries, 3).collect()
+
+
+def test_equalised_histograms_of_odd_arrays(spark):
+    import numpy as np
+
+    from rasterloom.operators.aggregates import equalise_histogram
+
+    rows = [(0, [2.0, 2.0]), (1, [1.0, None, 4.0, 9.0]), (2, []), (3, None), (4, [None])]
+    out = {r.i: r.v for r in equalise_histogram(spark.createDataFrame(rows, "i int, v array<double>"), "v").collect()}
+    counts, edges = np.histogram([1.0, 4.0, 9.0], bins=256)
+    want = np.interp([1.0, 4.0, 9.0], (edges[:-1] + edges[1:]) / 2, counts.cumsum() / 3)
+    assert out[0] == [0.5, 0.5] and out[1][1] is None and np.allclose([out[1][i] for i in (0, 2, 3)], want)
+    assert out[2] == [] and out[3] is None and out[4] == [None]
+
+
+def test_masked_loss_without_masked_patches(spark):
+    from rasterloom.operators.metrics import masked_l1
+
+    patches = spark.createDataFrame([([1.0], [2.0], 0)], "vals array<double>, recon array<double>, masked int")
+    assert masked_l1(patches).first().loss is None
