@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import standins as s
 from checks.registry import check
+from rasterloom.compose import compose
 from rasterloom.functions import pixels as px
 from rasterloom.operators import bands
 from rasterloom.sources.registry import add_sensor
@@ -174,6 +175,23 @@ def _(t):
     return s.pixel_rows(bands.standardise_chips(s.chips(t), s.registry(t)), ["chip_id", "platform"])
 
 
+@check(
+    "e1_transform_pipeline",
+    f"""
+    SELECT p.chip_id, p.platform, p.band_idx, p.px, round(least(2.0::DOUBLE, greatest(-2.0::DOUBLE, (p.v - r.mean) / r.std)), 6) AS v
+    FROM {PIX} p JOIN {REG} r ON r.platform = p.platform AND r.band_idx = p.band_idx WHERE p.platform <> 'sentinel-1-rtc'
+    """,
+)
+def _(t):
+    """Filter, standardise and clip as one transform."""
+    steps = compose(
+        lambda d: d.where(F.col("platform") != "sentinel-1-rtc"),
+        lambda d: bands.standardise_chips(d, s.registry(t)),
+        lambda d: d.withColumn("pixels", F.transform("pixels", lambda b: F.transform(b, lambda v: F.least(F.lit(2.0), F.greatest(F.lit(-2.0), v))))),
+    )
+    return s.pixel_rows(steps(s.chips(t)), ["chip_id", "platform"])
+
+
 @check(
     "f7_destandardise",
     f"""

@@ -1,4 +1,4 @@
-"""Estimators on embeddings: not reproducible in SQL, so rows only (see tests for properties)."""
+"""Estimators on embeddings: SQL checks what it can (invariants), tests the properties."""
 
 from __future__ import annotations
 
@@ -24,6 +24,43 @@ def _(t):
     return learn.pca(s.embeddings(t), 2).select("vec_id", "pc")
 
 
+@check(
+    "v6_lsh_finds_itself",
+    "SELECT min(vec_id) AS query_id, min(vec_id) AS neighbour_id, 0.0::DOUBLE AS distance FROM embeddings GROUP BY label",
+)
+def _(t):
+    emb = s.embeddings(t)
+    queries = emb.groupBy("label").agg(F.min("vec_id").alias("query_id"), F.min_by("vec", "vec_id").alias("vec"))
+    found = search.knn_lsh(emb, queries.select("query_id", "vec"), 10, radius=2.0, bucket_length=0.5)
+    return found.where("rank = 1").select("query_id", "neighbour_id", "distance")
+
+
+@check(
+    "v7_pca_norms",
+    f"""
+    WITH c AS (SELECT vec_id, v - avg(v) OVER (PARTITION BY pos) AS d FROM {s.ENTRIES})
+    SELECT vec_id, round(sqrt(sum(d * d)), 5) AS norm FROM c GROUP BY vec_id
+    """,
+)
+def _(t):
+    """All components together turn the centred vectors and keep their lengths."""
+    turned = learn.pca(s.embeddings(t), 64)
+    norm = F.sqrt(F.aggregate("pc", F.lit(0.0), lambda a, x: a + x * x))
+    return turned.select("vec_id", F.round(norm, 5).alias("norm"))
+
+
+@check("v7_pca_timeline")
+def _(t):
+    """One component, as a timeline of a place uses it."""
+    return learn.pca(s.embeddings(t), 1).select("vec_id", "pc")
+
+
+@check("v8_kmeans_on_components")
+def _(t):
+    turned = learn.pca(s.embeddings(t), 8).select("vec_id", F.col("pc").alias("vec"))
+    return learn.kmeans(turned, 5).select("vec_id", "cluster")
+
+
 @check("v8_kmeans")
 def _(t):
     return learn.kmeans(s.embeddings(t), 5).select("vec_id", "cluster")

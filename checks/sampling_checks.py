@@ -79,10 +79,13 @@ _FRACTIONS = f"""
     c AS (SELECT tile, class, sum(px) AS px FROM {LC} GROUP BY tile, class),
     f AS (SELECT tile, class, px, px / sum(px) OVER (PARTITION BY tile) AS share, count(*) OVER (PARTITION BY tile) AS n_classes FROM c)
 """
-_SAMPLED = f"""
+
+
+def _sampled(criteria, name: str = "CAST(class AS VARCHAR)") -> str:
+    return f"""
     {_FRACTIONS},
-    k AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}', {n}, {h})" for i, (c, n, h) in enumerate(_CRITERIA))}) v(criterion, class, n, highest)),
-    sc AS (SELECT CAST(class AS VARCHAR) AS class, tile, share AS score FROM f
+    k AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}', {n}, {h})" for i, (c, n, h) in enumerate(criteria))}) v(criterion, class, n, highest)),
+    sc AS (SELECT {name} AS class, tile, share AS score FROM f
            UNION ALL SELECT 'Diversity', tile, CAST(max(n_classes) AS DOUBLE) FROM f GROUP BY tile),
     p AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY score DESC, tile) AS place FROM sc),
     q AS (SELECT criterion, p.class, tile, CAST(place AS INTEGER) AS place, n,
@@ -91,6 +94,13 @@ _SAMPLED = f"""
 """
 
 
+_SAMPLED = _sampled(_CRITERIA)
+# The published criteria name their classes; class c of the table is the c-th of them.
+_NAMES = list(dict.fromkeys(c for c, _, _ in w.CRITERIA_V1 if c != w.DIVERSITY))
+_NAMED = f"""[{", ".join(f"'{c}'" for c in _NAMES)}][class + 1]"""
+_PUBLISHED = {"v1": w.CRITERIA_V1, "v01": w.CRITERIA_V01}
+
+
 @check(
     "a7_landcover_fractions",
     f"WITH {_FRACTIONS} SELECT tile, class, CAST(px AS BIGINT) AS px, round(share, 6) AS share, n_classes FROM f",
@@ -109,6 +119,22 @@ def _(t):
     return w.dedupe_tiles(w.sample_tiles(w.landcover_fractions(s.landcover(t)), _CRITERIA, 5))
 
 
+def _published(t, release: str):
+    shares = w.landcover_fractions(s.landcover(t))
+    named = shares.withColumn("class", F.element_at(F.array(*[F.lit(c) for c in _NAMES]), (F.col("class") + 1).cast("int")))
+    return w.sample_tiles(named, _PUBLISHED[release], 5)
+
+
+for _release, _table in _PUBLISHED.items():
+    _sql = f"WITH {_sampled(_table, _NAMED)}"
+    check(f"w4_sample_tiles_{_release}", f"{_sql} SELECT criterion, class, tile, place FROM q WHERE r <= n")(
+        lambda t, release=_release: _published(t, release)
+    )
+    check(f"u2_dedupe_tiles_{_release}", f"{_sql} SELECT DISTINCT tile FROM q WHERE r <= n")(
+        lambda t, release=_release: w.dedupe_tiles(_published(t, release))
+    )
+
+
 @check(
     "w5_bounded_fraction",
     f"""
@@ -263,7 +289,7 @@ _SEGMENTS = "CASE c_mktsegment WHEN 'BUILDING' THEN 'place' WHEN 'AUTOMOBILE' TH
       row_number() OVER (ORDER BY md5('13:' || p_partkey), p_partkey) AS r FROM part),
     u AS (SELECT {_SEGMENTS} AS kind, c_custkey AS place_id, (c_custkey * 37 % 2500) / 100.0::DOUBLE AS lon, (c_custkey * 91 % 2000) / 100.0::DOUBLE AS lat FROM customer
       UNION ALL SELECT kind, feature_id, lon, lat FROM one WHERE r = 1
-      UNION ALL SELECT 'random', place_id, lon, lat FROM c WHERE r <= 1000)
+      UNION ALL SELECT 'random', place_id, lon, lat FROM c WHERE r <= 4000)
     SELECT kind, place_id, lon, lat FROM u WHERE lon BETWEEN 4 AND 21 AND lat BETWEEN 3 AND 17
     """,
 )
@@ -285,7 +311,7 @@ def _(t):
         F.lit("lake").alias("kind"), (F.col("event_id") % 700).alias("feature_id"), F.col("event_id").alias("point_no"), *at("event_id")
     )
     candidates = t("part").select(F.col("p_partkey").alias("place_id"), *at("p_partkey"))
-    return w.sample_places(places, rivers.unionByName(lakes), candidates, (4, 3, 21, 17), 13, 1000)
+    return w.sample_places(places, rivers.unionByName(lakes), candidates, (4, 3, 21, 17), 13)
 
 
 @check(

@@ -44,6 +44,23 @@ def _(t):
     return s.pixel_rows(chips, ["platform", "file", "chip_idx"])
 
 
+@check(
+    "e5_stack_table_function",
+    f"""
+    WITH k AS (SELECT *, dense_rank() OVER (PARTITION BY platform, chip_id // {PER_STACK} ORDER BY chip_id) - 1 AS i FROM {s.CHIP_PIXELS})
+    SELECT 'cube_' || (chip_id // {PER_STACK}) || '.npz' AS file, platform, CAST(i AS INTEGER) AS chip_idx, band_idx, px,
+      round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS v FROM k
+    """,
+)
+def _(t):
+    t.spark.udtf.register("decode_stack", c.stack_table_function())
+    c.encode_stacks(_stacks(t)).createOrReplaceTempView("encoded_stacks")
+    chips = t.spark.sql("SELECT path, d.* FROM encoded_stacks, LATERAL decode_stack(content) AS d")
+    parts = F.split("path", "/")
+    named = chips.withColumn("file", F.element_at(parts, -1)).withColumn("platform", F.element_at(parts, -2))
+    return s.pixel_rows(named, ["file", "platform", "chip_idx"])
+
+
 @check(
     "s4_scan_chip_arrays",
     f"SELECT CAST(chip_id AS VARCHAR) || '.npy' AS file, band_idx, px, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS v FROM {s.CHIP_PIXELS}",
