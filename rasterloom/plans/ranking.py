@@ -3,19 +3,23 @@
 ``row_number() over (partition by g order by draw)`` sends a whole group to one
 task. Draws are uniform, so their leading hex digits cut every group, however
 large, into equal slices in rank order. Slice sizes are counted first (partially
-aggregated on the map side), summed up into offsets, and the window then runs
-per (group, slice).
+aggregated on the map side) and summed up into offsets; the number of digits
+follows from the sizes found. The window then runs per (group, slice).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.draws import draw
 from rasterloom.plans.scratch import materialise
 
-SLICE_DIGITS = 3  # 16**3 = 4096 slices per group
+SLICE_DIGITS = 3  # 16**3 = 4096 slices per group to begin with
+ROWS_PER_SLICE = 1_000_000
+DRAW_DIGITS = 32
 
 
 def _sliced(df: DataFrame, by: list[str], drawn: Column, digits: int) -> DataFrame:
@@ -36,6 +40,22 @@ def _offsets(sliced: DataFrame) -> DataFrame:
     ).withColumn("_size", F.sum("_here").over(Window.partitionBy("_group")))
 
 
+def _measured(df: DataFrame, by: list[str], drawn: Column, rows_per_slice: int) -> tuple[DataFrame, DataFrame]:
+    """Sliced rows and their counted offsets, with slices of ``rows_per_slice`` rows at most.
+
+    The counts (a partial aggregate) are written out. Where a slice turns out too
+    large, more digits follow from its size and the rows are counted once more.
+    """
+    digits = SLICE_DIGITS
+    while True:
+        sliced = _sliced(df, by, drawn, digits)
+        counted = materialise(_offsets(sliced), "slices")
+        most = counted.agg(F.max("_here")).first()[0] or 0
+        if most <= rows_per_slice or digits >= DRAW_DIGITS:
+            return sliced, counted
+        digits = min(DRAW_DIGITS, digits + max(1, math.ceil(math.log(most / rows_per_slice, 16))))
+
+
 def draw_rank(
     df: DataFrame,
     by: list[str],
@@ -43,17 +63,17 @@ def draw_rank(
     seed: int | str | Column,
     rank: str = "rank",
     size: str | None = None,
-    digits: int = SLICE_DIGITS,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add the 1-based rank of each row's draw within its group (and the group size).
 
     ``key`` must be unique in the group; it breaks the (md5) ties.
     """
-    sliced = _sliced(df, by, draw(seed, *key), digits)
+    sliced, counted = _measured(df, by, draw(seed, *key), rows_per_slice)
     local = Window.partitionBy("_group", "_slice").orderBy("_draw", *key)
     # rank first: the offsets then join on the partitioning the window already has
     placed = sliced.withColumn("_local", F.row_number().over(local)).drop("_draw")
-    out = placed.join(_offsets(sliced), ["_group", "_slice"]).withColumn(rank, F.col("_before") + F.col("_local"))
+    out = placed.join(counted, ["_group", "_slice"]).withColumn(rank, F.col("_before") + F.col("_local"))
     if size:
         out = out.withColumn(size, F.col("_size"))
     return out.drop("_local", "_group", "_slice", "_here", "_before", "_size")
@@ -66,18 +86,16 @@ def draw_within(
     seed: int | str | Column,
     quota: Column,
     flag: str = "within",
-    digits: int = SLICE_DIGITS,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Flag exactly the first ``quota`` rows of each group in draw order; ``quota`` may use ``group_size``.
 
-    Only the slice that holds a group's last row within the quota is ranked, one
-    slice in 16**digits. That row is the group's mark, and every other row is
+    Only the slice that holds a group's last row within the quota is ranked. That row is the group's mark, and every other row is
     compared with it. Marks (one row per group) are written out first, so Spark
     knows their true size when it decides whether to broadcast them, and the
     rows themselves then need no shuffle.
     """
-    sliced = _sliced(df, by, draw(seed, *key), digits)
-    counted = materialise(_offsets(sliced), "slices")  # counted once, used twice
+    sliced, counted = _measured(df, by, draw(seed, *key), rows_per_slice)  # counted once, used twice
     offsets = counted.withColumn("group_size", F.col("_size")).withColumn("_quota", quota.cast("bigint"))
     before, here, cut = F.col("_before"), F.col("_here"), F.col("_quota")
     edge = offsets.filter((before < cut) & (cut <= before + here)).select(
@@ -117,10 +135,10 @@ def draw_within(
 
 
 def draw_cut(
-    df: DataFrame, by: list[str], key: list[str], seed: int | str | Column, quota: Column, digits: int = SLICE_DIGITS
+    df: DataFrame, by: list[str], key: list[str], seed: int | str | Column, quota: Column, rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Keep exactly the first ``quota`` rows of each group in draw order."""
-    marked = draw_within(df, by, key, seed, quota, "_within", digits)
+    marked = draw_within(df, by, key, seed, quota, "_within", rows_per_slice)
     return marked.filter("_within").drop("_within")
 
 
