@@ -52,28 +52,28 @@ SYMBOL_BITS = 21
 
 
 class Vocabulary:
-    """Pieces, weights and bytes of a SentencePiece model file, with a trie of the pieces as arrays."""
+    """Pieces, weights and bytes of a SentencePiece vocabulary file, with a trie of the pieces as arrays."""
 
     def __init__(self, path: str, alpha: float = 1.0) -> None:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
-        normal = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        ranks = {i: k for k, i in enumerate(sorted(normal, key=lambda i: (-model.get_score(i), i)))}
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        size = library.get_piece_size()
+        normal = [i for i in range(size) if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i) or library.is_unused(i))]
+        ranks = {i: k for k, i in enumerate(sorted(normal, key=lambda i: (-library.get_score(i), i)))}
         harmonic = sum(1.0 / (k + 1) for k in range(len(normal) + 256))
         self.log_weight = np.zeros(size)
         self.bytes: list[bytes] = [b""] * size
         self.spelled: dict[tuple[int, ...], int] = {}
         for i in range(size):
-            name = model.id_to_piece(i)
+            name = library.id_to_piece(i)
             if i in ranks:
                 text = name.replace(SPACE, " ")
                 if " " in text.lstrip(" "):
                     raise ValueError(f"piece {i} has a space behind visible characters")
                 self.bytes[i] = text.encode()
                 self.spelled[tuple(map(ord, text))] = i
-            elif model.is_byte(i):
+            elif library.is_byte(i):
                 self.bytes[i] = bytes([int(name[3:5], 16)])
                 self.spelled[(BYTE_SYMBOL + self.bytes[i][0],)] = i
             self.log_weight[i] = -alpha * np.log((ranks.get(i, len(normal)) + 1) * harmonic)
@@ -291,7 +291,7 @@ def _vocabulary(path: str) -> Vocabulary:
 
 
 def encode_pieces(
-    docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text", checked: str | None = None
+    docs: DataFrame, vocabulary_file: str, alpha: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text", checked: str | None = None
 ) -> DataFrame:
     """The table with ``ids``: a sampled segmentation of ``text``, reproducible by ``key``. A column of that name is replaced.
 
@@ -304,7 +304,7 @@ def encode_pieces(
     schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = _sampler(model, alpha, seed)
+        sampler = _sampler(vocabulary_file, alpha, seed)
         for batch in batches:
             for piece in slices(batch, text, SLICE_TEXT):
                 texts = as_texts(piece.column(text))
@@ -321,13 +321,13 @@ def encode_pieces(
     return keyed.mapInArrow(run, schema)
 
 
-def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
+def decode_pieces(encoded: DataFrame, vocabulary_file: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """The table with the text that ``ids`` stand for in the column ``to``. A null list stays null."""
     base = encoded.drop(to) if to != ids else encoded
     schema = T.StructType([*base.schema.fields, T.StructField(to, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(model)
+        vocabulary = _vocabulary(vocabulary_file)
         for batch in batches:
             values = np.asarray(batch.column(ids).values)
             offsets = np.asarray(batch.column(ids).offsets)

@@ -168,8 +168,8 @@ def op8(embeddings: DataFrame) -> DataFrame:
 @query("op2_pieces", "documents")
 def op2(documents: DataFrame) -> DataFrame:
     """Sampled ids and their exact round trip; tests hold the draw against enumerated segmentations."""
-    model = vocabulary("piece_bpe_32k.model")
-    encoded = pieces.encode_pieces(documents.select("doc_id", "text"), model, alpha=1.0, seed=2, checked="lossless")
+    vocabulary_file = vocabulary("piece_bpe_32k.model")
+    encoded = pieces.encode_pieces(documents.select("doc_id", "text"), vocabulary_file, alpha=1.0, seed=2, checked="lossless")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "lossless", "ids")
 
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from rasterloom.llm import pieces, tokenfile
 from rasterloom.llm.queries import vocabulary
 
-MODEL, BPE = vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json")
+PIECES, BPE = vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json")
 ODD = ["", " ", "   ", "  a  b", "x ▁ ▁y", "梦鿿😀 é", "tab\t and\nline \n", "don't stop", "q" * 4000, "a b" * 500, "\x1c \x1d end", "<|endoftext|> x<|endoftext|>.", " lead"]
 
 
 @pytest.fixture(scope="module")
 def sampler():
-    return pieces.Sampler(MODEL, 1.0, 4)
+    return pieces.Sampler(PIECES, 1.0, 4)
 
 
 def segmentations(symbols, spelled):
@@ -45,7 +45,7 @@ def test_ids_depend_on_key_and_text_only(sampler):
     texts = ODD + ["the quick brown fox " * 30]
     keys = np.arange(len(texts), dtype=np.int64)
     ids, counts = sampler.sample(texts, keys)
-    one_by_one = [pieces.Sampler(MODEL, 1.0, 4).sample([t], keys[k : k + 1])[0] for k, t in enumerate(texts)]
+    one_by_one = [pieces.Sampler(PIECES, 1.0, 4).sample([t], keys[k : k + 1])[0] for k, t in enumerate(texts)]
     assert all(np.array_equal(a, b) for a, b in zip(np.split(ids, np.cumsum(counts)[:-1]), one_by_one))
     assert not np.array_equal(sampler.sample(texts[-1:], keys[:1])[0], sampler.sample(texts[-1:], keys[1:2])[0])
 
@@ -53,12 +53,12 @@ def test_ids_depend_on_key_and_text_only(sampler):
 def test_decoding_is_lossless(spark, small, hard_docs, no_docs):
     odd = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     for docs in (small, odd, hard_docs.withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(0))):
-        out = pieces.decode_pieces(pieces.encode_pieces(docs, MODEL), MODEL)
+        out = pieces.decode_pieces(pieces.encode_pieces(docs, PIECES), PIECES)
         assert out.where(F.col("decoded") != F.coalesce("text", F.lit(""))).count() == 0
         assert out.count() == docs.count()
-    assert pieces.encode_pieces(no_docs, MODEL).count() == 0
-    a = {r.doc_id: r.ids for r in pieces.encode_pieces(small.repartition(5), MODEL, seed=3).collect()}
-    assert a == {r.doc_id: r.ids for r in pieces.encode_pieces(small.coalesce(1), MODEL, seed=3).collect()}
+    assert pieces.encode_pieces(no_docs, PIECES).count() == 0
+    a = {r.doc_id: r.ids for r in pieces.encode_pieces(small.repartition(5), PIECES, seed=3).collect()}
+    assert a == {r.doc_id: r.ids for r in pieces.encode_pieces(small.coalesce(1), PIECES, seed=3).collect()}
 
 
 def test_chunked_encoding_equals_the_library(small):
