@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 def _kept(df: DataFrame):
     """Training rows held (spilling to disk) while an estimator passes over them again and again.
 
-    They are spread evenly first, over at least two partitions a core: adaptive
+    They are spread evenly first, over at least one partition a core: adaptive
     execution would otherwise cache them in as few partitions as their bytes
     suggest, and training is bound by cores. The number follows the data through
     ``spark.sql.shuffle.partitions`` and has no upper bound of its own.
     """
     spark = df.sparkSession
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     df = df.repartition(width).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield df

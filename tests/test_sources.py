@@ -198,3 +198,13 @@ def test_default_encoder_depends_on_time_and_place(spark):
 def test_compose_chains_transforms(spark):
     run = compose(lambda d: d.filter("id > 1"), lambda d: d.withColumn("twice", F.col("id") * 2))
     assert [r["twice"] for r in run(spark.range(4)).collect()] == [4, 6]
+
+
+def test_lenient_scan_lists_broken_files(spark, tmp_path):
+    (tmp_path / "naip").mkdir()
+    np.savez(tmp_path / "naip" / "cube_0.npz", pixels=np.ones((2, 1, 2, 2), np.float32))
+    np.savez(tmp_path / "naip" / "cube_1.npz", labels=np.ones(3))
+    (tmp_path / "naip" / "cube_2.npz").write_bytes(b"junk")
+    good, broken = chips.split_decoded(chips.scan_chip_stacks(spark, str(tmp_path), lenient=True))
+    assert good.count() == 2
+    assert sorted((r.path.rsplit("/", 1)[1], r.platform) for r in broken.collect()) == [("cube_1.npz", "naip"), ("cube_2.npz", "naip")]
