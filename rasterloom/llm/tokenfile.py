@@ -223,7 +223,8 @@ def join_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
 def _open(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    uri = re.sub(r"^s3a:", "s3:", re.sub(r"^file:/+", "file:///", uri))
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
 class Writer:
