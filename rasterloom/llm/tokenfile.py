@@ -41,7 +41,8 @@ from rasterloom.plans.scratch import scratch_path
 MAGIC = b"TKPLANE1"
 BLOCK_IDS = 1 << 16
 END_ID = 0
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 350_000
+SLICE_TEXT = 2 << 20
 # A letter with a punctuation mark other than an apostrophe after it: byte-level vocabularies never join the two.
 _WORD_END = re.compile(r"(?<=[^\W\d_])(?=[!-&(-/:-@\[-`{-~])")
 
@@ -337,7 +338,7 @@ def write_token_files(
         encoder = writer = None
         n = 0
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE_TEXT):
                 if writer is None:
                     encoder = encoder_of(tokenizer)
                     writer = Writer(uri, f"{context.taskAttemptId()}.tmp", planes, block)
