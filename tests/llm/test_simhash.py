@@ -37,7 +37,7 @@ def test_fingerprints_equal_brute_force(small, hard_docs, k):
     assert [int(x) for x in got] == [brute_fingerprint(t, k) for t in texts]
 
 
-@pytest.mark.parametrize(("bits", "bands"), [(4, 3), (4, 1), (7, 4), (11, 4)])
+@pytest.mark.parametrize(("bits", "bands"), [(4, 3), (4, 1), (7, 4), (11, 4), (14, 5)])
 def test_search_finds_every_link(bits, bands):
     rng = random.Random(bits)
     centres = [rng.getrandbits(64) for _ in range(60)]
@@ -104,7 +104,7 @@ def test_confirmed_links_catch_near_copies_and_leave_others(spark):
         copy = list(base[i])
         copy[rng.randrange(400)] = "changed"
         rows.append((1000 + i, " ".join(copy)))
-    found = dict(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 11, 4, 26).select("doc_id", "component_id").collect())
+    found = dict(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 14, 5, 28).select("doc_id", "component_id").collect())
     assert sum(found[1000 + i] == i for i in range(20)) >= 19
     assert all(found[i] == i for i in range(60))
 
