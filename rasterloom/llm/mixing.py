@@ -186,14 +186,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken = (
         mix_sources(docs, **options).where("slot is not null")
         .groupBy("row", "doc_id", "row_hash", "epoch", "size")
-        .agg(F.max("to_word").alias("mix_words"), F.min("slot").alias("mix_slot"))
-        .select(F.col("doc_id").alias("mix_id"), "row_hash", "mix_words", F.col("size").alias("mix_size"))
+        .agg(F.max("to_word").alias("words"))
+        .select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), F.col("words").alias("__words"), F.col("size").alias("__size"))
     )
     # Rows alike in every column are interchangeable: one copy meets all passes of the group.
-    once = docs.withColumn("row_hash", F.xxhash64(*hashed)).dropDuplicates(["doc_id", "row_hash"])
-    same = once["doc_id"].eqNullSafe(taken["mix_id"]) & (once["row_hash"] == taken["row_hash"])
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("mix_words").cast("int")), "")
-    rows = once.join(taken, same).withColumn("text", F.when(F.col("mix_words") < F.col("mix_size"), cut).otherwise(F.col("text")))
+    once = docs.withColumn("__row", F.xxhash64(*hashed)).dropDuplicates(["doc_id", "__row"])
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash"))
+    early = F.col("__words") < F.col("__size")
+    parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(parts, 1, F.col("__words").cast("int")), "")
+    rows = once.join(taken, same).withColumn("text", F.when(early, cut).otherwise(F.col("text")))
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("mix_words") < F.col("mix_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(early, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*[F.col(f"`{c}`") for c in columns])
