@@ -25,6 +25,12 @@ set, each document carries 128 more fingerprint bits of the same shingles, and a
 link holds only if at most ``confirm`` of those differ too; the search itself stays
 on the first 64.
 
+Fingerprints are estimates. Where ``jaccard`` is set, they only propose: documents
+with equal sets of shingles are one node, and inside each component of proposed
+links the shingle sets themselves are compared. A pair is linked if the Jaccard
+similarity of its sets is at least ``jaccard``. Components with many shingles are
+cut into parts, each pair of parts is a task of its own, and small ones share tasks.
+
 Null or word-free texts have fingerprint zero. Repeated ids give a row each; an
 empty table gives no rows.
 """
@@ -53,6 +59,8 @@ SLICE_TEXT = 2 << 20
 SAMPLE_PER_SHARD = 64
 QUERIES_PER_TASK = 1_000_000
 HOMES_PER_SHARD = 500_000
+SETS_PER_PART = 1_000
+SHINGLES_PER_PART = 500_000
 
 
 def shingle_digests(text: bytes, words: int) -> list[bytes]:
@@ -68,18 +76,31 @@ def shingle_digests(text: bytes, words: int) -> list[bytes]:
     return [digest(flat[a:b], HASH_SEED) for a, b in zip(starts, ends[words - 1 :], strict=False)]
 
 
-def simhashes(texts: list[bytes], words: int, more: int = 0) -> np.ndarray:
+def shingle_set(digests: list[bytes]) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(np.frombuffer(b"".join(digests), ">u8").astype(np.uint64))
+
+
+def set_hash(shingles: np.ndarray) -> int:
+    """One signed 64-bit hash of a whole shingle set."""
+    return int.from_bytes(xxhash.xxh64_digest(shingles.astype("<u8").tobytes(), HASH_SEED), "big", signed=True)
+
+
+def simhashes(texts: list[bytes], words: int, more: int = 0, sets: bool = False) -> np.ndarray:
     """Fingerprints of several texts as int64, one column each: the plain one and ``more`` independent ones.
 
-    The further ones come from scrambled hashes of the same shingles.
+    The further ones come from scrambled hashes of the same shingles. With ``sets``
+    a last column holds the hash of the shingle set.
     """
     digests: list[bytes] = []
     counts = np.zeros(len(texts), dtype=np.int64)
+    out = np.zeros((len(texts), 1 + more + sets), dtype=np.int64)
     for i, text in enumerate(texts):
         own = shingle_digests(text, words)
         counts[i] = len(own)
         digests += own
-    out = np.zeros((len(texts), 1 + more), dtype=np.int64)
+        if sets:
+            out[i, -1] = set_hash(shingle_set(own))
     full = np.flatnonzero(counts)
     if len(full):
         hashes = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
@@ -95,14 +116,15 @@ def simhashes(texts: list[bytes], words: int, more: int = 0) -> np.ndarray:
 MORE = ("more1", "more2")
 
 
-def fingerprints(docs: DataFrame, words: int, more: bool = False) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) and, if asked for, two further columns of 64 bits."""
-    names = ["doc_id", "fp", *(MORE if more else ())]
+def fingerprints(docs: DataFrame, words: int, more: bool = False, sets: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) and, if asked for, two further columns of 64 bits and ``node``, the hash of the shingle set."""
+    further = len(MORE) if more else 0
+    names = ["doc_id", "fp", *MORE[:further], *(("node",) if sets else ())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text", SLICE_TEXT):
-                fps = simhashes(as_bytes(piece.column("text")), words, len(names) - 2)
+                fps = simhashes(as_bytes(piece.column("text")), words, further, sets)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *[pa.array(np.ascontiguousarray(c)) for c in fps.T]], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
@@ -275,17 +297,107 @@ def fingerprint_links(distinct: DataFrame, max_bits: int, bands: int, confirm: i
     return sent.groupBy("task").applyInArrow(search, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, bands: int = 3, confirm: int | None = None) -> DataFrame:
+def similar_pairs(block: np.ndarray, node: np.ndarray, flat: np.ndarray, starts: np.ndarray, jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the pairs of one block whose sets have at least this Jaccard similarity, as nodes.
+
+    ``flat`` holds the distinct elements of each set from ``starts[i]`` to ``starts[i + 1]``.
+    Pairs that earlier ones have joined are not looked at.
+    """
+    u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    order = np.argsort(block, kind="stable")
+    edges = np.flatnonzero(np.diff(block[order], prepend=block[order][:1] - 1, append=block[order][-1:] + 1))
+    for a, b in zip(edges, edges[1:], strict=False):
+        own = order[a:b]
+        if len(own) < 2:
+            continue
+        sizes = starts[own + 1] - starts[own]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        _, codes = np.unique(np.concatenate([flat[starts[x] : starts[x + 1]] for x in own]), return_inverse=True)
+        mark = np.zeros(len(codes) + 1, dtype=bool)
+        label = np.arange(len(own))
+        for i in range(len(own) - 1):
+            low, high = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
+            if not ((label[i + 1 :] != label[i]) & (low >= jaccard * high)).any():
+                continue
+            mine = codes[at[i] : at[i + 1]]
+            mark[mine] = True
+            held = np.concatenate([[0], np.cumsum(mark[codes[at[i + 1] :]])])
+            mark[mine] = False
+            both = held[at[i + 2 :] - at[i + 1]] - held[at[i + 1 : -1] - at[i + 1]]
+            hit = i + 1 + np.flatnonzero((both >= jaccard * (low + high - both)) | (both / np.maximum(low + high - both, 1) >= jaccard))
+            hit = hit[label[hit] != label[i]]
+            if len(hit):
+                u.append(np.full(len(hit), node[own[i]]))
+                v.append(node[own[hit]])
+                label[np.isin(label, label[hit])] = label[i]
+    return spanning(np.concatenate(u), np.concatenate(v))
+
+
+def confirmed_links(docs: DataFrame, reps: DataFrame, proposed: DataFrame, words: int, jaccard: float) -> DataFrame:
+    """A spanning set (u, v) of the pairs at ``jaccard`` or more inside each component (node, root) of proposed links.
+
+    ``reps`` gives a document (rep) of each node, whose text is read for the shingles.
+    """
+    wanted = proposed.select("node", F.col("root").alias("block")).join(reps.select("node", "rep"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "block", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", SLICE_TEXT):
+                own = [shingle_set(shingle_digests(t, words)) for t in as_bytes(piece.column("text"))]
+                node = piece.column("node").to_pylist()
+                # rows that share an id with the node's document, but hold another text
+                same = [i for i, x in enumerate(own) if set_hash(x) == node[i]]
+                yield pa.RecordBatch.from_arrays(
+                    [*[piece.column(c).take(pa.array(same, pa.int64())) for c in ("node", "block")], pa.array([own[i].view(np.int64) for i in same], pa.list_(pa.int64()))],
+                    names=["node", "block", "shingles"],
+                )
+
+    sets = materialise(found.mapInArrow(read, "node long, block long, shingles array<long>").dropDuplicates(["node"]), "shingle-sets")
+    loads = materialise(sets.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("m")), "shingle-blocks")
+    total = loads.agg(F.sum("n"), F.sum("m")).first()
+    tasks = max(1, math.ceil((total[0] or 0) / SETS_PER_PART), math.ceil((total[1] or 0) / SHINGLES_PER_PART))
+    parts = F.ceil(F.greatest(F.col("n") / SETS_PER_PART, F.col("m") / SHINGLES_PER_PART)).cast("long")
+    large = materialise(loads.select("block", parts.alias("parts")).where("parts > 1"), "shingle-large-blocks")
+    part = F.pmod(F.xxhash64("node", F.lit(11)), F.col("parts"))
+    # each pair of parts of a block is one task, and covers the pairs inside its parts
+    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: x != F.col("part")))
+    grid = sets.join(large, "block").withColumn("part", part).withColumn("other", other)
+    grid = grid.withColumn("task", F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")))
+    rest = sets.join(large, "block", "left_anti").withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks)))
+
+    def confirm(table: pa.Table) -> pa.Table:
+        held = table.column("shingles").combine_chunks()
+        starts = np.asarray(held.offsets, dtype=np.int64)
+        flat = np.asarray(held.values, dtype=np.int64)
+        u, v = similar_pairs(np.asarray(table.column("block"), dtype=np.int64), np.asarray(table.column("node"), dtype=np.int64), flat, starts, jaccard)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    columns = ["task", "block", "node", "shingles"]
+    return rest.select(*columns).unionByName(grid.select(*columns)).groupBy("task").applyInArrow(confirm, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, bands: int = 3, confirm: int | None = None, jaccard: float | None = None) -> DataFrame:
     """doc_id, fp and component_id: the smallest id that links can reach, the document's own included.
 
     Links join fingerprints with at most ``max_bits`` differing bits (and at most
-    ``confirm`` of the 128 further ones, where that is given).
+    ``confirm`` of the 128 further ones, where that is given). With ``jaccard``
+    these links only propose, and pairs of shingle sets of that similarity are linked.
     """
     own = ["fp", *(MORE if confirm is not None else ())]
-    node = F.col("fp") if confirm is None else F.xxhash64(*own)
-    fps = materialise(fingerprints(docs, words, confirm is not None).withColumn("node", node), "fingerprints")
-    reps = materialise(fps.groupBy("node", *own).agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
+    fps = fingerprints(docs, words, confirm is not None, jaccard is not None)
+    if jaccard is None:
+        node = F.col("fp") if confirm is None else F.xxhash64(*own)
+        fps = materialise(fps.withColumn("node", node), "fingerprints")
+        reps = fps.groupBy("node", *own).agg(F.min("doc_id").alias("rep"))
+    else:
+        fps = materialise(fps, "fingerprints")
+        reps = fps.groupBy("node").agg(F.min(F.struct("doc_id", *own)).alias("r")).select("node", *[f"r.{c}" for c in own], F.col("r.doc_id").alias("rep"))
+    reps = materialise(reps, "fingerprint-reps")
     links = fingerprint_links(reps, max_bits, bands, confirm)
+    if jaccard is not None:
+        links = confirmed_links(docs, reps, components(links), words, jaccard)
     roots = materialise(components(links).join(reps.select("node", "rep"), "node"), "fingerprint-roots")
     least = materialise(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "fingerprint-least")
     joined = roots.join(least, "root").select("node", "component_id")

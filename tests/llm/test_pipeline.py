@@ -67,3 +67,12 @@ def test_whole_run_equals_its_stages_one_by_one(spark, sf):
     got = corpus_pipeline.run(spark, sf).collect()
     assert sorted((r.doc_id, len(sampler.vocabulary.decode(np.array(r.ids)))) for r in got) == want
     assert all(r.lossless and r.n_pieces == len(r.ids) for r in got)
+
+
+def test_near_copies_stage_removes_only_texts_of_that_similarity(spark, sf):
+    rng = np.random.default_rng(8)
+    passage = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    rows = [(i, " ".join(passage + [f"own{i}x{j}" for j in range(100)]), "en", "src0", 0) for i in range(8)]  # 0.6 to each other
+    rows.append((100, rows[3][1] + " and one word more", "en", "src0", 0))
+    out = corpus_pipeline.near_copies_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf)
+    assert ids(out) == [(True, i) for i in range(8)]

@@ -121,3 +121,51 @@ def test_components_of_paths_and_stars(spark):
 
 def test_no_documents(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def brute_similar(rows, jaccard):
+    """(doc_id, text) rows -> smallest id reachable over pairs of this five-word Jaccard similarity."""
+    grams = []
+    for _, text in rows:
+        words = (text or "").encode().translate(simhash.LOWER).split()
+        grams.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and (grams[i] == grams[j] or len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= jaccard):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    least = {}
+    for (doc, _), x in zip(rows, label):
+        least[x] = min(doc, least.get(x, doc))
+    return {doc: least[x] for (doc, _), x in zip(rows, label)}
+
+
+@pytest.mark.parametrize("parts", [1_000, 7])
+def test_jaccard_links_equal_brute_force(spark, monkeypatch, parts):
+    monkeypatch.setattr(simhash, "SETS_PER_PART", parts)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    rows, passage = [], rng.choices(words, k=300)
+    for share in (60, 100, 100, 110, 130, 160):  # a family that shares one passage, most of it below 0.8
+        rows += [(len(rows) + i, " ".join(passage + rng.choices(words, k=share))) for i in range(6)]
+    for edits in (1, 1, 2, 3, 4, 6, 8, 9, 10, 12, 16):  # copies from nearly equal to too far
+        for _ in range(3):
+            copy = list(passage)
+            for at in rng.sample(range(300), edits):
+                copy[at] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + i, "the same six words come again " * (i + 3) + end) for i, end in enumerate(["", "", "and now one other thing ends it all"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_similar(rows, 0.8)
+    got = dict(simhash.near_duplicates(docs, 5, 64, 1, 128, 0.8).select("doc_id", "component_id").collect())
+    assert got == want and 1 < len(set(want.values())) < len(rows)
+    loose = dict(simhash.near_duplicates(docs, 5, 14, 5, 28, 0.8).select("doc_id", "component_id").collect())
+    assert all(want[d] == want[c] for d, c in loose.items())
+
+
+def test_repeated_words_do_not_hide_other_text(spark):
+    """The majority shingle decides all bits, but the sets are different."""
+    rows = [(i, "go " * 400 + " ".join(f"x{i}y{j}" for j in range(60))) for i in range(3)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 14, 5, 28, 0.8)
+    assert sorted(r.component_id for r in found.collect()) == [0, 1, 2]
