@@ -11,8 +11,9 @@
    (subtrees per page / share) hashes of a host can pass, so the list that a page
    is checked against stays short however many pages the host has.
 
-A page with an ``article`` or ``main`` element gives the blocks inside it, any other
-page those of its body. Character references are decoded, white space inside a
+A page whose ``article`` and ``main`` elements hold at least half of the text that
+is left after that gives the blocks inside them, any other page all blocks that are
+left. Character references are decoded, white space inside a
 block becomes one space, blocks are joined in page order by one space.
 
 Null and empty pages have an empty text; a null url is a host of its own; repeated
@@ -242,12 +243,14 @@ def site_templates(parsed: DataFrame) -> DataFrame:
 
 
 def main_blocks(parents: list[int], hashes: list[int], inside: list[bool], blocks: list[str], owners: list[int], outside: frozenset, within: frozenset) -> list[str]:
-    """The blocks of one page that neither lie in a template nor outside its article."""
+    """The blocks of one page that neither lie in a template nor outside an article that holds most of the rest."""
     dead: list[bool] = []
     for parent, value, own in zip(parents, hashes, inside, strict=True):
         dead.append((parent >= 0 and dead[parent]) or value in (within if own else outside))
-    only = any(inside)
-    return [b for b, o in zip(blocks, owners, strict=True) if (o < 0 and not only) or (o >= 0 and not dead[o] and (inside[o] or not only))]
+    live = [(b, o >= 0 and inside[o]) for b, o in zip(blocks, owners, strict=True) if o < 0 or not dead[o]]
+    within_article = sum(len(b) for b, own in live if own)
+    only = within_article > 0 and 2 * within_article >= sum(len(b) for b, _ in live)
+    return [b for b, own in live if own or not only]
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

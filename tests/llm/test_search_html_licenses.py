@@ -79,6 +79,20 @@ def test_single_pages(markup):
     assert " ".join(html.main_blocks(p.parents, p.hashes, p.inside, p.blocks, p.owners, frozenset(), frozenset())) == PAGES[markup]
 
 
+def shown(markup, outside=(), within=()):
+    p = html.Page(markup)
+    return " ".join(html.main_blocks(p.parents, p.hashes, p.inside, p.blocks, p.owners, frozenset(outside), frozenset(within)))
+
+
+def test_articles_count_only_with_most_of_the_text():
+    assert shown("<main></main><div><p>text</p></div>") == "text"
+    story = "<div><p>a long story that fills the page</p></div>"
+    assert shown(f"{story}<article>card 1</article><article>card 2</article>") == "a long story that fills the page card 1 card 2"
+    assert shown(f"<article>{story}</article><div>beside</div>") == "a long story that fills the page"
+    p = html.Page("<article><p>template</p></article><div>own</div>")
+    assert shown("<article><p>template</p></article><div>own</div>", (), [h for h, i in zip(p.hashes, p.inside) if i]) == "own"
+
+
 def test_deep_and_long_pages():
     p = html.Page("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>x" * 5000)
     assert len(p.blocks) == 5001
