@@ -2,7 +2,9 @@
 
 1. Each page is parsed once into elements (tag, parent, hash of the whole subtree)
    and text blocks. Scripts, styles, markup, menus, forms and elements that their
-   tag, role or class names as page furniture hold no blocks.
+   tag or role, or by the end of a class or id word, are page furniture hold no blocks.
+   A class or id does not count where the element holds an article, main or more
+   than half of the page's text (see ``read_page``); such subtrees are left to the counts of step 2.
 2. Per host, Spark counts on how many different pages each subtree hash occurs.
    Copies of one page count once, so an article does not become a template by
    being copied.
@@ -58,10 +60,23 @@ _MARKUP = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[^a-z0-9]+")
 _PREFIXES = frozenset(("has", "no", "with", "is", "without"))
+# What may follow a name of furniture in a class word: "sidebar-left", "comments-area".
+_FORMS = frozenset("left right top bottom inner outer area bar block box button container content group header footer inside item items link links list row section slot title unit widget wrap wrapper".split())
+
+
+def named_furniture(word: str, in_content: bool) -> bool:
+    """Whether a class or id word is a furniture name, alone or at the end, before endings such as -left or -area."""
+    parts = [x for x in _NAME.split(word) if x]
+    if not _PREFIXES.isdisjoint(parts):
+        return False
+    while len(parts) > 1 and (parts[-1] in _FORMS or parts[-1].isdigit()) and parts[-1] not in NAMES:
+        parts.pop()
+    # an article keeps its own header: entry-header
+    return bool(parts) and parts[-1] in NAMES and not (in_content and parts[-1] == "header")
 
 
 def is_furniture(tag: str, attributes: str, in_content: bool) -> bool:
-    """Whether an element is page furniture by its tag, role, class or id."""
+    """Whether an element is page furniture by its tag or role, whatever it holds."""
     if tag in NEVER:
         return False
     if tag in FURNITURE or (tag == "header" and not in_content):
@@ -72,18 +87,58 @@ def is_furniture(tag: str, attributes: str, in_content: bool) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = _NAME.split(word)
-                if parts[0] not in _PREFIXES and not NAMES.isdisjoint(parts):
-                    return True
     return False
 
 
+def furniture_words(tag: str, attributes: str, in_content: bool) -> list[str]:
+    """The class and id words of an element that name it as page furniture."""
+    if tag in NEVER or not attributes or "=" not in attributes:
+        return []
+    values = [value.strip("\"'").lower() for name, value in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")]
+    return [word for value in values for word in value.split() if named_furniture(word, in_content)]
+
+
+def read_page(text: str) -> "Page":
+    """A page without its furniture.
+
+    Elements named as furniture are read first; those that hold an article, main or
+    more than half of the text that no other rule drops are kept. Where an article
+    with text stands outside of all of them, a whole word such as class="ad" counts
+    however long the element is, and only longer words give way to its size.
+    """
+    first = Page(text, None)
+    if not first.named:
+        return first
+    size, holds = [0] * len(first.tags), [False] * len(first.tags)
+    for block, owner in zip(first.blocks, first.owners, strict=True):
+        if owner >= 0:
+            size[owner] += len(block)
+    for number in range(len(first.tags) - 1, -1, -1):
+        above = first.parents[number]
+        if above >= 0:
+            size[above] += size[number]
+            holds[above] = holds[above] or holds[number] or first.content[number]
+    total = sum(map(len, first.blocks))
+    names = {number for _, number, _ in first.named}
+    under: list[bool] = []
+    for number, above in enumerate(first.parents):
+        under.append(number in names or (above >= 0 and under[above]))
+    article = any(o >= 0 and first.inside[o] and not under[o] for o in first.owners)
+    return Page(text, frozenset(start for start, number, whole in first.named if holds[number] or (2 * size[number] > total and not (whole and article))))
+
+
 class Page:
-    """Elements and blocks of one page."""
+    """Elements and blocks of one page.
+
+    Elements named as furniture are dropped unless the number of their start tag is
+    in ``kept``; with None they all stay, and ``named`` lists them.
+    """
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, kept: frozenset | None = frozenset()) -> None:
+        self.kept = kept
+        self.named: list[tuple[int, int, bool]] = []  # number of the start tag, number of the element, whether a whole word names it
+        self.content: list[bool] = []
+        self._starts = 0
         self.tags: list[str] = []
         self.parents: list[int] = []
         self.hashes: list[int] = []
@@ -141,6 +196,7 @@ class Page:
                 self._parts[-1].append(text.encode("utf-8", "surrogatepass"))
 
     def _start(self, tag: str, attributes: str) -> None:
+        self._starts += 1
         if tag not in INLINE:
             self._flush()
         if tag in CLOSES_P and self._count.get("p"):
@@ -155,9 +211,17 @@ class Page:
         above = self._open[-1] if self._open else -1
         in_content = bool(self._open) and self.inside[above]
         gone = (bool(self._open) and self._dropped[-1]) or is_furniture(tag, attributes, in_content)
+        if not gone and (words := furniture_words(tag, attributes, in_content)):
+            if tag in INLINE:
+                gone = True
+            elif self.kept is None:
+                self.named.append((self._starts, len(self.tags), not NAMES.isdisjoint(words)))
+            else:
+                gone = self._starts not in self.kept
         if tag in INLINE and not gone:
             return  # inline elements only matter where they are furniture
         self.tags.append(tag)
+        self.content.append(tag in CONTENT and not gone)
         self.parents.append(above)
         self.hashes.append(0)
         self.inside.append(in_content or (tag in CONTENT and not gone))
@@ -214,7 +278,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "html"):
-                read = [Page(t) for t in as_texts(piece.column("html"))]
+                read = [read_page(t) for t in as_texts(piece.column("html"))]
                 hosts = [host_of(u) for u in piece.column("url").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -80,7 +80,7 @@ def test_single_pages(markup):
 
 
 def shown(markup, outside=(), within=()):
-    p = html.Page(markup)
+    p = html.read_page(markup)
     return " ".join(html.main_blocks(p.parents, p.hashes, p.inside, p.blocks, p.owners, frozenset(outside), frozenset(within)))
 
 
@@ -93,6 +93,18 @@ def test_articles_count_only_with_most_of_the_text():
     assert shown("<article><p>template</p></article><div>own</div>", (), [h for h, i in zip(p.hashes, p.inside) if i]) == "own"
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout right-sidebar'", "div id='content-with-sidebar'", "section class='promo-article'", "div class=sidebar"])
+def test_class_names_do_not_drop_the_story(wrapper):
+    tag = wrapper.split()[0]
+    assert shown(f"<{wrapper}><p>a long story of the page</p><div class='sidebar-left'>s</div></{tag}><p>end") == "a long story of the page end"
+    assert shown(f"<{wrapper}><article>short</article></{tag}><p>more text beside it") in ("short", "short more text beside it")
+
+
+def test_class_names_in_articles():
+    assert shown("<article><header class='entry-header'><h1>T</h1></header><p>text of it</p><div class='social-share'>s</div></article>") == "T text of it"
+    assert shown("<p>text of the page</p><div class='comments-area'>c</div><div id='ad-slot-1'>x</div><div class='no-sidebar'>y</div>") == "text of the page y"
+
+
 def test_deep_and_long_pages():
     p = html.Page("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>x" * 5000)
     assert len(p.blocks) == 5001
