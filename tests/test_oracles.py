@@ -47,6 +47,8 @@ def test_entry_works_without_the_corpus_subpackage(tmp_path):
     for name in ("checks", "rasterloom"):
         shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "rasterloom" / "llm" / "__pycache__").mkdir(parents=True)  # a left-over folder holds no modules
+    (tmp_path / "corpus_pipeline.py").write_text("from rasterloom.llm import mixing\n")
     code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, check=False)
     assert done.returncode == 0 and done.stdout.strip().endswith("False"), done.stderr[-500:]

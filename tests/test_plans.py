@@ -13,7 +13,7 @@ LAZY = [
     n for n in sorted(ORACLES)
     if not n.startswith(("x", "s3_", "s4_", "s6_", "s7_", "s8_", "s10_", "s12_", "p10_", "v3", "v4", "v5", "v12"))
 ]
-PYTHON = {"a20_equalise_histogram", "v1_embed_chips"}
+PYTHON = {"a20_equalise_histogram", "v1_embed_chips", "e5_stack_table_function"}
 
 
 def plan(df):
