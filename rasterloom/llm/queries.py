@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, html, licenses, mixing, pieces, quality, secrets, shards, simhash, tokenfile
+from rasterloom.llm import ann, conversations, html, licenses, mixing, pieces, quality, secrets, shards, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +198,9 @@ def op1(documents: DataFrame) -> DataFrame:
         joined(F.col("secrets")).alias("spans"),
         F.size(of("crf")).cast("long").alias("n_crf"),
     )
+
+
+@query("op11_conversations", "conversations")
+def op11(table: DataFrame) -> DataFrame:
+    """SQL lacks crc32; tests hold the repair against an exhaustive search."""
+    return conversations.audit_conversations(conversations.damage(table))

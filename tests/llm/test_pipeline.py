@@ -2,7 +2,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.llm import mixing, pieces, quality, secrets, simhash
+from rasterloom.llm import mixing, pieces, quality, secrets
 from rasterloom.llm.queries import vocabulary
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -18,17 +18,24 @@ def test_quality_stage_keeps_what_no_rule_rejects(spark, small, sf):
     assert ids(corpus_pipeline.quality_stage(spark, small, sf)) == sorted((True, r.doc_id) for r, f in zip(rows, first) if f < 0)
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    n = corpus_pipeline.SHINGLE_WORDS
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
 def test_near_copies_stage_keeps_one_of_each_group(spark, small, sf):
+    """All pairs of texts, by plain sets of shingles: whatever has a similarity of 0.8 is one group."""
     docs = small.unionByName(small.limit(30).withColumn("doc_id", F.col("doc_id") + 10_000))
     rows = docs.collect()
-    p = corpus_pipeline
-    prints = simhash.simhashes([r.text.encode() for r in rows], p.SHINGLE_WORDS, 2).view(np.uint64)
+    sets = [shingles(r.text) for r in rows]
     label = list(range(len(rows)))
     for i in range(len(rows)):
-        near = (np.bitwise_count(prints[:i, 0] ^ prints[i, 0]) <= p.NEAR_BITS) & (np.bitwise_count(prints[:i, 1:] ^ prints[i, 1:]).sum(axis=1) <= p.NEAR_CONFIRM)
-        for j in np.flatnonzero(near):
-            a, b = label[i], label[int(j)]
-            label = [b if x == a else x for x in label]
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= corpus_pipeline.NEAR_SIMILARITY * (len(sets[i]) + len(sets[j]) - both):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
     keep = {}
     for r, x in zip(rows, label):
         keep[x] = min(keep.get(x, r.doc_id), r.doc_id)
