@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, conversations, html, licenses, mixing, pieces, quality, secrets, shards, simhash, tokenfile
+from rasterloom.llm import ann, collocations, conversations, html, licenses, mixing, pieces, quality, secrets, shards, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -204,3 +204,33 @@ def op1(documents: DataFrame) -> DataFrame:
 def op11(table: DataFrame) -> DataFrame:
     """SQL lacks crc32; tests hold the repair against an exhaustive search."""
     return conversations.audit_conversations(conversations.damage(table))
+
+
+@query(
+    "op12_collocations",
+    "documents",
+    r"""
+    with p as (select coalesce(lang, 'und') as lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+    n as (select lang, sum(len(ws))::bigint as n from w group by lang),
+    occurrences as (
+      select lang, 1 as words, unnest(ws) as phrase from w
+      union all select lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) from w
+      union all select lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) from w),
+    f as (select lang, phrase, any_value(words) as words, count(*) as f from occurrences group by lang, phrase having count(*) >= 10),
+    cuts as (
+      select lang, phrase, f as a, 1 as k, split_part(phrase, ' ', 1) as head, substr(phrase, strpos(phrase, ' ') + 1) as tail from f where words > 1
+      union all select lang, phrase, f, 2, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2), split_part(phrase, ' ', 3) from f where words = 3),
+    scored as (
+      select c.lang, c.phrase, c.a, c.k, h.f as l, t.f as r, ((1000000::hugeint * c.a * c.a) // (h.f::hugeint * t.f))::bigint as score
+      from cuts c join f h on h.lang = c.lang and h.phrase = c.head join f t on t.lang = c.lang and t.phrase = c.tail),
+    best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    inner_pairs as (select lang, f, unnest([split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2), split_part(phrase, ' ', 2) || ' ' || split_part(phrase, ' ', 3)]) as phrase from f where words = 3),
+    kept as (select * from best b where not exists (select 1 from inner_pairs i where i.lang = b.lang and i.phrase = b.phrase and 100 * i.f >= 50 * b.a))
+    select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score
+    from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join n using (lang) where rank <= 2000
+    """,
+)
+def op12(documents: DataFrame) -> DataFrame:
+    return collocations.collocations(documents)
