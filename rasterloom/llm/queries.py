@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, collocations, conversations, html, licenses, mixing, pieces, quality, secrets, shards, simhash, tokenfile
+from rasterloom.llm import ann, collocations, conversations, html, language, licenses, mixing, pieces, quality, secrets, shards, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -234,3 +234,12 @@ def op11(table: DataFrame) -> DataFrame:
 )
 def op12(documents: DataFrame) -> DataFrame:
     return collocations.collocations(documents)
+
+
+@query("op13_languages", "documents")
+def op13(documents: DataFrame) -> DataFrame:
+    """SQL has no k-means; tests hold the vectors against plain counting and the prediction against held-out labels."""
+    apart = language.held_out(F.col("doc_id"))
+    model = language.fit(documents.where(~apart))
+    found = language.identify(documents.withColumn("_apart", apart), model, keep=("doc_id", "_apart"))
+    return found.select("doc_id", F.col("_apart").alias("held_out"), F.col("near").alias("lang_pred"), "score", "rejected")
