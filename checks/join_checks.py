@@ -8,6 +8,7 @@ from checks import standins as s
 from checks.registry import check
 from rasterloom.functions import encodings as enc
 from rasterloom.functions import geo, names
+from rasterloom.functions import polygons as pg
 from rasterloom.operators import aggregates as a
 from rasterloom.operators import pairing, search, spatial
 from rasterloom.operators.sampling import first_k_years
@@ -50,6 +51,101 @@ def _(t):
     return out.select("vec_id", "n_nationkey", "clip.xmin", "clip.ymin", "clip.xmax", "clip.ymax")
 
 
+# L-shaped outlines with a square hole, as corners relative to a lower-left corner and a scale
+_L = ([(0.0, 0.0), (1.0, 0.0), (1.0, 0.5), (0.5, 0.5), (0.5, 1.0), (0.0, 1.0)], [(0.125, 0.125), (0.375, 0.125), (0.375, 0.375), (0.125, 0.375)])
+
+
+def _l_rings(x, y, side: float):
+    rings = [[pg.point(x + a * side, y + b * side) for a, b in [*r, r[0]]] for r in _L]
+    return F.array(*[F.array(*r) for r in rings])
+
+
+def _l_edges(table: str, key: str, x: str, y: str, side: float) -> str:
+    edges = ", ".join(f"({a}, {b}, {c}, {d})" for r in _L for (a, b), (c, d) in zip(r, [*r[1:], r[0]], strict=True))
+    at = lambda o, v: f"{o} + {v} * {side}::DOUBLE"
+    return f"""(SELECT {key}, {at(x, "px")} AS px, {at(y, "py")} AS py, {at(x, "qx")} AS qx, {at(y, "qy")} AS qy
+      FROM {table}, (SELECT a::DOUBLE AS px, b::DOUBLE AS py, c::DOUBLE AS qx, d::DOUBLE AS qy FROM (VALUES {edges}) v(a, b, c, d)))"""
+
+
+_L_FOOT = _l_edges(FOOT, "vec_id", "xmin", "ymin", 1.2)
+_L_REGION = _l_edges(_REGIONS, "n_nationkey", "x0", "y0", 6.0)
+
+
+def _l_feet(t):
+    box = F.col("bbox")
+    return s.footprints(t).select("vec_id", _l_rings(box["xmin"], box["ymin"], 1.2).alias("rings"))
+
+
+def _l_regions(t, name: str):
+    box = F.col("b")
+    return _regions(t, "b").select("n_nationkey", _l_rings(box["xmin"], box["ymin"], 6.0).alias(name))
+
+
+def _in_l(edges: str, key: str, points: str, point: str, x: str, y: str) -> str:
+    """Ray crossing with edges included."""
+    side = f"(qx - px) * ({y} - py) - (qy - py) * ({x} - px)"
+    on = f"{side} = 0 AND {x} BETWEEN least(px, qx) AND greatest(px, qx) AND {y} BETWEEN least(py, qy) AND greatest(py, qy)"
+    return f"""(SELECT {key}, {point} FROM {edges} e JOIN {points} p ON true GROUP BY {key}, {point}
+      HAVING count(*) FILTER (WHERE (py > {y}) <> (qy > {y}) AND {x} < (qx - px) * ({y} - py) / (qy - py) + px) % 2 = 1 OR bool_or({on}))"""
+
+
+@check("j1_polygon_join", f"SELECT vec_id, point_id FROM {_in_l(_L_FOOT, 'vec_id', s.POINTS, 'point_id', 'lon', 'lat')}")
+def _(t):
+    return spatial.polygon_join(_l_feet(t), s.points(t)).select("vec_id", "point_id")
+
+
+_HIT = f"""
+    SELECT DISTINCT vec_id, n_nationkey FROM (
+      SELECT f.vec_id, r.n_nationkey FROM {_L_FOOT} f JOIN {_L_REGION} r ON
+        greatest(least(f.px, f.qx), least(r.px, r.qx)) <= least(greatest(f.px, f.qx), greatest(r.px, r.qx))
+        AND greatest(least(f.py, f.qy), least(r.py, r.qy)) <= least(greatest(f.py, f.qy), greatest(r.py, r.qy))
+      UNION ALL
+      SELECT vec_id, n_nationkey FROM {_in_l(_L_REGION, 'n_nationkey', FOOT, 'vec_id', 'xmin', 'ymin')}
+      UNION ALL
+      SELECT vec_id, n_nationkey FROM {_in_l(_L_FOOT, 'vec_id', _REGIONS, 'n_nationkey', 'x0', 'y0')})
+"""
+
+
+@check(
+    "j2_polygon_overlay",
+    f"""
+    SELECT h.vec_id, h.n_nationkey FROM ({_HIT}) h JOIN {FOOT} f USING (vec_id) JOIN {_REGIONS} r USING (n_nationkey)
+    WHERE xmin < x0 + 6 AND x0 < xmax AND ymin < y0 + 6 AND y0 < ymax
+    """,
+)
+def _(t):
+    return spatial.polygon_overlay(_l_feet(t), _l_regions(t, "aoi_rings")).select("vec_id", "n_nationkey")
+
+
+def _shared(a: float, b: float, c: float, d: float) -> str:
+    """Area that a footprint shares with the part of an L between two relative corners."""
+    return (
+        f"greatest(0, least(xmax, x0 + {c * 6}::DOUBLE) - greatest(xmin, x0 + {a * 6}::DOUBLE)) * greatest(0, least(ymax, y0 + {d * 6}::DOUBLE) - greatest(ymin, y0 + {b * 6}::DOUBLE))"
+    )
+
+
+@check(
+    "j2_clip_polygons",
+    f"""
+    SELECT * FROM (SELECT vec_id, n_nationkey, round({_shared(0, 0, 1, 1)} - {_shared(0.5, 0.5, 1, 1)} - {_shared(0.125, 0.125, 0.375, 0.375)}, 6) AS area
+      FROM {FOOT}, {_REGIONS}) WHERE area > 0
+    """,
+)
+def _(t):
+    parts = spatial.clip_to_boxes(_l_regions(t, "rings"), s.footprints(t))
+    return parts.select("vec_id", "n_nationkey", F.round("area", 6).alias("area")).where("area > 0")
+
+
+@check(
+    "p12_filter_by_polygon",
+    f"SELECT DISTINCT point_id FROM {_in_l('(SELECT * FROM ' + _L_REGION + ' WHERE n_nationkey = 7)', 'n_nationkey', s.POINTS, 'point_id', 'lon', 'lat')}",
+)
+def _(t):
+    """Points inside one area that comes as WKB, as a plain row filter."""
+    area = _l_regions(t, "rings").where("n_nationkey = 7").select(pg.rings_wkb(F.col("rings")).alias("wkb")).first()["wkb"]
+    return s.points(t).where(pg.contains_point(pg.wkb_rings(F.lit(area)), F.col("lon"), F.col("lat"))).select("point_id")
+
+
 @check(
     "j3_reference_hits",
     f"SELECT point_id, class, vec_id FROM {_HITS}",

@@ -99,6 +99,27 @@ def _(t):
     return learn.predict(fitted, rows.filter("split = 'test'"), ["vec_id", "kind"])
 
 
+@check("v10_rbf_svm_separates_rings", "SELECT count(*) AS tested, true AS nine_in_ten FROM embeddings WHERE vec_id % 4 = 0")
+def _(t):
+    """Inside or outside a circle of two components, which no line separates; three quarters teach, SQL states the share to be met."""
+    emb = s.embeddings(t).withColumn("vec", F.slice("vec", 1, 2))
+    size = emb.withColumn("size", F.col("vec")[0] * F.col("vec")[0] + F.col("vec")[1] * F.col("vec")[1])
+    middle = size.agg(F.percentile("size", 0.5).alias("m"))
+    rows = size.withColumn("kind", (F.col("size") > middle.scalar()).cast("int"))
+    fitted = learn.train_rbf_svm(rows.where("vec_id % 4 > 0"), "kind", components=128, max_iter=20)
+    tested = learn.predict(fitted, rows.where("vec_id % 4 = 0"), ["kind"])
+    return tested.agg(F.count("*").alias("tested"), (F.avg((F.col("kind") == F.col("prediction")).cast("int")) >= 0.9).alias("nine_in_ten"))
+
+
+@check("v8_kmeans_places_date_line", "SELECT count(*) AS places, count(DISTINCT c_custkey % 4) AS pairs FROM customer")
+def _(t):
+    """Four groups of places a quarter of the globe apart, one of them on both sides of the date line: a cluster each."""
+    group = F.col("point_id") % 4
+    apart = s.points(t).select(group.alias("kind"), ((F.col("lon") + 170 + 90 * group + 180) % 360 - 180).alias("lon"), "lat")
+    found = learn.kmeans_places(apart, 4)
+    return found.agg(F.count("*").alias("places"), F.count_distinct("kind", "cluster").alias("pairs"))
+
+
 @check("v11_train_mlp_head")
 def _(t):
     rows = _three(t)

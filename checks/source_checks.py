@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from checks import standins as s
 from checks.registry import check
+from rasterloom.functions.polygons import polygon_area
 from rasterloom.operators.embed import PatchMeanEncoder, embed_chips
 from rasterloom.plans.scratch import scratch_path
 from rasterloom.sources import chips as c
-from rasterloom.sources import tables
+from rasterloom.sources import features, places, tables
 
 PER_STACK = 40
 
@@ -150,6 +151,40 @@ def _(t):
     return tables.scan_geojson_points(t.spark, root, {"point_id": "int", "class": "int"})
 
 
+@check(
+    "s6_scan_features",
+    f"""
+    SELECT 'Point' AS kind, CAST(point_id AS INTEGER) AS id, lon, lat, CAST(NULL AS DOUBLE) AS area FROM {s.POINTS}
+    UNION ALL SELECT 'Polygon', CAST(vec_id AS INTEGER), NULL, NULL, round((xmax - xmin) * (ymax - ymin), 6) FROM {s.FOOTPRINTS}
+    """,
+)
+def _(t):
+    """All points and footprints as one collection in a single file, read in ranges of 16 KB."""
+    def corner(x: str, y: str):
+        return F.array(F.col(f"bbox.{x}"), F.col(f"bbox.{y}"))
+
+    ring = F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"), corner("xmin", "ymin"))
+
+    def member(kind: str, key: str, coordinates):
+        geometry = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
+        return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col(key).alias("id")).alias("properties"), geometry.alias("geometry"))).alias("m")
+
+    members = s.points(t).select(member("Point", "point_id", F.array("lon", "lat"))).union(s.footprints(t).select(member("Polygon", "vec_id", F.array(ring))))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("m"), ", "), F.lit("]}"))
+    one = members.agg(text.cast("binary").alias("content")).select(F.lit("all.geojson").alias("path"), "content")
+    root = _written(one, scratch_path(t.spark, "features"))
+    found = features.scan_features(t.spark, root, {"id": "int"}, range_bytes=16 << 10)
+    return found.select("kind", "id", "lon", "lat", F.round(polygon_area(F.col("rings")), 6).alias("area"))
+
+
+@check("s11_search_places", f"SELECT vec_id, xmin, ymin FROM {s.FOOTPRINTS} WHERE xmin <= 12.5 AND xmax >= 7 AND ymin <= 9 AND ymax >= 4.5")
+def _(t):
+    """Footprints in curve order; the search opens only files whose box meets the area."""
+    path = scratch_path(t.spark, "places")
+    places.write_places(s.footprints(t), path, 16, world=(0.0, 0.0, 40.0, 40.0))
+    return places.search_places(t.spark, path, (7.0, 4.5, 12.5, 9.0)).select("vec_id", "bbox.xmin", "bbox.ymin")
+
+
 def landing_files(t):
     """Full and short stacks (events), stacks without pixels (pages), no stacks at all (documents).
 
@@ -168,10 +203,10 @@ def landing_files(t):
 
     good = c.encode_stacks(stacks("events", t("events").withColumn("v", F.col("value")), "event_id", 128))
     other = c.encode_stacks(stacks("pages", t("pages").withColumn("v", F.length("html")), "page_id", 100), "labels")
-    junk = t("documents").groupBy(F.floor(F.col("doc_id") / 20).alias("n")).agg(
-        F.array_join(F.array_sort(F.collect_list("text")), "\n").cast("binary").alias("content")
+    junk = t("documents").select(
+        F.concat(F.lit("landing/documents/cube_"), F.col("doc_id").cast("string"), F.lit(".npz")).alias("path"),
+        F.col("text").cast("binary").alias("content"),
     )
-    junk = junk.select(F.concat(F.lit("landing/documents/cube_"), F.col("n").cast("string"), F.lit(".npz")).alias("path"), "content")
     return good.unionByName(other).unionByName(junk)
 
 
@@ -183,7 +218,7 @@ def short_path(path: str):
 QA = """
     SELECT 'events/cube_' || (event_id // 128) || '.npz' AS file, CASE WHEN count(*) = 128 THEN 'valid' ELSE 'wrong_first_dim' END AS status FROM events GROUP BY event_id // 128
     UNION ALL SELECT DISTINCT 'pages/cube_' || (page_id // 100) || '.npz', 'missing_pixels' FROM pages
-    UNION ALL SELECT DISTINCT 'documents/cube_' || (doc_id // 20) || '.npz', 'unreadable' FROM documents
+    UNION ALL SELECT 'documents/cube_' || doc_id || '.npz', 'unreadable' FROM documents WHERE length(text) > 0
 """
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from checks import standins as s
 from checks.registry import check
 from rasterloom.functions import vectors as v
-from rasterloom.operators import search, tokens
+from rasterloom.operators import search, tokens, vector_index
+from rasterloom.plans.scratch import scratch_path
 
 EMB, ENT = s.EMBEDDINGS, s.ENTRIES
 K = 10
@@ -162,6 +163,43 @@ def _(t):
     return found.withColumn("distance", F.round(F.abs("distance"), 6))
 
 
+_EVERY = f"SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, %s AS distance FROM {EMB} q, {EMB} c"
+
+
+@check("v3_knn_join", _top(_EVERY % "list_distance(q.vec, c.vec)"))
+def _(t):
+    """Every row asks: more queries than one block, met cell by cell."""
+    every = s.embeddings(t)
+    return _rounded(search.knn(every, every.select(F.col("vec_id").alias("query_id"), "vec"), K, block_bytes=1, pivots=24))
+
+
+@check("v3_knn_join_cosine", _top(_EVERY % "1 - list_cosine_similarity(q.vec, c.vec)"))
+def _(t):
+    every = s.embeddings(t)
+    found = search.knn(every, every.select(F.col("vec_id").alias("query_id"), "vec"), K, metric="cosine", block_bytes=1, pivots=24)
+    return found.withColumn("distance", F.round(F.abs("distance"), 6))
+
+
+@check(
+    "v6_index_recall",
+    "SELECT count(*) AS queries, true AS found_nine_in_ten, true AS distances_exact FROM embeddings WHERE vec_id % 20 = 0",
+)
+def _(t):
+    """Every twentieth row asks the stored index; SQL states what recall and distances must come to."""
+    every = s.embeddings(t)
+    queries = every.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    path = scratch_path(t.spark, "vector-index")
+    vector_index.build_index(every, path)
+    found = vector_index.search_index(vector_index.open_index(t.spark, path), queries, K, every.schema["vec_id"].dataType)
+    exact = search.knn(every, queries, K).select("query_id", "neighbour_id", F.col("distance").alias("exact"))
+    both = exact.join(found.select("query_id", "neighbour_id", "distance"), ["query_id", "neighbour_id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("queries"),
+        (F.count("distance") >= 0.9 * F.count("exact")).alias("found_nine_in_ten"),
+        (F.coalesce(F.max(F.abs(F.col("distance") - F.col("exact"))), F.lit(0.0)) < 1e-9).alias("distances_exact"),
+    )
+
+
 @check(
     "v4_knn_filtered",
     f"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
@@ -72,6 +74,27 @@ def kmeans(table: DataFrame, k: int = 5, vec: str = "vec", seed: int = 42) -> Da
     return fitted.transform(ready).drop("features")
 
 
+def kmeans_places(table: DataFrame, k: int = 5, lon: str = "lon", lat: str = "lat", seed: int = 42) -> DataFrame:
+    """Clusters of places by great-circle distance: ``cluster`` and its middle as ``centre_lon``, ``centre_lat``.
+
+    Places are points of the unit sphere, so neither the date line nor a pole cuts a
+    cluster; a centre is the mean direction. Rows without a place have NULLs.
+    """
+    x, y = F.radians(F.col(lon).cast("double")), F.radians(F.col(lat).cast("double"))
+    ready = table.withColumn("_at", F.array(F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)))
+    there = ready.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("features", array_to_vector("_at"))
+    with _kept(there.select("features")) as rows:
+        fitted = KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="features", predictionCol="cluster").fit(rows)
+    found = fitted.transform(there).drop("features")
+    centres = np.array(fitted.clusterCenters())
+    middle = np.degrees(np.stack([np.arctan2(centres[:, 1], centres[:, 0]), np.arctan2(centres[:, 2], np.hypot(centres[:, 0], centres[:, 1]))], axis=1))
+    places = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in middle])
+    place = F.get(places, F.col("cluster"))
+    none = ready.where(F.col(lon).isNull() | F.col(lat).isNull()).withColumn("cluster", F.lit(None).cast("int"))
+    both = found.unionByName(none).drop("_at")
+    return both.withColumns({"centre_lon": place[0], "centre_lat": place[1]})
+
+
 def train_presence(
     merged: DataFrame, label: str = "class", vec: str = "vec", trees: int = 100, depth: int = 5, seed: int = 42
 ):
@@ -86,6 +109,48 @@ def train_presence(
         return forest.fit(rows)
 
 
+class FourierSvm:
+    """A linear machine on random cosine features: by Bochner's theorem the kernel of the features tends to the RBF kernel."""
+
+    def __init__(self, scaler, weights: np.ndarray, shifts: np.ndarray, machine=None) -> None:
+        self.scaler, self.weights, self.shifts, self.machine = scaler, weights, shifts, machine
+
+    def features(self, df: DataFrame) -> DataFrame:
+        """``features`` scaled, turned and bent, a batch of rows as one matrix product."""
+        shared = df.sparkSession.sparkContext.broadcast((self.weights, self.shifts))  # set by two parameters
+
+        @F.pandas_udf("array<double>")
+        def bend(rows: pd.Series) -> pd.Series:
+            weights, shifts = shared.value
+            m = np.cos(np.stack(rows.to_numpy()) @ weights + shifts) * np.sqrt(2.0 / len(shifts)) if len(rows) else np.zeros((0, len(shifts)))
+            return pd.Series(list(m))
+
+        scaled = self.scaler.transform(df).drop("features").withColumn("bent", bend(vector_to_array("scaled")))
+        return scaled.withColumn("features", array_to_vector("bent")).drop("scaled", "bent")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.machine.transform(self.features(df))
+
+
+def train_rbf_svm(
+    table: DataFrame, label: str, vec: str = "vec", components: int = 512, gamma: float | None = None, reg: float = 1e-4, max_iter: int = 50, seed: int = 42
+) -> FourierSvm:
+    """One machine per class with (nearly) a radial basis kernel ``exp(-gamma d^2)`` on standardised inputs.
+
+    ``gamma`` defaults to one over the number of dimensions. The error of the kernel
+    falls with the square root of ``components``; the rows never move.
+    """
+    rows = _labelled(table, label, vec)
+    with _kept(rows) as kept:
+        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(kept)
+        dim, rng = len(scaler.mean), np.random.default_rng(seed)
+        weights = rng.normal(size=(dim, components)) * np.sqrt(2.0 * (gamma if gamma is not None else 1.0 / dim))
+        machine = FourierSvm(scaler, weights, rng.uniform(0, 2 * np.pi, components))
+        with _kept(machine.features(kept)) as bent:
+            machine.machine = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg), labelCol="label", parallelism=4).fit(bent)
+    return machine
+
+
 def train_svm(table: DataFrame, label: str, vec: str = "vec", max_iter: int = 50):
     """One linear support-vector machine per class, on standardised inputs."""
     steps = Pipeline(

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rasterloom.functions.vectors import mean_vector
-from rasterloom.plans.scratch import materialise, scratch_path
+from rasterloom.operators.vector_join import knn_join
+from rasterloom.plans.scratch import materialise
 from rasterloom.plans.skew import salted_join
 
 BLOCK_BYTES = 32 << 20  # query vectors shipped to every task at once
@@ -43,6 +44,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m**2).sum(axis=1, keepdims=True)), 1e-12)
 
 
+def _scaled(table: DataFrame) -> DataFrame:
+    """Vectors of length one, as ``_unit`` makes them."""
+    norm = F.greatest(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)), F.lit(1e-12))
+    return table.withColumn("_norm", norm).withColumn("vec", F.transform("vec", lambda v: v / F.col("_norm"))).drop("_norm")
+
+
 def _block_search(queries, k: int, metric: str, width: int | None, types: tuple[pa.DataType, pa.DataType]):
     """Task body: per query, the k best corpus rows of this partition.
 
@@ -118,6 +125,7 @@ def knn(
     metric: str = "l2",
     prefix: int | None = None,
     block_bytes: int = BLOCK_BYTES,
+    pivots: int | None = None,
 ) -> DataFrame:
     """Exact k nearest corpus rows per query: (query_id, neighbour_id, distance, rank).
 
@@ -126,10 +134,9 @@ def knn(
 
     The corpus never moves: each partition keeps its k best per query and only
     those are shuffled. Query vectors that fit one block (checked in rows and
-    bytes, in one pass) travel to the tasks. More queries than that are written
-    once, the corpus is scanned once per block of them and each block's answer
-    goes to a scratch table, so neither the driver nor a task ever holds more
-    than one block.
+    bytes, in one pass) travel to the tasks. More queries than that are joined with
+    the corpus by cells around pivots (``vector_join``): both tables are read a
+    constant number of times and a task holds one block of each.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric}")
@@ -151,14 +158,11 @@ def knn(
     if few.num_rows <= BLOCK_ROWS and few.nbytes <= block_bytes:
         return _search(corpus, few, k, metric, prefix, schema)
     queries = materialise(queries, "queries")
-    size = queries.agg(F.sum(F.size("vec") * F.lit(8) + 64).alias("b")).first()["b"]
-    blocks = 2 * -(-size // block_bytes)  # twice as many as needed, so an uneven hash still fits
-    path = scratch_path(corpus.sparkSession, "knn")
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
-        if block.num_rows:
-            _search(corpus, block, k, metric, prefix, schema).write.mode("append").parquet(path)
-    return corpus.sparkSession.read.parquet(path)
+    if queries.groupBy("query_id").count().where("count > 1").limit(1).count():
+        raise ValueError("a query id occurs more than once")
+    if metric == "cosine":
+        corpus, queries = _scaled(corpus), _scaled(queries)
+    return knn_join(corpus, queries, k, schema, unit=metric == "cosine", pivots=pivots)
 
 
 def reference_vectors(table: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:

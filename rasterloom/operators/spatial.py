@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions.polygons import box_planes, clip_convex, contains_point, polygon_area, polygons_touch, rings_box
 from rasterloom.plans.grid import KEYS, box_level, cell, levels_of, with_cells
 from rasterloom.plans.skew import ROWS_PER_TASK, salted_join
 
@@ -88,3 +89,30 @@ def reference_hits(points: DataFrame, patches: DataFrame, bbox: str = "bbox") ->
 def points_with_hits(points: DataFrame, patches: DataFrame, point_id: str = "point_id", bbox: str = "bbox") -> DataFrame:
     hits = spatial_join(patches.select(bbox), points.select(point_id, "lon", "lat"), bbox)
     return points.join(hits.select(point_id), point_id, "left_semi")
+
+
+def polygon_join(
+    polygons: DataFrame, points: DataFrame, rings: str = "rings", lon: str = "lon", lat: str = "lat", rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Every (point, polygon) pair with the point inside or on the edge: boxes meet on the grid, ray crossing decides."""
+    boxed = polygons.withColumn("_box", rings_box(F.col(rings))).where("_box.xmin is not null")
+    pairs = spatial_join(boxed, points, "_box", lon, lat, rows_per_task)
+    return pairs.where(contains_point(F.col(rings), F.col(lon), F.col(lat))).drop("_box")
+
+
+def polygon_overlay(
+    tiles: DataFrame, aoi: DataFrame, tile_rings: str = "rings", aoi_rings: str = "aoi_rings", rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Pairs of polygons that share a point and whose boxes share area; ``shared_box`` is the box both lie in."""
+    a = tiles.withColumn("_tile_box", rings_box(F.col(tile_rings))).where("_tile_box.xmin is not null")
+    b = aoi.withColumn("_aoi_box", rings_box(F.col(aoi_rings))).where("_aoi_box.xmin is not null")
+    pairs = aoi_overlay(a, b, "_tile_box", "_aoi_box", rows_per_task)
+    return pairs.where(polygons_touch(F.col(tile_rings), F.col(aoi_rings))).withColumnRenamed("clip", "shared_box").drop("_tile_box", "_aoi_box")
+
+
+def clip_to_boxes(polygons: DataFrame, boxes: DataFrame, rings: str = "rings", bbox: str = "bbox", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Each polygon cut along the boxes it shares area with: ``part`` (rings) and its ``area``."""
+    boxed = polygons.withColumn("_poly_box", rings_box(F.col(rings))).where("_poly_box.xmin is not null")
+    pairs = aoi_overlay(boxes, boxed, bbox, "_poly_box", rows_per_task)
+    cut = pairs.withColumn("part", clip_convex(F.col(rings), box_planes(F.col(bbox)))).where(F.size("part") > 0)
+    return cut.withColumn("area", polygon_area(F.col("part"))).where("area > 0").drop("clip", "_poly_box")

@@ -1,4 +1,4 @@
-"""Equi-joins that survive a hot key."""
+"""Equi-joins that survive a hot key, on one side or on both."""
 
 from __future__ import annotations
 
@@ -10,31 +10,45 @@ from rasterloom.plans.scratch import materialise
 ROWS_PER_TASK = 1_000_000
 
 
+def hot_keys(big: DataFrame, small: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
+    """Keys with more than ``rows_per_task`` rows on either side, and into how many parts each side is cut."""
+
+    def crowded(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > rows_per_task)
+
+    both = crowded(big, "_a").join(crowded(small, "_b"), keys, "full")
+    parts = [F.ceil(F.coalesce(F.col(n), F.lit(1)) / rows_per_task).cast("int").alias(p) for n, p in (("_a", "_rows"), ("_b", "_cols"))]
+    return materialise(both.select(*keys, *parts), "hot-keys")
+
+
+def hot_grid(big: DataFrame, small: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of hot keys dealt over a grid (``_r``, ``_c``): a row of ``big`` lies in one grid row, one of ``small`` in one column.
+
+    Rows are dealt by a number that is written out with them, so equal rows are spread
+    as well, and a task that runs again deals as before.
+    """
+
+    def dealt(df: DataFrame, own: str, parts: str, other: str, others: str) -> DataFrame:
+        numbered = materialise(df.join(hot, keys).withColumn("_id", F.monotonically_increasing_id()), "hot-rows")
+        placed = numbered.withColumn(own, F.pmod(F.xxhash64("_id"), F.col(parts)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("_id", "_rows", "_cols")
+
+    return dealt(big, "_r", "_rows", "_c", "_cols"), dealt(small, "_c", "_cols", "_r", "_rows")
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Inner equi-join; keys with more than ``rows_per_task`` rows in ``big`` are split.
+    """Inner equi-join; a key with more than ``rows_per_task`` rows on a side becomes a grid of tasks.
 
-    A hot key's ``big`` rows are spread over ``ceil(n / rows_per_task)`` salts and
-    its ``small`` rows are copied to each of them. The hot keys are written out
-    once, so Spark knows their true size when it picks the join with them.
+    Each task of the grid holds about ``rows_per_task`` rows of either side, even if
+    both sides are crowded in the same key. All other keys meet in a plain join, and
+    so does everything if no key is hot.
     """
-    hot = materialise(
-        big.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > rows_per_task)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_splits")),
-        "hot-keys",
-    )
-    splits = F.coalesce(F.col("_splits"), F.lit(1))
-    left = (
-        big.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*big.columns), splits).cast("int"))
-        .drop("_splits")
-    )
-    right = (
-        small.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1)))
-        .drop("_splits")
-    )
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    hot = hot_keys(big, small, keys, rows_per_task)
+    if not hot.limit(1).count():
+        return big.join(small, keys)
+    names = hot.select(*keys)
+    cold = big.join(names, keys, "left_anti").join(small.join(names, keys, "left_anti"), keys)
+    left, right = hot_grid(big, small, hot, keys)
+    return cold.unionByName(left.join(right, [*keys, "_r", "_c"]).drop("_r", "_c"))

@@ -11,7 +11,7 @@ QUERIES = entry.queries()
 # Queries that only declare a plan (the others run jobs while being built).
 LAZY = [
     n for n in sorted(ORACLES)
-    if not n.startswith(("x", "s3_", "s4_", "s6_", "s7_", "s8_", "s10_", "s12_", "p10_", "v3", "v4", "v5", "v12"))
+    if not n.startswith(("x", "s3_", "s4_", "s6_", "s7_", "s8_", "s10_", "s12_", "p10_", "v3", "v4", "v5", "v6_index", "v10", "v12", "s11_search_places"))
 ]
 PYTHON = {"a20_equalise_histogram", "v1_embed_chips", "e5_stack_table_function"}
 
