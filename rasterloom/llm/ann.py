@@ -14,9 +14,10 @@ work. Distances are Euclidean, in double precision, on the original vectors.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
 nor do rows without an id.
-Vectors of different lengths never meet. Rows with the query's own id are no
-candidates; a repeated query id is answered for each of its rows. Ties go to the
-smaller id. An empty table gives no rows.
+Vectors of different lengths never meet. The query's own row, one row with its id and
+its very vector, is no candidate; other rows of that id are. A repeated query id is
+answered for each of its rows. Ties go to the smaller id. An empty table gives no
+rows; further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ class Best:
 
     def offer(self, rows: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
         d = distances(self.queries[rows], vectors)
-        d[self.own[rows][:, None] == ids[None, :]] = np.inf
+        d[(self.own[rows][:, None] == ids[None, :]) & (d == 0)] = np.inf  # twins of the own row are added in the end
         score = np.concatenate([self.score[rows], d], axis=1)
         names = np.concatenate([self.id[rows], np.broadcast_to(ids, d.shape)], axis=1)
         order = np.lexsort((names, score), axis=1)[:, : self.k]
@@ -229,9 +230,18 @@ def nearest_neighbours(
     )
     wider = asked.join(limit, "uid", "left").select("dim", "uid", "vec_id", "v", F.coalesce("kth", everywhere).alias("reach"))
     second = homes.unionByName(sent(wider, 2)).groupBy("task").applyInArrow(search, FOUND)
+    # rows of a query's id and vector beyond the own one; -0.0 is as near as 0.0
+    print_ = F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0)))
+    twins = (
+        corpus.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id", print_.alias("p"))
+        .agg((F.count("*") - 1).cast("int").alias("n")).where("n > 0")
+    )
+    again = asked.select("uid", "vec_id", print_.alias("p")).join(twins, ["vec_id", "p"]).select(
+        "uid", F.col("vec_id").alias("query_id"), "vec_id", F.explode(F.array_repeat(F.lit(0.0), F.least("n", F.lit(k)))).alias("score")
+    )
     by_query = Window.partitionBy("uid").orderBy("score", "vec_id")
     return (
-        first.unionByName(second).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+        first.unionByName(second).unionByName(again).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 

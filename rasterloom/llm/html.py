@@ -40,7 +40,7 @@ from rasterloom.plans.scratch import materialise
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-FURNITURE = frozenset("head nav footer aside form button select option dialog menu svg math canvas object audio video map datalist fieldset label legend".split()) | RAW
+FURNITURE = frozenset("head nav footer aside button select option dialog menu svg math canvas object audio video map datalist fieldset label legend".split()) | RAW
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 IMPLIED_END = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -48,16 +48,19 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 NAMES = frozenset(
     "ad ads advert advertisement adverts advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert "
     "sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus respond reply replies footer header "
-    "masthead topbar toolbar share sharing social related newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager".split()
+    "masthead topbar toolbar share sharing social related newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager teaser teasers".split()
 )
+# Those of them under which nothing is the page's own text, even in an article of its own.
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
 CONTENT = frozenset(("article", "main"))
 NEVER = frozenset(("html", "body", "article", "main"))
 
 OUTSIDE_SHARE, OUTSIDE_PAGES = 0.5, 5
 INSIDE_SHARE, INSIDE_PAGES = 0.9, 10
 
-_MARKUP = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+# A quote opens a value only after "="; anywhere else it is an ordinary character.
+_MARKUP = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*+)|[^>=]++)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _NAME = re.compile(r"[^a-z0-9]+")
 _PREFIXES = frozenset(("has", "no", "with", "is", "without"))
 # What may follow a name of furniture in a class word: "sidebar-left", "comments-area".
@@ -91,8 +94,10 @@ def is_furniture(tag: str, attributes: str, in_content: bool) -> bool:
 
 
 def furniture_words(tag: str, attributes: str, in_content: bool) -> list[str]:
-    """The class and id words of an element that name it as page furniture."""
-    if tag in NEVER or not attributes or "=" not in attributes:
+    """The class and id words of an element that name it as page furniture; a form is named by its tag."""
+    if tag == "form":
+        return ["form"]
+    if tag in NEVER and tag != "article" or not attributes or "=" not in attributes:
         return []
     values = [value.strip("\"'").lower() for name, value in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")]
     return [word for value in values for word in value.split() if named_furniture(word, in_content)]
@@ -101,30 +106,40 @@ def furniture_words(tag: str, attributes: str, in_content: bool) -> list[str]:
 def read_page(text: str) -> "Page":
     """A page without its furniture.
 
-    Elements named as furniture are read first; those that hold an article, main or
-    more than half of the text that no other rule drops are kept. Where an article
-    with text stands outside of all of them, a whole word such as class="ad" counts
-    however long the element is, and only longer words give way to its size.
+    Elements named as furniture are read first. Those are kept that hold the page's
+    largest article or main (neither one inside another nor one below readers'
+    comments counts), or more than half of the text that no other rule drops. Where
+    an article with text stands outside of all of them, a whole word such as
+    class="ad", a form or a word for comments counts however long the element is,
+    and only longer words give way to its size.
     """
     first = Page(text, None)
     if not first.named:
         return first
-    size, holds = [0] * len(first.tags), [False] * len(first.tags)
+    size = [0] * len(first.tags)
     for block, owner in zip(first.blocks, first.owners, strict=True):
         if owner >= 0:
             size[owner] += len(block)
     for number in range(len(first.tags) - 1, -1, -1):
-        above = first.parents[number]
-        if above >= 0:
-            size[above] += size[number]
-            holds[above] = holds[above] or holds[number] or first.content[number]
+        if first.parents[number] >= 0:
+            size[first.parents[number]] += size[number]
     total = sum(map(len, first.blocks))
-    names = {number for _, number, _ in first.named}
-    under: list[bool] = []
+    names = {number for _, number, _, _ in first.named}
+    readers = {number for _, number, _, by_readers in first.named if by_readers}
+    under, below_readers, outer = [], [], []
     for number, above in enumerate(first.parents):
         under.append(number in names or (above >= 0 and under[above]))
+        below_readers.append(number in readers or (above >= 0 and below_readers[above]))
+        if first.content[number] and not (above >= 0 and first.inside[above]) and not below_readers[number] and size[number]:
+            outer.append(number)
+    # one that no name casts doubt on comes before a longer one that is named, or lies in something named
+    largest = max(outer, key=lambda number: (not under[number], number not in names, size[number]), default=-1)
+    holding = set()
+    while largest >= 0:
+        holding.add(largest)
+        largest = first.parents[largest]
     article = any(o >= 0 and first.inside[o] and not under[o] for o in first.owners)
-    return Page(text, frozenset(start for start, number, whole in first.named if holds[number] or (2 * size[number] > total and not (whole and article))))
+    return Page(text, frozenset(start for start, number, whole, _ in first.named if number in holding or (2 * size[number] > total and not (whole and article))))
 
 
 class Page:
@@ -136,7 +151,8 @@ class Page:
 
     def __init__(self, text: str, kept: frozenset | None = frozenset()) -> None:
         self.kept = kept
-        self.named: list[tuple[int, int, bool]] = []  # number of the start tag, number of the element, whether a whole word names it
+        # number of the start tag, of the element, whether a whole word or a word for comments names it, whether the latter
+        self.named: list[tuple[int, int, bool, bool]] = []
         self.content: list[bool] = []
         self._starts = 0
         self.tags: list[str] = []
@@ -215,7 +231,8 @@ class Page:
             if tag in INLINE:
                 gone = True
             elif self.kept is None:
-                self.named.append((self._starts, len(self.tags), not NAMES.isdisjoint(words)))
+                readers = any(not READERS.isdisjoint(_NAME.split(w)) for w in words)
+                self.named.append((self._starts, len(self.tags), readers or tag == "form" or not NAMES.isdisjoint(words), readers))
             else:
                 gone = self._starts not in self.kept
         if tag in INLINE and not gone:

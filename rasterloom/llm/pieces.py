@@ -28,6 +28,8 @@ text. Rows of one key and text get equal ids; a null key counts as a key.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -42,7 +44,10 @@ from rasterloom.llm.common import as_texts, mix64, slices
 
 SPACE = "▁"
 BITS = 32
-MOST_UNITS = 120_000
+MOST_UNITS, MOST_EDGES = 120_000, 6_000_000  # of the lattices kept between slices: 100 MB
+KEPT_UNIT = 64  # longer units are not kept
+LONG_UNIT = 2_000  # symbols; longer units are filtered place by place
+FEW = 4  # walkers left after that many steps go on one by one
 UNITS_AT_ONCE = 10_000  # lattices built together, a bound on working memory
 SLICE_TEXT = 1 << 20
 
@@ -179,9 +184,11 @@ def lattices(new: list[str], vocabulary: Vocabulary) -> Lattices:
     score = vocabulary.log_weight[ids]
     forward = np.zeros(len(symbols) + len(new))
     depth = (end - starts[owner])[heads]
-    by_depth = np.argsort(depth, kind="stable")
     widths = np.diff(heads, append=len(ids))
-    cuts = np.searchsorted(depth[by_depth], np.arange(1, int(depth.max(initial=0)) + 2))
+    long = sizes[owner[heads]] > LONG_UNIT
+    by_depth = np.flatnonzero(~long)
+    by_depth = by_depth[np.argsort(depth[by_depth], kind="stable")]
+    cuts = np.searchsorted(depth[by_depth], np.arange(1, int(depth[by_depth].max(initial=0)) + 2))
     for a, b in zip(cuts, cuts[1:], strict=False):
         own = by_depth[a:b]
         width = widths[own]
@@ -190,6 +197,8 @@ def lattices(new: list[str], vocabulary: Vocabulary) -> Lattices:
         way = forward[source[edges]] + score[edges]
         most = np.maximum.reduceat(way, offsets)
         forward[target[heads[own]]] = most + np.log(np.add.reduceat(np.exp(way - np.repeat(most, width)), offsets))
+    if long.any():
+        _filter_long(forward, source, target, score, heads[long], widths[long])
     share = np.exp(forward[source] + score - forward[target])
     reached = np.cumsum(share) - share
     reached -= np.repeat(reached[heads], widths)
@@ -198,8 +207,23 @@ def lattices(new: list[str], vocabulary: Vocabulary) -> Lattices:
     return Lattices(target << BITS | draw, before, ids.astype(np.int32), starts + sizes + np.arange(len(new)))
 
 
+def _filter_long(forward: np.ndarray, source: np.ndarray, target: np.ndarray, score: np.ndarray, heads: np.ndarray, widths: np.ndarray) -> None:
+    """Forward sums of long units one place after the other: a step for all units at once would hold hardly any of them."""
+    held: dict[int, float] = {}
+    exp, log = math.exp, math.log
+    edges = np.repeat(heads - (np.cumsum(widths) - widths), widths) + np.arange(int(widths.sum()))
+    froms, scores = source[edges].tolist(), score[edges].tolist()
+    at = 0
+    for place, width in zip(target[heads].tolist(), widths.tolist(), strict=True):
+        ways = [held.get(froms[i], 0.0) + scores[i] for i in range(at, at + width)]
+        most = max(ways)
+        held[place] = most + log(sum([exp(w - most) for w in ways]))
+        at += width
+    forward[np.fromiter(held, np.int64, len(held))] = np.fromiter(held.values(), np.float64, len(held))
+
+
 class Sampler:
-    """Draws segmentations; lattices of units met before are kept, the rarest leave when it is full."""
+    """Draws segmentations; lattices of units met before are kept, the rarest and the long ones leave when it is full."""
 
     def __init__(self, path: str, alpha: float, seed: int) -> None:
         self.vocabulary = Vocabulary(path, alpha)
@@ -229,14 +253,28 @@ class Sampler:
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
     def _shrink(self) -> None:
-        often = [u for u, c in self.codes.items() if self.uses[c] > 2]
+        often = [u for u, c in self.codes.items() if self.uses[c] > 2 and len(u) <= KEPT_UNIT]
         self._clear()
         if often and len(often) <= MOST_UNITS // 2:
             self._learn(often)
+        if len(self.keys) > MOST_EDGES // 2:
+            self._clear()
+
+    def _walk(self, place: int, base: np.uint64, step: int) -> np.ndarray:
+        """The rest of one long unit's walk: the same draws, without an array operation for every step."""
+        out, held, keys, before = [], [], self.keys, self.before
+        while place >= 0:
+            if not held:
+                held = (mix64(base + np.arange(step, step + 4096, dtype=np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)[::-1].tolist()
+                step += 4096
+            edge = bisect_right(keys, place << BITS | held.pop()) - 1
+            out.append(edge)
+            place = int(before[edge])
+        return self.ids[np.array(out, dtype=np.int64)]
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other and the number of ids of each text."""
-        if len(self.codes) > MOST_UNITS:
+        if len(self.codes) > MOST_UNITS or len(self.keys) > MOST_EDGES:
             self._shrink()
         lists = [units(t) for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -255,7 +293,7 @@ class Sampler:
         walkers: list[np.ndarray] = []
         steps = np.zeros(len(flat), np.int64)
         alive, at, step = np.arange(len(flat)), self.ends[codes], 0
-        while len(alive):
+        while len(alive) > FEW or (len(alive) and step < LONG_UNIT):
             r = (mix64(base[alive] + np.uint64(step)) >> np.uint64(64 - BITS)).astype(np.int64)
             edge = np.searchsorted(self.keys, at << BITS | r, side="right") - 1
             drawn.append(self.ids[edge])
@@ -265,8 +303,13 @@ class Sampler:
             step += 1
             steps[alive[~open_]] = step
             alive, at = alive[open_], at[open_]
+        alone = {int(w): self._walk(int(place), base[w], step) for w, place in zip(alive, at, strict=True)}
+        for w, ids in alone.items():
+            steps[w] = step + len(ids)
         ends = np.cumsum(steps)
         out = np.zeros(int(steps.sum()), np.int32)
+        for w, ids in alone.items():
+            out[ends[w] - step - len(ids) : ends[w] - step] = ids[::-1]
         for k, (who, ids) in enumerate(zip(walkers, drawn, strict=True)):
             out[ends[who] - 1 - k] = ids
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom.llm.common import WORD, as_bytes, slices
+from rasterloom.plans.scratch import materialise
 
 # The base patterns, their least lengths and the order of kinds.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -221,7 +222,7 @@ def lead_needed(moves: np.ndarray) -> np.ndarray:
 class Tagger:
     """Tags the words of many texts; the scores of words met before are kept."""
 
-    MOST_WORDS = 300_000
+    MOST_WORDS, MOST_BYTES = 300_000, 16 << 20
 
     def __init__(self, field: Field) -> None:
         self.field = field
@@ -230,6 +231,7 @@ class Tagger:
 
     def _clear(self) -> None:
         self.codes: dict[bytes, int] = {}
+        self.held = 0  # bytes of the words kept
         self.scores = {name: np.zeros((0, 3)) for name in ("own", "before", "before2", "after")}
         self._add([PAD])
 
@@ -246,7 +248,7 @@ class Tagger:
 
     def runs(self, texts: list[bytes]) -> list[list[tuple[int, int]]]:
         """Per text the (first, last) word of each tagged secret."""
-        if len(self.codes) > self.MOST_WORDS:
+        if len(self.codes) > self.MOST_WORDS or self.held > self.MOST_BYTES:
             self._clear()
         lists = [t.split() for t in texts]
         flat = [w for x in lists for w in (*x, b"", b"")]  # two pads after each text keep neighbours apart
@@ -259,6 +261,7 @@ class Tagger:
             new = list(dict.fromkeys(unknown))
             self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
             self._add([word_features(w) for w in new])
+            self.held += sum(map(len, new))
             codes[missing] = np.fromiter(map(self.codes.get, unknown), np.int64, len(unknown))
         found: list[list[tuple[int, int]]] = [[] for _ in texts]
         if not len(flat):
@@ -334,7 +337,10 @@ def label_windows(raw: bytes, spans: list[Span], negative: bool, rng: random.Ran
 
 
 def training_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[list[bytes], list[int], tuple[int, int]]]:
-    """Labelled windows of a sample of about ``rows`` documents, never more than twice as many documents."""
+    """Labelled windows of a sample of about ``rows`` documents, never more windows than twice as many documents give.
+
+    Texts are read where they lie; only the windows, of bounded length, travel.
+    """
     total = docs.count()
     order = F.xxhash64(F.lit(23), "doc_id", F.length("text"))
     share = order.bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
@@ -355,7 +361,8 @@ def training_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[lis
                 [pa.array(words, pa.list_(pa.binary())), pa.array(tags, pa.list_(pa.int32())), pa.array(files, pa.list_(pa.int32()))], names=["words", "tags", "file"]
             )
 
-    found = sample.limit(2 * rows).mapInArrow(run, "words array<binary>, tags array<int>, file array<int>").collect()
+    windows = materialise(sample.mapInArrow(run, "words array<binary>, tags array<int>, file array<int>"), "secret-windows")
+    found = windows.limit(2 * rows * WINDOWS_PER_TEXT).collect()
     return sorted(([bytes(w) for w in r.words], list(r.tags), tuple(r.file)) for r in found)
 
 

@@ -41,7 +41,8 @@ from rasterloom.plans.scratch import scratch_path
 MAGIC = b"TKPLANE1"
 BLOCK_IDS = 1 << 16
 END_ID = 0
-MOST_CHUNKS = 350_000
+MOST_CHUNKS, MOST_BYTES = 350_000, 48 << 20  # of the chunks kept between slices: their number, and bytes of their texts and ids
+KEPT_CHUNK = 64  # longer chunks are not kept
 SLICE_TEXT = 2 << 20
 # A letter with a punctuation mark other than an apostrophe after it: byte-level vocabularies never join the two.
 _WORD_END = re.compile(r"(?<=[^\W\d_])(?=[!-&(-/:-@\[-`{-~])")
@@ -69,25 +70,35 @@ class ChunkEncoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.uses = np.zeros(0, np.int64)
         self.blank = np.zeros(0, bool)  # empty, or white space at the end
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.held = 0  # bytes of the keys
 
     def shrink(self) -> None:
         keep = self.uses > 1
+        if self.held + self.flat.nbytes > MOST_BYTES:
+            keep &= np.fromiter(map(len, self.codes), np.int64, len(self.codes)) <= KEPT_CHUNK
         old = np.flatnonzero(keep)
         place = (np.cumsum(keep) - 1).tolist()
         self.codes = {k: place[c] for k, c in self.codes.items() if keep[c]}
         self.flat, ends = self._gather(old)
         self.lengths = self.lengths[old]
         self.starts, self.uses, self.blank = ends - self.lengths, self.uses[old] // 2, self.blank[old]
+        self.held = sum(map(len, self.codes))
+        if self.held + self.flat.nbytes > MOST_BYTES // 2:
+            self.clear()
 
     def _append(self, keys: list[str], flat: list[np.ndarray], lengths: np.ndarray, blank: list[bool]) -> None:
         """Store chunks; ``blank`` is about the first of them, the rest are not blank."""
         self.codes.update(zip(keys, range(len(self.codes), len(self.codes) + len(keys)), strict=True))
+        self.held += sum(map(len, keys))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
@@ -167,7 +178,7 @@ class ChunkEncoder:
         A word's key is the word itself, for the chunk of a space and the word; a
         key that begins with a space stands for the rest of it.
         """
-        if len(self.codes) > MOST_CHUNKS:
+        if len(self.codes) > MOST_CHUNKS or self.held + self.flat.nbytes > MOST_BYTES:
             self.shrink()
         lists = [t.split(" ") for t in texts]
         for parts in lists:

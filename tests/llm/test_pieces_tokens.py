@@ -50,6 +50,39 @@ def test_ids_depend_on_key_and_text_only(sampler):
     assert not np.array_equal(sampler.sample(texts[-1:], keys[:1])[0], sampler.sample(texts[-1:], keys[1:2])[0])
 
 
+DENSE = ["".join(chr(0x4E00 + (i * 7919 + k * k * 31) % 4000) for i in range(1000)) for k in range(40)]
+
+
+def test_bounds_on_memory_do_not_change_ids(monkeypatch):
+    """Scripts without spaces: every text is one unit and one chunk."""
+    texts, keys = [*DENSE, *ODD, *DENSE[:5]], np.arange(len(DENSE) + len(ODD) + 5, dtype=np.int64)
+    want = pieces.Sampler(PIECES, 1.0, 4).sample(texts, keys)[0]
+    encoder = tokenfile.ChunkEncoder(BPE)
+    chunks = encoder.encode(texts)[0]
+    monkeypatch.setattr(pieces, "MOST_EDGES", 20_000)
+    monkeypatch.setattr(pieces, "LONG_UNIT", 300)
+    monkeypatch.setattr(tokenfile, "MOST_BYTES", 10_000)
+    small, tight, got, ids = pieces.Sampler(PIECES, 1.0, 4), tokenfile.ChunkEncoder(BPE), [], []
+    for at in range(0, len(texts), 4):
+        got.append(small.sample(texts[at : at + 4], keys[at : at + 4])[0])
+        ids.append(tight.encode(texts[at : at + 4])[0])
+    assert np.array_equal(np.concatenate(got), want) and np.array_equal(np.concatenate(ids), chunks)
+    small.sample(["a"], keys[:1])
+    tight.encode(["a"])
+    assert len(small.keys) < 20_000 and len(tight.flat) < 10_000
+
+
+def test_one_very_long_unit():
+    import time
+
+    unit = "".join(DENSE) * 5  # 200,000 characters without a space
+    start = time.perf_counter()
+    sampler = pieces.Sampler(PIECES, 1.0, 4)
+    ids, _ = sampler.sample([unit], np.zeros(1, np.int64))
+    assert sampler.vocabulary.decode(ids) == unit and time.perf_counter() - start < 60
+    sampler.sample(["next"] * 3, np.zeros(3, np.int64))
+
+
 def test_decoding_is_lossless(spark, small, hard_docs, no_docs):
     odd = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     for docs in (small, odd, hard_docs.withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(0))):

@@ -55,6 +55,12 @@ def test_odd_vectors(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
     got = answers(ann.nearest_neighbours(table, table.where("vec_id in (0, 2, 4, 9)"), 3))
     assert got == {0: [6, 7, 8], 9: [10]}
+    # another row of the query's id is a candidate, and so is a twin of its own row
+    twins = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (5, [1.0, 0.5])], "vec_id long, embedding array<float>")
+    found = ann.nearest_neighbours(twins, twins.where("vec_id = 0 and embedding[0] = 0"), 3).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [5, 0, 0]
+    both = ann.nearest_neighbours(twins, twins.where("vec_id = 0 and embedding[0] = 1"), 3).orderBy("rank").collect()
+    assert [r.vec_id for r in both] == [0, 0, 5, 5, 0, 0] and [r.score for r in both][:2] == [0.0, 0.0]
     empty = table.where("vec_id = 99")
     assert ann.nearest_neighbours(empty, empty).count() == 0 and ann.nearest_neighbours(table, empty).count() == 0
 
@@ -100,6 +106,58 @@ def test_class_names_do_not_drop_the_story(wrapper):
     assert shown(f"<{wrapper}><article>short</article></{tag}><p>more text beside it") in ("short", "short more text beside it")
 
 
+READER = "<article><p>a reader with much to say about it, more than the story itself says</p></article>"
+
+
+@pytest.mark.parametrize(
+    "markup, want",
+    [
+        (f"<div id=comments>{READER}{READER}</div><article>story of the page</article>", "story of the page"),
+        ("<div class='sidebar'><article class='teaser'>Other teaser story</article></div><article>Main story of it</article>", "Main story of it"),
+        (f"<article><p>story of the page</p><section class='user-comments'>{READER}</section></article>", "story of the page"),
+        (f"<article><h1>T</h1><p>story</p></article><div id='comments' class='comments-area'><h2>2 thoughts</h2><ol class='comment-list'><li>{READER}</li></ol><div id='respond'><form>x</form></div></div>", "T story"),
+        ("<article><p>story of the page</p><article class='comment'><p>a reader</p></article></article>", "story of the page"),
+        ("<main><p>story of the page</p></main><article class='comment even'><p>a reader</p></article>", "story of the page"),
+        ("<p class=it's>Hello</p><p>don't stop</p><p>more</p>", "Hello don't stop more"),
+        ('<div class="a" title="5" tall">First block</div><p class="b">Second</p>', "First block Second"),
+        ("<p title='a > b' data-x=\"<p>\">one</p><p alt=a\"b>two</p><p x = 'y'>three", "one two three"),
+        ("<form id=aspnetForm><input name=x><div><p>the text of the page</p><label>l</label><select><option>o</select></div></form>", "the text of the page"),
+        ("<p>the text of the page, longer than the form</p><form><p>search</p><button>go</button></form>", "the text of the page, longer than the form"),
+        ("<article>short story</article><form><p>a long form with many words that explain it</p></form>", "short story"),
+    ],
+)
+def test_comments_cards_quotes_and_forms(markup, want):
+    assert shown(markup) == want
+
+
+def test_template_counts_equal_brute_force(spark, sf):
+    """Subtrees, counted page by page in dictionaries, against the lists that Spark makes."""
+    from collections import defaultdict
+
+    base = spark.read.parquet(f"{sf}/pages.parquet")
+    extra = [(10_000 + i, f"http://t{i % 3}.example.org/{i}", f"<div>Site {i % 3}</div><ul><li>home<li>news</ul><article><p>By us</p><p>own {i}</p></article>") for i in range(45)]
+    rows = [*base.collect(), *spark.createDataFrame(extra, base.schema).collect(), *spark.createDataFrame(extra[:9], base.schema).collect()]
+    on, pages = defaultdict(set), defaultdict(set)
+    for r in rows:
+        host, p = html.host_of(r.url), html.read_page(r.html or "")
+        pages[host].add(p.key)
+        for h in p.hashes:
+            if h:
+                on[host, h].add(p.key)
+    want = defaultdict(lambda: (set(), set()))
+    for (host, h), seen in on.items():
+        if len(seen) >= 5 and len(pages[host]) >= 5 and 2 * len(seen) >= len(pages[host]):
+            want[host][0].add(h)
+            if 10 * len(seen) >= 9 * len(pages[host]) and len(pages[host]) >= 10:
+                want[host][1].add(h)
+    table = spark.createDataFrame(rows, base.schema)
+    got = {r.host: (set(r.outside), set(r.inside_too)) for r in html.site_templates(html.parse_pages(table)).collect()}
+    assert got == dict(want) and all(got[f"t{k}.example.org"][1] for k in range(3))
+    texts = {r.page_id: r.text for r in html.extract_main_text(table).collect()}
+    for i in range(45):
+        assert texts[10_000 + i] == f"own {i}"
+
+
 def test_class_names_in_articles():
     assert shown("<article><header class='entry-header'><h1>T</h1></header><p>text of it</p><div class='social-share'>s</div></article>") == "T text of it"
     assert shown("<p>text of the page</p><div class='comments-area'>c</div><div id='ad-slot-1'>x</div><div class='no-sidebar'>y</div>") == "text of the page y"

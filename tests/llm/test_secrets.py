@@ -36,6 +36,15 @@ def test_viterbi_equals_enumeration():
                 assert secrets.viterbi(scores, moves, before, after) == list(best)
 
 
+def test_bounds_on_memory_do_not_change_spans(spark, small, monkeypatch):
+    texts = [(r.text or "").encode() for r in small.limit(60).collect()] + ["".join(chr(0x4E00 + i % 999) for i in range(3000)).encode()] * 3
+    field = secrets.train(small)
+    want = secrets.Tagger(field).runs(texts)
+    monkeypatch.setattr(secrets.Tagger, "MOST_BYTES", 2000)
+    tight = secrets.Tagger(field)
+    assert [r for at in range(0, len(texts), 3) for r in tight.runs(texts[at : at + 3])] == want
+
+
 def test_pruned_decoding_equals_whole_viterbi():
     rng = np.random.default_rng(7)
     field = secrets.Field(np.zeros((secrets.N_FEATURES, 3)), rng.normal(size=(3, 3)))
