@@ -13,7 +13,8 @@ vantage-point tree per mask finds every pair, at a radius that prunes:
 2. A tree over a bounded sample of fingerprints gives the shards: a node keeps a
    vantage point and splits at the middle distance. Each fingerprint has one home
    shard and visits, as a query, each shard whose side of a split the triangle
-   bounds cannot exclude. Shards with many visitors are served by several tasks.
+   bounds cannot exclude. Shards with many visitors or homes are served by a grid
+   of tasks.
 3. Inside a task the shard's own tree splits into rings of equal distance to the
    vantage point; a query goes on only into rings within the radius of its own.
    Leaves compare whole fingerprints.
@@ -25,14 +26,16 @@ set, each document carries 128 more fingerprint bits of the same shingles, and a
 link holds only if at most ``confirm`` of those differ too; the search itself stays
 on the first 64.
 
-Fingerprints are estimates. Where ``jaccard`` is set, they only propose: documents
-with equal sets of shingles are one node, and inside each component of proposed
+Fingerprints are estimates. Where ``jaccard`` is set, they only propose, each of the
+three in turn with the other two to confirm: documents with equal sets of shingles are one node, and inside each component of proposed
 links the shingle sets themselves are compared. A pair is linked if the Jaccard
 similarity of its sets is at least ``jaccard``. Components with many shingles are
 cut into parts, each pair of parts is a task of its own, and small ones share tasks.
 
-Null or word-free texts have fingerprint zero. Repeated ids give a row each; an
-empty table gives no rows.
+Null or word-free texts have fingerprint zero. Repeated ids give a row each; where rows
+of one id are to be told apart, ``doc_id`` may be a struct of the id and more. Texts
+of any length are read whole; an empty table gives no rows; further columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
@@ -44,8 +47,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterloom.llm.common import as_bytes, mix64, slices
 from rasterloom.llm.links import components, spanning
@@ -59,6 +63,7 @@ SLICE_TEXT = 2 << 20
 SAMPLE_PER_SHARD = 64
 QUERIES_PER_TASK = 1_000_000
 HOMES_PER_SHARD = 500_000
+HOMES_PER_TASK = 500_000
 SETS_PER_PART = 1_000
 SHINGLES_PER_PART = 500_000
 
@@ -116,10 +121,18 @@ def simhashes(texts: list[bytes], words: int, more: int = 0, sets: bool = False)
 MORE = ("more1", "more2")
 
 
+def _key(docs: DataFrame) -> Column:
+    """The documents' id as a long, or as it is where it is a struct (an id and more that tells rows apart)."""
+    key = F.col("doc_id")
+    return key if isinstance(docs.schema["doc_id"].dataType, T.StructType) else key.cast("long").alias("doc_id")
+
+
 def fingerprints(docs: DataFrame, words: int, more: bool = False, sets: bool = False) -> DataFrame:
     """doc_id, fp (the 64 bits as a long) and, if asked for, two further columns of 64 bits and ``node``, the hash of the shingle set."""
     further = len(MORE) if more else 0
     names = ["doc_id", "fp", *MORE[:further], *(("node",) if sets else ())]
+    named = docs.select(_key(docs), "text")
+    schema = T.StructType([named.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names[1:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +140,7 @@ def fingerprints(docs: DataFrame, words: int, more: bool = False, sets: bool = F
                 fps = simhashes(as_bytes(piece.column("text")), words, further, sets)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *[pa.array(np.ascontiguousarray(c)) for c in fps.T]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return named.mapInArrow(run, schema)
 
 
 @dataclass
@@ -255,13 +268,15 @@ def fingerprint_links(distinct: DataFrame, max_bits: int, bands: int, confirm: i
     for mask in masks:
         leaves: list[Node] = []
         tree = shard_tree(sample, mask, depth, leaves)
-        load = np.ones(len(leaves))
-        for shard, visitors, _ in route(tree, sample, np.arange(len(sample)), np.ones(len(sample), bool), mask, radius):
-            load[shard] = len(visitors) / max(rate, 1e-12)
+        load, own = np.ones(len(leaves)), np.ones(len(leaves))
+        for shard, visitors, home in route(tree, sample, np.arange(len(sample)), np.ones(len(sample), bool), mask, radius):
+            load[shard], own[shard] = len(visitors) / max(rate, 1e-12), home.sum() / max(rate, 1e-12)
+        # a shard is a grid: its visitors in chunks, its homes in splits
         chunks = np.maximum(1, np.ceil(load / QUERIES_PER_TASK)).astype(np.int64)
+        splits = np.maximum(1, np.ceil(own / HOMES_PER_TASK)).astype(np.int64)
         trees.append(tree)
-        layout.append((tasks + np.concatenate([[0], np.cumsum(chunks)[:-1]]), chunks))
-        tasks += int(chunks.sum())
+        layout.append((tasks + np.concatenate([[0], np.cumsum(chunks * splits)[:-1]]), chunks, splits))
+        tasks += int((chunks * splits).sum())
     shared = spark.sparkContext.broadcast((trees, layout))  # the shape of the trees: a bounded sample's worth
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,14 +285,17 @@ def fingerprint_links(distinct: DataFrame, max_bits: int, bands: int, confirm: i
             fps = np.asarray(batch.column("fp"), dtype=np.int64)
             bits = fps.view(np.uint64)
             for band, (mask, tree) in enumerate(zip(masks, own_trees, strict=True)):
-                first, chunks = own_layout[band]
+                first, chunks, splits = own_layout[band]
                 for shard, visitors, home in route(tree, bits, np.arange(len(bits)), np.ones(len(bits), bool), mask, radius):
-                    n = int(chunks[shard])
+                    n, m = int(chunks[shard]), int(splits[shard])
                     chunk = (bits[visitors] % np.uint64(n)).astype(np.int64)
-                    at = np.flatnonzero(home)
-                    task = np.concatenate([first[shard] + chunk, np.repeat(first[shard] + np.arange(n), len(at))])
-                    who = np.concatenate([visitors, np.tile(visitors[at], n)])
-                    kind = np.concatenate([np.zeros(len(visitors), bool), np.ones(n * len(at), bool)])
+                    at = visitors[np.flatnonzero(home)]
+                    split = (mix64(bits[at]) % np.uint64(m)).astype(np.int64) * n
+                    to_visit = (np.arange(m)[:, None] * n + chunk[None, :]).ravel()
+                    to_hold = (np.arange(n)[:, None] + split[None, :]).ravel()
+                    task = first[shard] + np.concatenate([to_visit, to_hold])
+                    who = np.concatenate([np.tile(visitors, m), np.tile(at, n)])
+                    kind = np.concatenate([np.zeros(m * len(visitors), bool), np.ones(n * len(at), bool)])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(task, pa.int32()), pa.array(np.full(len(who), band), pa.int32()), pa.array(kind), *[c.take(pa.array(who)) for c in batch.columns]],
                         names=["task", "band", "home", *batch.schema.names],
@@ -339,7 +357,7 @@ def confirmed_links(docs: DataFrame, reps: DataFrame, proposed: DataFrame, words
     ``reps`` gives a document (rep) of each node, whose text is read for the shingles.
     """
     wanted = proposed.select("node", F.col("root").alias("block")).join(reps.select("node", "rep"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(_key(docs), "text")
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "block", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +413,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, bands: i
         fps = materialise(fps, "fingerprints")
         reps = fps.groupBy("node").agg(F.min(F.struct("doc_id", *own)).alias("r")).select("node", *[f"r.{c}" for c in own], F.col("r.doc_id").alias("rep"))
     reps = materialise(reps, "fingerprint-reps")
-    links = fingerprint_links(reps, max_bits, bands, confirm)
+    if jaccard is None or confirm is None:
+        links = fingerprint_links(reps, max_bits, bands, confirm)
+    else:  # each of the three fingerprints proposes, so a pair is missed only if all of them are far off
+        links = None
+        for i in range(len(own)):
+            turned = reps.select("node", *[F.col(c).alias(n) for c, n in zip(own[i:] + own[:i], own, strict=True)])
+            found = fingerprint_links(turned, max_bits, bands, confirm)
+            links = found if links is None else links.union(found)
     if jaccard is not None:
         links = confirmed_links(docs, reps, components(links), words, jaccard)
     roots = materialise(components(links).join(reps.select("node", "rep"), "node"), "fingerprint-roots")

@@ -83,3 +83,11 @@ def test_near_copies_stage_removes_only_texts_of_that_similarity(spark, sf):
     rows.append((100, rows[3][1] + " and one word more", "en", "src0", 0))
     out = corpus_pipeline.near_copies_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf)
     assert ids(out) == [(True, i) for i in range(8)]
+
+
+def test_near_copies_stage_tells_rows_of_one_id_apart(spark, sf):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, words(1)), (1, words(2)), (2, words(3)), (3, words(1) + " more"), (1, words(1)), (None, words(3)), (None, words(4)), (None, words(4))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_copies_stage(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted([(1, words(1)), (1, words(2)), (2, words(3)), (0, words(3)), (0, words(4)), (0, words(4))])
