@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 BLANKS = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table, its session set to Arrow batches of at most ``BATCH_ROWS`` rows.
+
+    A batch is counted in rows, not bytes, and is held whole by the JVM and by the
+    Python worker; rows with texts are long.
+    """
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

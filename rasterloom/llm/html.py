@@ -20,7 +20,9 @@ block becomes one space, blocks are joined in page order by one space.
 
 Null and empty pages have an empty text; a null url is a host of its own; repeated
 rows give their rows again; broken markup (missing or stray end tags, a page cut
-off anywhere) is read as far as it goes; an empty table gives no rows.
+off anywhere) is read as far as it goes; an empty table gives no rows. Pages of any
+length and depth are read whole; of equally long articles the first counts as the
+largest; further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

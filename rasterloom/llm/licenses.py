@@ -14,7 +14,9 @@ Both bounds are exact. So is the one that most texts stop at: a unit that reache
 threshold shares so many bigrams with its template that at least one of them holds an
 anchor word; texts and units without any anchor word are passed over. The anchors are
 chosen from the templates by that rule. Null and empty texts have no units with bigrams and give no
-rows; repeated rows give their rows again; equal scores are all returned.
+rows; repeated rows give their rows again; equal scores are all returned. Texts of any
+length are cut into units whole; an empty table gives no rows; columns other than id and
+text, whatever their names, are left out.
 """
 
 from __future__ import annotations

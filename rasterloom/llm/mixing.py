@@ -16,7 +16,9 @@ the schedule), so no window holds a whole source.
 
 Null texts have size 0, a null source is a source of its own, null ids sort
 together, repeated rows are rows of their own, an empty table gives no rows.
-Documents without words are never taken.
+Documents without words are never taken. Very long texts count by their words; one
+longer than a block is taken in several. Equal draws are settled by id. Columns whose
+names the operator uses are set aside and given back as they were.
 """
 
 from __future__ import annotations

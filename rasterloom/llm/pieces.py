@@ -23,7 +23,11 @@ with rank as in natural text, and ``alpha`` sharpens (above 1) or flattens the d
 
 Decoding joins the pieces' bytes and drops the leading space: ids of a text always
 decode to that text. Null and empty texts have no pieces and decode to an empty
-text. Rows of one key and text get equal ids; a null key counts as a key.
+text. Rows of one key and text get equal ids; a null key counts as a key. An empty
+table gives no rows. Texts and units of any length are encoded whole: long units are
+filtered and walked place by place, and what a worker keeps between slices is bounded in
+units and lattice edges, which changes no id. Other columns pass through, but for those of
+the result's names, which are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import as_texts, mix64, slices
+from rasterloom.llm.common import as_texts, mix64, slices, small_batches
 
 SPACE = "▁"
 BITS = 32
@@ -361,7 +365,7 @@ def encode_pieces(
                     own_check = []
                 yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(offsets, pa.array(ids)), *own_check], names=names)
 
-    return keyed.mapInArrow(run, schema)
+    return small_batches(keyed).mapInArrow(run, schema)
 
 
 def decode_pieces(encoded: DataFrame, vocabulary_file: str, ids: str = "ids", to: str = "decoded") -> DataFrame:

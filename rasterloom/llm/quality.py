@@ -7,7 +7,9 @@ before it let pass. The order changes the time, never the verdict: a row is kept
 if no rule rejects it.
 
 Nulls and empty texts have no words. Repeated rows and ties are judged one by
-one. Other columns of the input pass through untouched.
+one. An empty table gives no rows; texts of any length are measured whole. Other
+columns of the input pass through untouched, but for those of the result's names,
+which are replaced.
 """
 
 from __future__ import annotations

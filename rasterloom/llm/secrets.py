@@ -20,7 +20,11 @@ runs between such words are decoded step by step.
 Spans of the patterns always stay. A run that the field tags becomes a span of kind
 ``crf`` if it touches none of them. Spans count code points, end exclusive. Null and
 empty texts have no spans; repeated rows are scanned alike; an empty table gives no
-rows and an untrained field, which tags nothing.
+rows and an untrained field, which tags nothing. Texts of any length are scanned whole;
+the words that a worker keeps between slices are bounded in number and bytes, which
+changes no span. Of equally good tag sequences Viterbi takes the one whose tags come first
+(outside, begin, inside) from the end backwards. Other columns pass through, but for one
+of the result's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import WORD, as_bytes, slices
+from rasterloom.llm.common import WORD, as_bytes, slices, small_batches
 from rasterloom.plans.scratch import materialise
 
 # The base patterns, their least lengths and the order of kinds.
@@ -361,7 +365,7 @@ def training_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[lis
                 [pa.array(words, pa.list_(pa.binary())), pa.array(tags, pa.list_(pa.int32())), pa.array(files, pa.list_(pa.int32()))], names=["words", "tags", "file"]
             )
 
-    windows = materialise(sample.mapInArrow(run, "words array<binary>, tags array<int>, file array<int>"), "secret-windows")
+    windows = materialise(small_batches(sample).mapInArrow(run, "words array<binary>, tags array<int>, file array<int>"), "secret-windows")
     found = windows.limit(2 * rows * WINDOWS_PER_TEXT).collect()
     return sorted(([bytes(w) for w in r.words], list(r.tags), tuple(r.file)) for r in found)
 
@@ -426,7 +430,7 @@ def find_secrets(docs: DataFrame, field: Field | None = None, text: str = "text"
                     found.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found, arrow)], names=[*piece.schema.names, to])
 
-    return base.mapInArrow(run, schema)
+    return small_batches(base).mapInArrow(run, schema)
 
 
 def redacted(docs: DataFrame, text: str = "text", spans: str = "secrets", mark: str = "[secret]") -> DataFrame:

@@ -9,7 +9,9 @@ of the two possible places.
 
 Null texts have no bytes. Equal rows are interchangeable: they share the sort
 key and only their sum matters. A random last key keeps equal ids from meeting in
-one partition. An empty table gives no rows.
+one partition. An empty table gives no rows. A text of any length is one row, and
+may be longer than a shard, which then holds it alone or with its neighbours' rows;
+further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

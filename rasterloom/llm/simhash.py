@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import as_bytes, mix64, slices
+from rasterloom.llm.common import as_bytes, mix64, slices, small_batches
 from rasterloom.llm.links import components, spanning
 from rasterloom.plans.scratch import materialise
 
@@ -140,7 +140,7 @@ def fingerprints(docs: DataFrame, words: int, more: bool = False, sets: bool = F
                 fps = simhashes(as_bytes(piece.column("text")), words, further, sets)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *[pa.array(np.ascontiguousarray(c)) for c in fps.T]], names=names)
 
-    return named.mapInArrow(run, schema)
+    return small_batches(named).mapInArrow(run, schema)
 
 
 @dataclass

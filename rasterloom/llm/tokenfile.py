@@ -16,7 +16,10 @@ nothing but the rows of the range, so a repeated or twin task does no harm. Any
 folder that Arrow's file systems can open will do (``file``, ``hdfs``, ``s3``).
 
 Null texts encode like empty ones, to the end id alone. A null id sorts first.
-Documents of one id follow by hash of their text. An empty table gives no rows.
+Documents of one id follow by hash of their text. An empty table gives no rows. Texts of
+any length are encoded whole; the chunks that a worker keeps between slices are bounded
+in number and bytes, which changes no id. Further columns, whatever their names, are
+left out.
 """
 
 from __future__ import annotations

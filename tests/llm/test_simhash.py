@@ -95,6 +95,13 @@ def test_near_duplicates_equal_brute_force(small, hard_docs):
         assert sorted(map(tuple, got), key=str) == want
 
 
+def test_grids_of_homes_and_visitors_give_the_same(small, monkeypatch):
+    want = sorted(map(tuple, simhash.near_duplicates(small).select("doc_id", "component_id").collect()))
+    monkeypatch.setattr(simhash, "QUERIES_PER_TASK", 60)
+    monkeypatch.setattr(simhash, "HOMES_PER_TASK", 40)
+    assert sorted(map(tuple, simhash.near_duplicates(small).select("doc_id", "component_id").collect())) == want
+
+
 def test_confirmed_links_catch_near_copies_and_leave_others(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(5000)]
