@@ -29,7 +29,7 @@ def spatial_join(
     right = right.withColumn("_ix", cell(F.col(lon), F.col("_level"))).withColumn(
         "_iy", cell(F.col(lat), F.col("_level"))
     )
-    pairs = salted_join(right, left, KEYS, rows_per_task)
+    pairs = salted_join(right, left, KEYS, rows_per_task, both=True)
     b = F.col(bbox)
     inside = F.col(lon).between(b["xmin"], b["xmax"]) & F.col(lat).between(b["ymin"], b["ymax"])
     return pairs.filter(inside).drop(*KEYS)
@@ -56,7 +56,7 @@ def aoi_overlay(
         return with_cells(coarser, bbox).withColumnRenamed("_own", own)
 
     pairs = salted_join(
-        spread(a, b, tile_box, "_tile_own"), spread(b, a, aoi_box, "_aoi_own"), KEYS, rows_per_task
+        spread(a, b, tile_box, "_tile_own"), spread(b, a, aoi_box, "_aoi_own"), KEYS, rows_per_task, both=True
     )
     p, q = F.col(tile_box), F.col(aoi_box)
     clip = F.struct(

@@ -10,13 +10,14 @@ from rasterloom.plans.scratch import materialise
 ROWS_PER_TASK = 1_000_000
 
 
-def hot_keys(big: DataFrame, small: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows on either side, and into how many parts each side is cut."""
+def hot_keys(big: DataFrame, small: DataFrame | None, keys: list[str], rows_per_task: int) -> DataFrame:
+    """Keys with more than ``rows_per_task`` rows on a side that is given, and into how many parts each side is cut."""
 
     def crowded(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > rows_per_task)
 
-    both = crowded(big, "_a").join(crowded(small, "_b"), keys, "full")
+    none = F.lit(None).cast("long").alias("_b")
+    both = crowded(big, "_a").join(crowded(small, "_b"), keys, "full") if small is not None else crowded(big, "_a").select("*", none)
     parts = [F.ceil(F.coalesce(F.col(n), F.lit(1)) / rows_per_task).cast("int").alias(p) for n, p in (("_a", "_rows"), ("_b", "_cols"))]
     return materialise(both.select(*keys, *parts), "hot-keys")
 
@@ -37,15 +38,17 @@ def hot_grid(big: DataFrame, small: DataFrame, hot: DataFrame, keys: list[str])
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK
+    big: DataFrame, small: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK, both: bool = False
 ) -> DataFrame:
-    """Inner equi-join; a key with more than ``rows_per_task`` rows on a side becomes a grid of tasks.
+    """Inner equi-join; a key with more than ``rows_per_task`` rows in ``big`` becomes a row of tasks, or a grid.
 
-    Each task of the grid holds about ``rows_per_task`` rows of either side, even if
-    both sides are crowded in the same key. All other keys meet in a plain join, and
-    so does everything if no key is hot.
+    With ``both`` the rows of ``small`` are counted as well, and each task of a grid
+    holds about ``rows_per_task`` rows of either side, even if both sides are crowded
+    in the same key; without it ``small`` is taken to have few rows a key and is
+    not computed twice. All other keys meet in a plain join, and so does everything
+    if no key is hot.
     """
-    hot = hot_keys(big, small, keys, rows_per_task)
+    hot = hot_keys(big, small if both else None, keys, rows_per_task)
     if not hot.limit(1).count():
         return big.join(small, keys)
     names = hot.select(*keys)

@@ -205,8 +205,9 @@ def test_both_sides_crowded(spark):
     left = spark.range(600).select((F.col("id") % 3 * F.when(F.col("id") % 7 == 0, 1).otherwise(0)).alias("k"), F.lit("same").alias("a"))
     right = spark.range(500).select((F.col("id") % 5 * F.when(F.col("id") % 3 == 0, 1).otherwise(0)).alias("k"), F.col("id").alias("b"))
     want = left.join(right, "k").groupBy("k").agg(F.count("*"), F.sum("b")).collect()
-    got = salted_join(left, right, ["k"], 40).groupBy("k").agg(F.count("*"), F.sum("b")).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    for both in (True, False):
+        got = salted_join(left, right, ["k"], 40, both).groupBy("k").agg(F.count("*"), F.sum("b")).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     hot = hot_keys(left, right, ["k"], 40)
     assert {r.k for r in hot.collect()} == {r["k"] for r in left.groupBy("k").count().where("count > 40").union(right.groupBy("k").count().where("count > 40")).collect()}
     for side in hot_grid(left, right, hot, ["k"]):  # equal rows are spread as well
