@@ -13,14 +13,14 @@ one in a hundred of its own documents stay within.
 ``identify`` gives the language of the nearest centroid (``near``), the cosine as
 ``score`` (0 to 1) and ``rejected``: the distance is more than ``slack`` times that of the
 centroid. Whole texts count, in slices of bounded size. Centroids travel to the tasks in
-blocks of ``BLOCK`` (32 MB); more than that, as in a table with a thousand labels, are
+blocks of ``BLOCK`` (64 MB); more than that, as in a table with a thousand labels, are
 compared block after block, each pass keeping the best so far.
 
 Defined cases: a text that is null or holds no letter (Unicode L) is ``und``, score 0, not
 rejected; so is every text if nothing was learned. Rows without a language or
 text teach nothing. Equal cosines go to the language that is less in byte order.
 Repeated rows and ids get a row each; an empty table gives no rows; further columns
-are left out unless named in ``keep``.
+are left out unless named in ``keep``, and those of the result's names are replaced.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def cluster(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray,
 
 
 @dataclass
-class Model:
+class Learned:
     """Inverse document frequencies, and the table of centroids: lang, cluster, reach, centre."""
 
     idf: np.ndarray
@@ -143,7 +143,7 @@ def _vectors(idf):
     return run
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def fit(labelled: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Learned:
     """Learn from the rows of ``labelled`` that have a language and a letter."""
     spark = labelled.sparkSession
     draw = F.xxhash64(F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")), F.col(f"`{text}`"))
@@ -177,7 +177,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, key
         )
 
     centroids = taken.groupBy("lang").applyInArrow(learn, "lang string, cluster int, reach double, centre array<float>")
-    return Model(idf, materialise(centroids, "centroids"))
+    return Learned(idf, materialise(centroids, "centroids"))
 
 
 def _nearest(shared, fields: list[str]):
@@ -193,7 +193,8 @@ def _nearest(shared, fields: list[str]):
                 score = piece.column("score").to_numpy(zero_copy_only=False).copy()
                 bound = piece.column("_reach").to_numpy(zero_copy_only=False).copy()
                 if len(at):
-                    cosine = unit(gram_counts(piece.column("text").take(pa.array(at)).to_pylist()), idf) @ centres.T
+                    # in double precision, so that a score does not depend on which rows and centroids meet in one product
+                    cosine = unit(gram_counts(piece.column("text").take(pa.array(at)).to_pylist()), idf).astype(np.float64) @ centres.T
                     best = np.argmax(cosine, axis=1)
                     top = np.clip(np.round(cosine[np.arange(len(at)), best].astype(np.float64), 6), 0.0, 1.0)
                     for i, b, x in zip(at.tolist(), best.tolist(), top.tolist(), strict=True):
@@ -205,23 +206,23 @@ def _nearest(shared, fields: list[str]):
     return run
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), slack: float = SLACK, block: int = BLOCK) -> DataFrame:
+def identify(docs: DataFrame, learned: Learned, text: str = "text", keep: tuple[str, ...] = ("doc_id",), slack: float = SLACK, block: int = BLOCK) -> DataFrame:
     """The ``keep`` columns with near (a learned language or ``und``), score and rejected."""
     spark = docs.sparkSession
-    kept = {f"_keep{i}": name for i, name in enumerate(keep)}
+    kept = {f"_keep{i}": name for i, name in enumerate(keep) if name not in ("near", "score", "rejected")}
     rows = docs.select(*[F.col(f"`{n}`").alias(a) for a, n in kept.items()], F.col(f"`{text}`").alias("text"))
     found = rows.select(
         *kept, "text", has_letter(F.col("text")).alias("_spoken"), F.lit(None).cast("string").alias("near"), F.lit(0.0).alias("score"), F.lit(0.0).alias("_reach")
     )
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in found.schema.fields])
-    names = [(r.lang, r.cluster) for r in model.centroids.select("lang", "cluster").collect()]  # two short values a centroid
+    names = [(r.lang, r.cluster) for r in learned.centroids.select("lang", "cluster").collect()]  # two short values a centroid
     names.sort(key=lambda x: (x[0].encode(), x[1]))
     for start in range(0, len(names), block):
         low, high = names[start], names[min(start + block, len(names)) - 1]
         place = F.struct("lang", "cluster")
         edge = [F.struct(F.lit(x[0]).alias("lang"), F.lit(x[1]).cast("int").alias("cluster")) for x in (low, high)]
-        own = sorted(model.centroids.where((place >= edge[0]) & (place <= edge[1])).collect(), key=lambda r: (r.lang.encode(), r.cluster))
-        shared = spark.sparkContext.broadcast((model.idf, [r.lang for r in own], [r.reach for r in own], np.array([r.centre for r in own], dtype=np.float32)))
+        own = sorted(learned.centroids.where((place >= edge[0]) & (place <= edge[1])).collect(), key=lambda r: (r.lang.encode(), r.cluster))
+        shared = spark.sparkContext.broadcast((learned.idf, [r.lang for r in own], [r.reach for r in own], np.array([r.centre for r in own], dtype=np.float64)))
         found = found.mapInArrow(_nearest(shared, found.columns), schema)
         if start + block < len(names):
             found = materialise(found, "languages-so-far")

@@ -66,7 +66,7 @@ class Vocabulary:
     def __init__(self, path: str, alpha: float = 1.0) -> None:
         import sentencepiece
 
-        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        library = sentencepiece.SentencePieceProcessor(path)
         size = library.get_piece_size()
         normal = [i for i in range(size) if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i) or library.is_unused(i))]
         ranks = {i: k for k, i in enumerate(sorted(normal, key=lambda i: (-library.get_score(i), i)))}

@@ -240,6 +240,6 @@ def op12(documents: DataFrame) -> DataFrame:
 def op13(documents: DataFrame) -> DataFrame:
     """SQL has no k-means; tests hold the vectors against plain counting and the prediction against held-out labels."""
     apart = language.held_out(F.col("doc_id"))
-    model = language.fit(documents.where(~apart))
-    found = language.identify(documents.withColumn("_apart", apart), model, keep=("doc_id", "_apart"))
+    learned = language.fit(documents.where(~apart))
+    found = language.identify(documents.withColumn("_apart", apart), learned, keep=("doc_id", "_apart"))
     return found.select("doc_id", F.col("_apart").alias("held_out"), F.col("near").alias("lang_pred"), "score", "rejected")

@@ -34,23 +34,23 @@ def train(small):
 
 
 @pytest.fixture(scope="module")
-def model(small):
+def learned(small):
     return lang.fit(train(small))
 
 
-def test_frequencies_cover_all_labelled_rows(small, model):
+def test_frequencies_cover_all_labelled_rows(small, learned):
     rows = [r.text for r in small.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and any(ch.isalpha() for ch in r.text)]
     seen = Counter(d for t in rows for d in plain_counts(t))
     want = np.array([math.log((1 + len(rows)) / (1 + seen[d])) + 1 for d in range(lang.DIMS)])
-    assert np.allclose(model.idf, want, rtol=1e-5)
+    assert np.allclose(learned.idf, want, rtol=1e-5)
 
 
-def test_nearest_centroid_equals_plain_comparison(small, model):
-    centroids = model.centroids.collect()
+def test_nearest_centroid_equals_plain_comparison(small, learned):
+    centroids = learned.centroids.collect()
     rows = {r.doc_id: r.text for r in small.collect()}
-    for r in lang.identify(small, model).collect():
+    for r in lang.identify(small, learned).collect():
         counts = plain_counts(rows[r.doc_id])
-        v = {d: math.log1p(n) * float(model.idf[d]) for d, n in counts.items()}
+        v = {d: math.log1p(n) * float(learned.idf[d]) for d, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         cosines = [(sum(x * c.centre[d] for d, x in v.items()) / norm, c) for c in centroids]
         best = max(x for x, _ in cosines)
@@ -74,27 +74,27 @@ def test_labels_of_held_out_documents_do_not_matter(spark, small):
     assert a == b
 
 
-def test_hard_rows(spark, hard_docs, model):
+def test_hard_rows(spark, hard_docs, learned):
     docs = hard_docs.withColumns({"near": F.lit("x"), "score": F.lit("x"), "_spoken": F.lit(1)})
-    got = lang.identify(docs, model, keep=("doc_id", "text", "near")).collect()
+    got = lang.identify(docs, learned, keep=("doc_id", "text", "near")).collect()
     assert len(got) == hard_docs.count()
     for r in got:
         spoken = r.text is not None and any(ch.isalpha() for ch in r.text)
         assert (r.near == "und") == (not spoken) and (spoken or (r.score == 0 and not r.rejected))
 
 
-def test_blocks_of_centroids_give_the_same(small, model):
-    want = sorted(map(tuple, lang.identify(small, model).collect()))
-    assert sorted(map(tuple, lang.identify(small, model, block=3).collect())) == want
+def test_blocks_of_centroids_give_the_same(small, learned):
+    want = sorted(map(tuple, lang.identify(small, learned).collect()))
+    assert sorted(map(tuple, lang.identify(small, learned, block=3).collect())) == want
 
 
-def test_foreign_script_is_rejected(spark, model):
+def test_foreign_script_is_rejected(spark, learned):
     docs = spark.createDataFrame([(1, "これは日本語の文章です。東京は大きい都市です。" * 20)], "doc_id long, text string")
-    assert lang.identify(docs, model).first().rejected
+    assert lang.identify(docs, learned).first().rejected
 
 
-def test_empty_tables_and_nothing_learned(spark, no_docs, small, model):
-    assert lang.identify(no_docs, model).collect() == []
+def test_empty_tables_and_nothing_learned(spark, no_docs, small, learned):
+    assert lang.identify(no_docs, learned).collect() == []
     blank = lang.fit(small.withColumn("lang", F.lit(None).cast("string")))
     assert {(r.near, r.score, r.rejected) for r in lang.identify(small, blank).collect()} == {("und", 0.0, False)}
 
