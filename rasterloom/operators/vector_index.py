@@ -32,7 +32,7 @@ from rasterloom.operators.vector_join import distances, matrix
 from rasterloom.plans.scratch import materialise
 
 SAMPLE, CODES, ROUNDS = 50_000, 256, 8
-MODEL_BYTES = 64 << 20
+FITTED_BYTES = 64 << 20
 QUERY_BLOCK = 4_096
 ROWS_PER_FILE = 500_000
 TRIALS = 256
@@ -91,7 +91,7 @@ def build_index(
         raise ValueError("nothing to index")
     if size.lo != size.d or size.d % parts:
         raise ValueError(f"vectors of length {size.lo} to {size.d} cannot be cut into {parts} parts")
-    bound = max(1, MODEL_BYTES // (8 * size.d))
+    bound = max(1, FITTED_BYTES // (8 * size.d))
     wanted = min(cells or math.ceil(4 * math.sqrt(size.n)), bound)
     rate = min(1.0, max(sample, 40 * wanted) / size.n)
     draw = F.xxhash64("id", F.lit(seed)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
@@ -122,8 +122,8 @@ def build_index(
     # crowded cells go to several tasks, small ones share one
     rows.mapInArrow(encode, schema).hint("rebalance", "cell").write.option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("cell").parquet(f"{path}/cells")
     probes = _probes(rows, path, centres, share, seed)
-    model = [("probes", probes, 0, [])] + [("centre", i, 0, c.tolist()) for i, c in enumerate(centres)] + [("book", j, c, v.tolist()) for j, b in enumerate(books) for c, v in enumerate(b)]
-    spark.createDataFrame(model, "kind string, a int, b int, vec array<double>").coalesce(1).write.parquet(f"{path}/model")
+    fitted = [("probes", probes, 0, [])] + [("centre", i, 0, c.tolist()) for i, c in enumerate(centres)] + [("book", j, c, v.tolist()) for j, b in enumerate(books) for c, v in enumerate(b)]
+    spark.createDataFrame(fitted, "kind string, a int, b int, vec array<double>").coalesce(1).write.parquet(f"{path}/fitted")
     return Index(path, centres, books, probes)
 
 
@@ -143,8 +143,8 @@ def _probes(rows: DataFrame, path: str, centres: np.ndarray, share: float, seed:
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    """An index built earlier; only its model is read."""
-    rows = sorted(spark.read.parquet(f"{path}/model").collect(), key=lambda r: (r.kind, r.a, r.b))
+    """An index built earlier; only what was fitted is read."""
+    rows = sorted(spark.read.parquet(f"{path}/fitted").collect(), key=lambda r: (r.kind, r.a, r.b))
     centres = np.array([r.vec for r in rows if r.kind == "centre"])
     books = np.array([r.vec for r in rows if r.kind == "book"])
     return Index(path, centres, books.reshape(-1, CODES, books.shape[1]), next(r.a for r in rows if r.kind == "probes"))
