@@ -86,3 +86,9 @@ def test_no_broadcast_is_forced_on_tables_that_grow():
 
     for name in ("skew.py", "ranking.py"):
         assert "broadcast(" not in (pathlib.Path(sampling.__file__).parents[1] / "plans" / name).read_text()
+
+
+def test_polygon_filter_reads_its_area_once(spark, sf):
+    found = QUERIES["p12_filter_by_polygon"](spark, sf)
+    rows = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Filter" in line]
+    assert rows and all("hex(" not in line and "subquery" in line for line in rows)
