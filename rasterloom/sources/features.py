@@ -6,6 +6,10 @@ until its last feature is complete. Where features begin is found from the text:
 first brace of the range that opens a JSON object whose type is ``Feature`` and
 whose neighbours are what stands between the members of a collection. Files with one
 feature a line, one line in all, or pretty-printed, are read alike.
+
+So long as there are at most ``TASKS`` ranges every range is a task; beyond that a task
+takes several ranges in a row, up to ``TASK_BYTES``, so that small ranges of a large file do not cost
+a task each.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,15 +28,39 @@ from rasterloom.functions.polygons import RINGS, point
 
 RANGE_BYTES = 32 << 20
 READ_BYTES = 4 << 20
+LEAST_READ = 8 << 10  # what is read on behind the end of a range, doubled from time to time
+TASKS, TASK_BYTES = 48, 32 << 20
 ROWS = "path string, offset long, properties string, geometry string"
 _BLANK = b" \t\r\n"
 
 
-class Range(InputPartition):
+class Range:
     def __init__(self, path: str, start: int, end: int) -> None:
         self.path, self.start, self.end = path, start, end
 
 
+class Ranges(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    def __init__(self, ranges: list[Range]) -> None:
+        self.ranges = ranges
+
+
+def _dealt(ranges: list[Range]) -> list[Ranges]:
+    """One range a task while there are few; else tasks of equal size, no larger than ``TASK_BYTES`` unless a range is."""
+    total = sum(r.end - r.start for r in ranges)
+    most = 0 if len(ranges) <= TASKS else min(TASK_BYTES, -(-total // TASKS))
+    tasks: list[Ranges] = []
+    held = 0
+    for r in ranges:
+        if not tasks or held + r.end - r.start > most:
+            tasks.append(Ranges([]))
+            held = 0
+        tasks[-1].ranges.append(r)
+        held += r.end - r.start
+    return tasks
+
+
 def _store(path: str):
     from pyarrow import fs
 
@@ -42,8 +71,8 @@ def _store(path: str):
 class _Text:
     """A window over a file that grows to the right."""
 
-    def __init__(self, handle, start: int, size: int) -> None:
-        self.handle, self.start, self.size = handle, start, size
+    def __init__(self, handle, start: int, end: int, size: int) -> None:
+        self.handle, self.start, self.end, self.size = handle, start, end, size
         self.data = b""
 
     def more(self) -> bool:
@@ -51,7 +80,8 @@ class _Text:
         if at >= self.size:
             return False
         self.handle.seek(at)
-        self.data += self.handle.read(min(max(READ_BYTES, len(self.data)), self.size - at))
+        wanted = max(LEAST_READ, min(READ_BYTES, self.end - at), len(self.data))
+        self.data += self.handle.read(min(wanted, self.size - at))
         return True
 
     def drop(self, n: int) -> None:
@@ -95,11 +125,11 @@ def features_between(handle, start: int, end: int, size: int, longest: int) -> I
 
     An object longer than ``longest`` bytes is taken for a collection, not a feature.
     """
-    text, at = _Text(handle, start, size), 0
+    text, at = _Text(handle, start, end, size), 0
     while True:
         m = _OPEN.search(text.data, at)
         if m is None:
-            at = max(0, len(text.data) - 4096)  # an opening with very much white space aside, none is cut
+            at = max(at, len(text.data) - 4096)  # an opening with very much white space aside, none is cut
             if text.start + at >= end or not text.more():
                 return
             continue
@@ -114,8 +144,10 @@ def features_between(handle, start: int, end: int, size: int, longest: int) -> I
             at += 1
             continue
         yield text.start + at, found
-        text.drop(stop)
-        at = 0
+        at = stop
+        if at > len(text.data) // 2:  # now and then, as what is left is copied
+            text.drop(at)
+            at = 0
 
 
 def _between_members(text: _Text, stop: int) -> bool:
@@ -147,19 +179,22 @@ class FeatureReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(base, recursive=True))
         files = [f for f in files if f.type == fs.FileType.File and f.path.endswith((".geojson", ".json"))]
-        return [Range(f.path, s, min(s + self.range_bytes, f.size)) for f in sorted(files, key=lambda f: f.path) for s in range(0, f.size, self.range_bytes)]
+        return _dealt([Range(f.path, s, min(s + self.range_bytes, f.size)) for f in sorted(files, key=lambda f: f.path) for s in range(0, f.size, self.range_bytes)])
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
         store, _ = _store(self.path)
         rows = []
-        with store.open_input_file(partition.path) as handle:
-            for offset, f in features_between(handle, partition.start, partition.end, handle.size(), self.longest):
-                rows.append((partition.path, offset, json.dumps(f.get("properties"), ensure_ascii=False), json.dumps(f["geometry"])))
-                if len(rows) == 2000:
-                    yield _batch(rows)
-                    rows = []
+        for path, ranges in groupby(partition.ranges, key=lambda r: r.path):
+            with store.open_input_file(path) as handle:
+                size = handle.size()
+                for r in ranges:
+                    for offset, f in features_between(handle, r.start, r.end, size, self.longest):
+                        rows.append((path, offset, json.dumps(f.get("properties"), ensure_ascii=False), json.dumps(f["geometry"])))
+                        if len(rows) == 2000:
+                            yield _batch(rows)
+                            rows = []
         if rows:
             yield _batch(rows)
 

@@ -152,6 +152,28 @@ def test_feature_files_are_cut_at_any_byte(spark, tmp_path, layout):
     assert features.scan_features(spark, str(tmp_path / "f"), range_bytes=4000).rdd.getNumPartitions() > len(text) // 4000
 
 
+def test_small_ranges_of_a_large_file_read_little_and_share_tasks(spark, tmp_path):
+    rows = [{"type": "Feature", "properties": {"class": i}, "geometry": {"type": "Point", "coordinates": [i, -i]}} for i in range(5000)]
+    raw = json.dumps({"type": "FeatureCollection", "features": rows}).encode()
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            self.taken += len(data)
+            return data
+
+    handle = Counted(raw)
+    cut = [f for at in range(0, len(raw), 4000) for _, f in features.features_between(handle, at, min(at + 4000, len(raw)), len(raw), 1 << 20)]
+    assert cut == rows and handle.taken < 5 * len(raw)
+    for k in range(3):
+        (tmp_path / f"{k}.geojson").write_bytes(raw)
+    found = features.scan_features(spark, str(tmp_path), range_bytes=4000)
+    assert found.rdd.getNumPartitions() <= 2 * features.TASKS < 3 * len(raw) // 4000
+    assert sorted(r["class"] for r in found.collect()) == sorted(3 * list(range(5000)))
+
+
 def test_hilbert_curve_visits_neighbours(spark):
     n = 32
     cells = spark.range(n * n).select((F.col("id") % n).alias("x"), F.floor(F.col("id") / n).alias("y"))

@@ -43,6 +43,16 @@ def test_listing_is_sorted_and_reads_no_content(spark, tmp_path):
     assert "content" not in listing.columns
 
 
+def test_files_are_joined_in_order_of_their_names(spark, tmp_path):
+    (tmp_path / "parts").mkdir()
+    for name, content in (("b", b"two" * 5), ("a", b"one"), ("c", b"")):
+        (tmp_path / "parts" / name).write_bytes(content)
+    chips.join_files(spark, str(tmp_path / "parts"), str(tmp_path / "out" / "all.txt"), b"[", b", ", b"]")
+    assert (tmp_path / "out" / "all.txt").read_bytes() == b"[one, twotwotwotwotwo, ]"
+    chips.join_files(spark, str(tmp_path / "none"), f"file://{tmp_path}/out/nothing.txt", b"[", b", ", b"]")
+    assert {f.name for f in (tmp_path / "out").iterdir()} == {"all.txt", "nothing.txt"} and (tmp_path / "out" / "nothing.txt").read_bytes() == b"[]"
+
+
 def test_quality_statuses_and_nothing_deleted(spark, tmp_path):
     save_stack(tmp_path / "p" / "good.npz")
     save_stack(tmp_path / "p" / "short.npz", n=5)
