@@ -4,9 +4,10 @@ Building: coarse centres and, per sub-space, codebooks of the residuals are fitt
 bounded sample; then every row of the corpus is written once, below the folder of its
 nearest centre, with one byte per sub-space and its vector.
 
-The number of cells to visit follows the data: a bounded sample of rows is searched
-exactly while the index is built, and ``probes`` is how many nearest cells hold the wanted
-share of their true neighbours.
+The number of cells to visit and of rows to measure again follow the data: a bounded
+sample of rows is searched exactly while the index is built. ``probes`` is how many nearest
+cells hold the wanted share of their true neighbours, ``rerank`` how many rows of these
+cells, by approximate distance, do.
 
 Searching: a query visits the ``probes`` nearest cells. Only their folders are listed, and
 of them only ids and codes are read; a table per (query, cell) turns codes into
@@ -33,6 +34,8 @@ from rasterloom.plans.scratch import materialise
 
 SAMPLE, CODES, ROUNDS = 50_000, 256, 8
 FITTED_BYTES = 64 << 20
+SAMPLE_BYTES, LEAST_MEMBERS = 64 << 20, 8  # of the sample on the driver, and its rows per cell at least
+BLOCK_BYTES = 16 << 20  # distances in memory at a time
 QUERY_BLOCK = 4_096
 ROWS_PER_FILE = 500_000
 TRIALS = 256
@@ -40,12 +43,30 @@ TRIALS = 256
 
 @dataclass(frozen=True)
 class Index:
-    """Where the cells lie, the fitted centres (cells x d) and codebooks (m x codes x d/m), and how many cells a query needs."""
+    """Where the cells lie, the fitted centres (cells x d) and codebooks (m x codes x d/m), and how many cells and exact distances a query needs."""
 
     path: str
     centres: np.ndarray
     books: np.ndarray
     probes: int
+    rerank: int = 200
+
+
+def _blocks(rows: np.ndarray, centres: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Distances of all rows to all centres, some rows at a time: memory does not follow rows times centres."""
+    stride = max(1, BLOCK_BYTES // (8 * len(centres)))
+    for lo in range(0, len(rows), stride):
+        at = slice(lo, min(lo + stride, len(rows)))
+        yield at, distances(rows[at], centres)
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centre and its distance."""
+    own, away = np.empty(len(rows), np.int64), np.empty(len(rows))
+    for at, far in _blocks(rows, centres):
+        own[at] = np.argmin(far, axis=1)
+        away[at] = far[np.arange(len(far)), own[at]]
+    return own, away
 
 
 def _fit(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -53,21 +74,44 @@ def _fit(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = rows[rng.choice(len(rows), min(k, len(rows)), replace=False)].copy()
     for _ in range(ROUNDS):
-        far = distances(rows, centres)
-        own = np.argmin(far, axis=1)
+        own, away = _nearest(rows, centres)
         counts = np.bincount(own, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, own, rows)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
         lost = np.flatnonzero(counts == 0)
         if len(lost):
-            centres[lost] = rows[np.argsort(-far[np.arange(len(rows)), own])[: len(lost)]]
+            centres[lost] = rows[np.argsort(-away)[: len(lost)]]
     return centres
 
 
 def _codes(residual: np.ndarray, books: np.ndarray) -> np.ndarray:
     m, _, width = books.shape
-    return np.stack([np.argmin(distances(residual[:, j * width : (j + 1) * width], books[j]), axis=1) for j in range(m)], axis=1).astype(np.uint8)
+    return np.stack([_nearest(residual[:, j * width : (j + 1) * width], books[j])[0] for j in range(m)], axis=1).astype(np.uint8)
+
+
+def _about(rest: np.ndarray, books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Squared approximate distances of queries, less the centre of a cell, to coded rows of this cell."""
+    width = books.shape[2]
+    about = np.zeros((len(rest), len(codes)))
+    for j, book in enumerate(books):
+        about += (distances(rest[:, j * width : (j + 1) * width], book) ** 2)[:, codes[:, j]]
+    return about
+
+
+def _unpacked(codes, parts: int) -> np.ndarray:
+    return np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(-1, parts)
+
+
+def _visitors(near: np.ndarray) -> dict[int, np.ndarray]:
+    """The queries (rows of ``near``) that visit each cell."""
+    by_cell = np.argsort(near, axis=None, kind="stable")
+    met, first = np.unique(near.ravel()[by_cell], return_index=True)
+    return {int(c): who for c, who in zip(met, np.split(by_cell // near.shape[1], first[1:]), strict=True)}
+
+
+def _nearest_cells(queries: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    return np.concatenate([np.argsort(far, axis=1, kind="stable")[:, :probes] for _, far in _blocks(queries, centres)])
 
 
 def _whole(table: DataFrame) -> DataFrame:
@@ -81,8 +125,11 @@ def build_index(
     """Fit on about ``sample`` rows, write every row; vectors that are NULL or hold NULLs are left out.
 
     ``cells`` defaults to four times the square root of the row count, within the
-    memory that centres may take in every task. ``parts`` must divide the length;
-    ``share`` of the true neighbours of some ``TRIALS`` rows lie in the cells a search visits.
+    memory that centres may take in every task. The sample has 40 rows a cell or more, but
+    no more than ``SAMPLE_BYTES`` of vectors; on tables so large that this leaves fewer than
+    ``LEAST_MEMBERS`` a cell there are fewer cells. ``parts`` must divide the length;
+    ``share`` of the true neighbours of some ``TRIALS`` rows lie in the cells a search visits,
+    and as large a share of these among the rows it measures again.
     """
     spark = corpus.sparkSession
     rows = _whole(corpus.select(F.col(corpus_id).alias("id"), F.col(vec).cast("array<double>").alias("vec")))
@@ -91,14 +138,16 @@ def build_index(
         raise ValueError("nothing to index")
     if size.lo != size.d or size.d % parts:
         raise ValueError(f"vectors of length {size.lo} to {size.d} cannot be cut into {parts} parts")
-    bound = max(1, FITTED_BYTES // (8 * size.d))
+    most = max(1, SAMPLE_BYTES // (8 * size.d))
+    bound = max(1, min(FITTED_BYTES // (8 * size.d), most // LEAST_MEMBERS))
     wanted = min(cells or math.ceil(4 * math.sqrt(size.n)), bound)
-    rate = min(1.0, max(sample, 40 * wanted) / size.n)
+    drawn_rows = min(max(sample, 40 * wanted), most)
+    rate = min(1.0, drawn_rows / size.n)
     draw = F.xxhash64("id", F.lit(seed)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
-    taken = rows.where(draw < rate).orderBy("id").limit(2 * max(sample, 40 * wanted)).select("vec").toArrow()
+    taken = rows.where(draw < rate).orderBy("id").limit(2 * drawn_rows).select("vec").toArrow()
     drawn = matrix(taken.column("vec")) if taken.num_rows else matrix(rows.limit(1).toArrow().column("vec"))
     centres = _fit(drawn, wanted, seed)
-    residual = drawn - centres[np.argmin(distances(drawn, centres), axis=1)]
+    residual = drawn - centres[_nearest(drawn, centres)[0]]
     width = size.d // parts
     books = np.zeros((parts, CODES, width))
     for j in range(parts):
@@ -114,32 +163,58 @@ def build_index(
             if not batch.num_rows:
                 continue
             m = matrix(batch.column("vec"))
-            cell = np.argmin(distances(m, own_centres), axis=1)
+            cell, _ = _nearest(m, own_centres)
             codes = _codes(m - own_centres[cell], own_books)
             packed = pa.array([c.tobytes() for c in codes], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), packed, pa.array(cell, pa.int32())], names=["id", "vec", "codes", "cell"])
 
     # crowded cells go to several tasks, small ones share one
     rows.mapInArrow(encode, schema).hint("rebalance", "cell").write.option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("cell").parquet(f"{path}/cells")
-    probes = _probes(rows, path, centres, share, seed)
-    fitted = [("probes", probes, 0, [])] + [("centre", i, 0, c.tolist()) for i, c in enumerate(centres)] + [("book", j, c, v.tolist()) for j, b in enumerate(books) for c, v in enumerate(b)]
+    probes, rerank = _effort(rows, path, centres, books, share, seed)
+    fitted = [("probes", probes, 0, []), ("rerank", rerank, 0, [])] + [("centre", i, 0, c.tolist()) for i, c in enumerate(centres)] + [("book", j, c, v.tolist()) for j, b in enumerate(books) for c, v in enumerate(b)]
     spark.createDataFrame(fitted, "kind string, a int, b int, vec array<double>").coalesce(1).write.parquet(f"{path}/fitted")
-    return Index(path, centres, books, probes)
+    return Index(path, centres, books, probes, rerank)
 
 
-def _probes(rows: DataFrame, path: str, centres: np.ndarray, share: float, seed: int) -> int:
-    """How many nearest cells hold ``share`` of the true neighbours of a few rows."""
+def _effort(rows: DataFrame, path: str, centres: np.ndarray, books: np.ndarray, share: float, seed: int) -> tuple[int, int]:
+    """How many nearest cells hold ``share`` of the true neighbours of a few rows, and how many of their rows to measure again for as large a share of these."""
+    spark = rows.sparkSession
     queries = rows.orderBy(F.xxhash64("id", F.lit(seed + 99))).limit(TRIALS).select(F.col("id").alias("query_id"), "vec")
     queries = materialise(queries, "index-trials").dropDuplicates(["query_id"])
     true = knn(rows.withColumnRenamed("id", "vec_id"), queries, 10).select("query_id", F.col("neighbour_id").alias("id"))
-    cells = rows.sparkSession.read.parquet(f"{path}/cells").select("id", "cell")
-    found = true.join(cells, "id").join(queries, "query_id").select("vec", "cell").toArrow()  # ten rows a trial
+    cells = spark.read.parquet(f"{path}/cells").select("id", "codes", "cell")
+    found = true.join(cells, "id").join(queries, "query_id").orderBy("query_id").select("query_id", "vec", "cell", "codes").toArrow()  # ten rows a trial
     if not found.num_rows:
-        return 1
-    far = distances(matrix(found.column("vec")), centres)
-    at = far[np.arange(len(far)), np.asarray(found.column("cell"))]
-    rank = (far < at[:, None]).sum(axis=1) + 1
-    return int(np.quantile(rank, share, method="higher"))
+        return 1, Index.rerank
+    asked, held = matrix(found.column("vec")), np.asarray(found.column("cell"))
+    rank = np.empty(len(asked), np.int64)
+    for at, far in _blocks(asked, centres):
+        rank[at] = (far < far[np.arange(len(far)), held[at]][:, None]).sum(axis=1) + 1
+    probes = int(np.quantile(rank, share, method="higher"))
+    kept = np.flatnonzero(rank <= probes)
+    asked, held, codes = asked[kept], held[kept], _unpacked(found.column("codes"), len(books))[kept]
+    limit = np.array([_about(asked[i : i + 1] - centres[held[i]], books, codes[i : i + 1])[0, 0] for i in range(len(kept))])
+    ids = found.column("query_id").take(pa.array(kept)).to_pylist()
+    first = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]  # a trial's neighbours stand together
+    spans = np.array([*first, len(ids)])
+    shared = spark.sparkContext.broadcast((centres, books, asked[first], limit, spans, _visitors(_nearest_cells(asked[first], centres, probes))))
+
+    def nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_centres, own_books, trials, limits, at, who = shared.value
+        counts = np.zeros(len(limits), np.int64)
+        for batch in batches:
+            in_cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            coded = _unpacked(batch.column("codes"), len(own_books))
+            for cell in np.unique(in_cell):
+                asking = who.get(int(cell), ())
+                if len(asking):
+                    about = np.sort(_about(trials[asking] - own_centres[cell], own_books, coded[in_cell == cell]), axis=1)
+                    for t, line in zip(asking, about, strict=True):
+                        counts[at[t] : at[t + 1]] += np.searchsorted(line, limits[at[t] : at[t + 1]] * (1 - 1e-9))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts)), pa.int32()), pa.array(counts)], names=["i", "n"])
+
+    place = cells.select("codes", "cell").mapInArrow(nearer, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    return probes, max(Index.rerank, int(np.quantile(place.column("n").to_numpy(), share, method="higher")) + 1)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
@@ -147,7 +222,8 @@ def open_index(spark: SparkSession, path: str) -> Index:
     rows = sorted(spark.read.parquet(f"{path}/fitted").collect(), key=lambda r: (r.kind, r.a, r.b))
     centres = np.array([r.vec for r in rows if r.kind == "centre"])
     books = np.array([r.vec for r in rows if r.kind == "book"])
-    return Index(path, centres, books.reshape(-1, CODES, books.shape[1]), next(r.a for r in rows if r.kind == "probes"))
+    needs = {r.kind: r.a for r in rows if r.kind in ("probes", "rerank")}
+    return Index(path, centres, books.reshape(-1, CODES, books.shape[1]), **needs)
 
 
 def _cells(spark: SparkSession, index: Index, wanted: list[int], columns: str) -> DataFrame:
@@ -156,12 +232,12 @@ def _cells(spark: SparkSession, index: Index, wanted: list[int], columns: str) -
     return spark.read.schema(columns).option("basePath", f"{index.path}/cells").parquet(*paths)
 
 
-def search_index(index: Index, queries: DataFrame, k: int, id_type: T.DataType, probes: int | None = None, rerank: int = 200, query_id: str = "query_id", vec: str = "vec") -> DataFrame:
+def search_index(index: Index, queries: DataFrame, k: int, id_type: T.DataType, probes: int | None = None, rerank: int | None = None, query_id: str = "query_id", vec: str = "vec") -> DataFrame:
     """Approximate k nearest rows: (query_id, neighbour_id, distance, rank); distances are exact.
 
     Queries travel to the tasks in blocks; each block reads the cells it probes.
     """
-    spark, probes = queries.sparkSession, probes or index.probes
+    spark, probes, rerank = queries.sparkSession, probes or index.probes, rerank or index.rerank
     asked = _whole(queries.select(F.col(query_id).alias("query_id"), F.col(vec).cast("array<double>").alias("vec")))
     few = asked.limit(QUERY_BLOCK + 1).toArrow()
     schema = T.StructType([asked.schema["query_id"], T.StructField("neighbour_id", id_type), T.StructField("distance", T.DoubleType())])
@@ -183,28 +259,23 @@ def _search_block(spark, index: Index, block: pa.Table, k: int, id_type, probes:
     if not block.num_rows:
         return spark.createDataFrame([], schema)
     q = matrix(block.column("vec"))
-    near = np.argsort(distances(q, index.centres), axis=1, kind="stable")[:, :probes]
     present = _present(spark, index)
-    visitors: dict[int, np.ndarray] = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near) if int(c) in present}
+    visitors = {c: who for c, who in _visitors(_nearest_cells(q, index.centres, probes)).items() if c in present}
     shared = spark.sparkContext.broadcast((index.centres, index.books, q, visitors))
     names = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("id", id_type), T.StructField("cell", T.IntegerType()), T.StructField("about", T.DoubleType())])
     arrow_id = to_arrow_type(id_type)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, books, own, who = shared.value
-        parts, _, width = books.shape
         for batch in batches:
             cells = batch.column("cell").to_numpy(zero_copy_only=False)
-            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, parts)
+            codes = _unpacked(batch.column("codes"), len(books))
             for cell in np.unique(cells):
                 rows = np.flatnonzero(cells == cell)
                 asking = who.get(int(cell), ())
                 if not len(asking):
                     continue
-                rest = own[asking] - centres[cell]
-                about = np.zeros((len(asking), len(rows)))
-                for j in range(parts):
-                    about += (distances(rest[:, j * width : (j + 1) * width], books[j]) ** 2)[:, codes[rows, j]]
+                about = _about(own[asking] - centres[cell], books, codes[rows])
                 kept = min(rerank, len(rows))
                 best = np.argpartition(about, kept - 1, axis=1)[:, :kept]
                 yield pa.RecordBatch.from_arrays(

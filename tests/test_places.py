@@ -266,3 +266,26 @@ def test_join_of_two_tables_equals_brute_force(spark, metric):
         d = np.sqrt(((m - m[q]) ** 2).sum(1)) if metric == "l2" else 1 - unit @ unit[q]
         want = np.lexsort((np.arange(len(m)), d.round(12)))[:9].tolist()
         assert [got[q, k + 1] for k in range(9)] == want
+
+
+def test_index_measures_again_as_many_rows_as_the_recall_takes(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(4000, 16)))], "vec_id long, vec array<double>").repartition(4)
+    index = vector_index.build_index(table, str(tmp_path / "ix"), cells=20, parts=1)  # one code a vector: distances are very rough
+    queries = table.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    opened = vector_index.open_index(spark, str(tmp_path / "ix"))
+    assert (opened.probes, opened.rerank) == (index.probes, index.rerank) and index.rerank > 200
+    exact = {(r.query_id, r.neighbour_id) for r in search.knn(table, queries, 10).collect()}
+    found = {(r.query_id, r.neighbour_id) for r in vector_index.search_index(opened, queries, 10, table.schema["vec_id"].dataType).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_fitting_an_index_holds_a_block_of_distances():
+    import tracemalloc
+
+    rows = np.random.default_rng(6).normal(size=(20_000, 8))
+    tracemalloc.start()
+    centres = vector_index._fit(rows, 1500, 1)  # all distances at once: 240 MB
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(centres) == 1500 and peak < 8 * vector_index.BLOCK_BYTES
