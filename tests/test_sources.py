@@ -43,6 +43,14 @@ def test_listing_is_sorted_and_reads_no_content(spark, tmp_path):
     assert "content" not in listing.columns
 
 
+def test_many_small_files_share_few_tasks(spark, tmp_path):
+    for i in range(1000):
+        (tmp_path / f"{i}.npz").write_bytes(b"not a zip")
+    checked = chips.chip_qa(chips.stack_files(spark, str(tmp_path)))
+    assert checked.rdd.getNumPartitions() <= chips.TASKS_PER_CORE * spark.sparkContext.defaultParallelism < 1000 // 32
+    assert [tuple(r) for r in checked.groupBy("status").count().collect()] == [("unreadable", 1000)]
+
+
 def test_files_are_joined_in_order_of_their_names(spark, tmp_path):
     (tmp_path / "parts").mkdir()
     for name, content in (("b", b"two" * 5), ("a", b"one"), ("c", b"")):
