@@ -29,7 +29,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import as_texts, slices
+from rasterloom.llm.common import byte_lengths, slices
 from rasterloom.plans.scratch import scratch_path
 
 MAGIC = b"TKPLANE1"
@@ -47,19 +47,100 @@ END_ID = 0
 MOST_CHUNKS, MOST_BYTES = 350_000, 48 << 20  # of the chunks kept between slices: their number, and bytes of their texts and ids
 KEPT_CHUNK = 64  # longer chunks are not kept
 SLICE_TEXT = 2 << 20
-# A letter with a punctuation mark other than an apostrophe after it: byte-level vocabularies never join the two.
-_WORD_END = re.compile(r"(?<=[^\W\d_])(?=[!-&(-/:-@\[-`{-~])")
+
+# Classes of bytes. OTHER: control characters and white space outside ASCII, MARK: visible ASCII but the
+# apostrophe, VISIBLE: of characters that may be letters, digits or marks.
+OTHER, LETTER, DIGIT, SPACE, WHITE, MARK, APOSTROPHE, VISIBLE = range(8)
+
+
+def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each byte; whether a chunk ends between two classes; the code point that stands for a byte in a byte-level vocabulary."""
+    kinds = np.full(256, VISIBLE, np.uint8)
+    kinds[:32] = kinds[127] = OTHER
+    kinds[33:127], kinds[32], kinds[9:14], kinds[39] = MARK, SPACE, WHITE, APOSTROPHE
+    kinds[48:58] = DIGIT
+    kinds[65:91] = kinds[97:123] = LETTER
+    kinds[0xC3:0xC9] = LETTER  # these open U+00C0 to U+023F, letters but for two signs
+    ends = np.zeros((8, 8), bool)
+    visible = [LETTER, DIGIT, MARK, APOSTROPHE, VISIBLE]
+    ends[visible, SPACE] = ends[visible, WHITE] = ends[WHITE, visible] = True
+    ends[LETTER, [DIGIT, MARK, APOSTROPHE]] = ends[DIGIT, [LETTER, MARK, APOSTROPHE]] = ends[MARK, [LETTER, DIGIT]] = True
+    points = np.arange(256, dtype="<u4")
+    hidden = np.r_[0:33, 127:161, 173]
+    points[hidden] = 256 + np.arange(len(hidden))
+    return kinds, ends.ravel(), points
+
+
+_KINDS, _ENDS, _POINTS = _byte_tables()
+
+
+def _parts(texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, np.ndarray]:
+    """The bytes of all texts (string or binary, without nulls) as a buffer and as an array, and their offsets."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = texts.buffers()[2]
+    data = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if data is not None else pa.py_buffer(b"")
+    return data, np.frombuffer(data, np.uint8), offsets - offsets[0]
+
+
+def byte_kinds(data: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8 text."""
+    kinds = _KINDS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))
+    kinds[lead + 1] = LETTER
+    signs = lead[(data[lead] == 0xC3) & np.isin(data[lead + 1], (0x97, 0xB7))]
+    kinds[signs] = kinds[signs + 1] = VISIBLE
+    two = np.flatnonzero(data == 0xC2)
+    two = two[np.isin(data[two + 1], (0x85, 0xA0))]
+    kinds[two] = kinds[two + 1] = OTHER
+    three = np.flatnonzero((data >= 0xE1) & (data <= 0xE3))
+    if len(three):
+        point = (data[three].astype(np.int64) & 15) << 12 | (data[three + 1].astype(np.int64) & 63) << 6 | data[three + 2] & 63
+        blank = (point == 0x1680) | (point >= 0x2000) & (point <= 0x200A) | np.isin(point, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+        for k in range(3):
+            kinds[three[blank] + k] = OTHER
+    return kinds
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks the bytes where a chunk begins.
+
+    All marks are boundaries of the byte-level pre-tokenizer, whatever stands before
+    or behind, and no chunk but the last of a text ends in white space that would
+    be split in another way at the end of a text. Where a character's class is
+    unknown, there is no mark.
+    """
+    kinds = byte_kinds(data)
+    starts = np.empty(len(data), bool)
+    starts[1:] = _ENDS[(kinds[:-1] << 3) | kinds[1:]]
+    first = offsets[:-1][offsets[:-1] < len(data)]
+    head = np.zeros(len(data) + 2, bool)
+    head[first] = True
+    white = kinds == SPACE
+    white |= kinds == WHITE
+    # Of white space in front of a visible character, the last one stands apart from the rest.
+    last = np.flatnonzero(white[1:] & white[:-1]) + 1
+    last = last[last + 1 < len(data)]
+    last = last[~white[last + 1] & (kinds[last + 1] != OTHER) & ~head[last] & ~head[last + 1]]
+    starts[last] = True
+    # A single one may belong to white space of another class before it.
+    odd = np.flatnonzero(kinds[:-1] == OTHER) + 1
+    odd = odd[(kinds[odd] == WHITE) & (odd + 1 < len(data))]
+    starts[odd[~white[odd + 1]] + 1] = False
+    starts[first] = True
+    return starts
 
 
 class ChunkEncoder:
-    """Encodes texts with the tokenizers library, each distinct chunk between spaces once.
-
-    A byte-level vocabulary never joins a visible character with a space after
-    it, so a text can be cut before each such space and its chunks encoded apart.
-    A new chunk is cut once more where its word ends, as many chunks share a word and
-    differ in the marks after it. New words are encoded many at a time, joined by
-    spaces: the token that begins with the space shows where each word starts. When
-    the memory of chunks is full, chunks met only once leave it.
+    """Encodes texts with the tokenizers library, each distinct chunk once.
+
+    The byte-level pre-tokenizer cuts a text at places that two or three characters
+    show, and the model encodes what lies between on its own, so a text can be cut at
+    such places and its chunks encoded apart. Chunks are found, looked up and put
+    together for a whole slice of texts at a time. A new chunk of one kind of
+    characters goes to the library's model, any other one through the whole library,
+    as do whole texts that hold an added token, and all texts if the vocabulary has
+    another pre-tokenizer. When the memory of chunks is full, chunks met only once
+    leave it.
     """
 
     def __init__(self, path: str) -> None:
@@ -69,138 +150,112 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
-        self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
-        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        about = json.loads(self.tokenizer.to_str())
+        cuts = about["pre_tokenizer"] or {}
+        self.special = [x["content"] for x in about["added_tokens"]]
+        self.cuts = (
+            (cuts.get("type"), cuts.get("add_prefix_space"), cuts.get("use_regex", True), about["model"]["type"]) == ("ByteLevel", False, True, "BPE")
+            and about["model"].get("dropout") is None
+            and not (about["normalizer"] or about["truncation"] or about["padding"])
+        )
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.known = pa.array([], pa.binary())
         self.uses = np.zeros(0, np.int64)
-        self.blank = np.zeros(0, bool)  # empty, or white space at the end
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
-        self.held = 0  # bytes of the keys
+
+    @property
+    def held(self) -> int:
+        return self.known.nbytes + self.flat.nbytes
 
     def shrink(self) -> None:
         keep = self.uses > 1
-        if self.held + self.flat.nbytes > MOST_BYTES:
-            keep &= np.fromiter(map(len, self.codes), np.int64, len(self.codes)) <= KEPT_CHUNK
+        if self.held > MOST_BYTES:
+            keep &= byte_lengths(self.known) <= KEPT_CHUNK
         old = np.flatnonzero(keep)
-        place = (np.cumsum(keep) - 1).tolist()
-        self.codes = {k: place[c] for k, c in self.codes.items() if keep[c]}
+        self.known = self.known.filter(pa.array(keep))
         self.flat, ends = self._gather(old)
         self.lengths = self.lengths[old]
-        self.starts, self.uses, self.blank = ends - self.lengths, self.uses[old] // 2, self.blank[old]
-        self.held = sum(map(len, self.codes))
-        if self.held + self.flat.nbytes > MOST_BYTES // 2:
+        self.starts, self.uses = ends - self.lengths, self.uses[old] // 2
+        if self.held > MOST_BYTES // 2:
             self.clear()
 
-    def _append(self, keys: list[str], flat: list[np.ndarray], lengths: np.ndarray, blank: list[bool]) -> None:
-        """Store chunks; ``blank`` is about the first of them, the rest are not blank."""
-        self.codes.update(zip(keys, range(len(self.codes), len(self.codes) + len(keys)), strict=True))
-        self.held += sum(map(len, keys))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
-        self.blank = np.concatenate([self.blank, np.array(blank, dtype=bool), np.zeros(len(keys) - len(blank), bool)])
-        self.flat = np.concatenate([self.flat, *flat])
-
     def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the coded chunks one after the other, and where each chunk's ids end."""
         lengths = self.lengths[codes]
         ends = np.cumsum(lengths)
-        return self.flat[np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))], ends
-
-    def _learn_whole(self, keys: list[str]) -> None:
-        alone = [k for k in keys if k[:1] == " " or k[-1:].isspace() or not k]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([k[1:] if k[:1] == " " else " " + k for k in alone], add_special_tokens=False)]
-        lengths = [np.fromiter(map(len, found), np.int64, len(found))]
-        flat = [np.fromiter((i for x in found for i in x), np.uint32)]
-        apart = set(alone)
-        joined = [k for k in keys if k not in apart]
-        for at in range(0, len(joined), 2048):
-            own = joined[at : at + 2048]
-            (e,) = self.tokenizer.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)
-            ids = np.array(e.ids, dtype=np.uint32)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(own):
-                raise ValueError("this vocabulary does not mark the starts of words")
-            flat.append(ids)
-            lengths.append(np.diff(starts, append=len(ids)))
-        self._append(alone + joined, flat, np.concatenate(lengths), [not k or k[-1].isspace() for k in alone])
-
-    def learn(self, keys: list[str]) -> None:
-        """Add chunks that are not known yet."""
-        whole, cut, heads, tails = [], [], [], []
-        search = _WORD_END.search
-        for k in keys:
-            whole_only = k[:1] == " " or k[-1:].isspace() or any(x in k for x in self.special)
-            end = None if whole_only else search(k)
-            if end is None:
-                whole.append(k)
-            else:
-                cut.append(k)
-                heads.append(k[: end.start()])
-                tails.append(" " + k[end.start() :])
-        self._learn_whole([k for k in dict.fromkeys([*whole, *heads, *tails]) if k not in self.codes])
-        if cut:
-            pairs = np.empty(2 * len(cut), np.int64)
-            pairs[::2] = np.fromiter(map(self.codes.get, heads), np.int64, len(cut))
-            pairs[1::2] = np.fromiter(map(self.codes.get, tails), np.int64, len(cut))
-            ids, _ = self._gather(pairs)
-            self._append(cut, [ids], self.lengths[pairs].reshape(-1, 2).sum(axis=1), [])
-
-    @staticmethod
-    def merged(text: str) -> list[str]:
-        """Chunks of a text with spaces after white space, which must not be cut there."""
-        parts = text.split(" ")
-        out, held = [], parts[0]
-        for part in parts[1:]:
-            if held and not held[-1].isspace():
-                out.append(" " + held)
-                held = " " + part
-            else:
-                held += " " + part
-        return [*out, " " + held]
-
-    def coded(self, keys: list[str]) -> np.ndarray:
-        codes = np.fromiter(map(self.codes.get, keys, repeat(-1)), np.int64, len(keys))
-        missing = np.flatnonzero(codes < 0)
-        if len(missing):
-            unknown = [keys[i] for i in missing]
-            self.learn(list(dict.fromkeys(unknown)))
-            codes[missing] = np.fromiter(map(self.codes.get, unknown), np.int64, len(unknown))
+        places = np.repeat(self.starts[codes] - (ends - lengths), lengths)
+        places += np.arange(len(places))
+        return self.flat[places], ends
+
+    def chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All chunks of the texts, and the number of chunks before each text and at the end."""
+        import pyarrow.compute as pc
+
+        buffer, data, offsets = _parts(texts)
+        if not len(data):
+            return pa.array([], pa.binary()), np.zeros(len(texts) + 1, np.int64)
+        if self.cuts:
+            starts = chunk_starts(data, offsets)
+            for special in self.special:
+                for row in np.flatnonzero(np.asarray(pc.match_substring(texts, special))):
+                    starts[offsets[row] + 1 : offsets[row + 1]] = False
+        else:
+            starts = np.zeros(len(data), bool)
+            starts[offsets[:-1][offsets[:-1] < len(data)]] = True
+        places = np.flatnonzero(starts)
+        bounds = pa.py_buffer(np.append(places, len(data)).astype(np.int32))
+        return pa.Array.from_buffers(pa.binary(), len(places), [None, bounds, buffer]), np.searchsorted(places, offsets)
+
+    def learn(self, chunks: pa.Array) -> np.ndarray:
+        """Add distinct chunks that are not known yet; their codes."""
+        import pyarrow.compute as pc
+
+        _, data, offsets = _parts(chunks)
+        kinds = byte_kinds(data)
+        begin, last = offsets[:-1] + (data[offsets[:-1]] == 32), offsets[1:] - 1
+        changes = np.concatenate([[0], np.cumsum(kinds[1:] != kinds[:-1])])
+        plain = begin <= last
+        begin = np.minimum(begin, last)
+        plain &= np.isin(kinds[begin], (LETTER, DIGIT, MARK)) & (changes[begin] == changes[last]) & self.cuts
+        for special in self.special:
+            plain &= ~np.asarray(pc.match_substring(chunks, special))
+        own, rest = chunks.filter(pa.array(plain)), chunks.filter(pa.array(~plain))
+        _, data, offsets = _parts(own)
+        letters, places = _POINTS[data].tobytes().decode("utf-32-le"), offsets.tolist()
+        tokenize = self.model.tokenize
+        found = [[t.id for t in tokenize(letters[a:z])] for a, z in pairwise(places)]
+        found += [e.ids for e in self.tokenizer.encode_batch_fast(rest.cast(pa.string()).to_pylist(), add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        codes = np.empty(len(chunks), np.int64)
+        codes[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = len(self.known) + np.arange(len(chunks))
+        self.known = pa.concat_arrays([self.known, own, rest])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.uses = np.concatenate([self.uses, np.zeros(len(found), np.int64)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
         return codes
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the number of ids of each text.
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and the number of ids of each text (null: none)."""
+        import pyarrow.compute as pc
 
-        A word's key is the word itself, for the chunk of a space and the word; a
-        key that begins with a space stands for the rest of it.
-        """
-        if len(self.codes) > MOST_CHUNKS or self.held + self.flat.nbytes > MOST_BYTES:
+        if len(self.known) > MOST_CHUNKS or self.held > MOST_BYTES:
             self.shrink()
-        lists = [t.split(" ") for t in texts]
-        for parts in lists:
-            parts[0] = " " + parts[0]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        codes = self.coded([k for x in lists for k in x])
-        last = np.cumsum(counts) - 1
-        blank = self.blank[codes]
-        blank[last] = False
-        if blank.any():
-            row = np.repeat(np.arange(len(texts)), counts)
-            for k in np.unique(row[blank]):
-                lists[k] = self.merged(texts[k])
-            counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            codes = self.coded([k for x in lists for k in x])
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())).fill_null("")
+        chunks, rows = self.chunks(texts)
+        codes = np.asarray(pc.index_in(chunks, value_set=self.known).fill_null(-1)).astype(np.int64)
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            unknown = chunks.filter(pa.array(codes < 0)).dictionary_encode()
+            codes[new] = self.learn(unknown.dictionary)[np.asarray(unknown.indices)]
         self.uses += np.bincount(codes, minlength=len(self.uses))
         ids, ends = self._gather(codes)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(bounds)
+        return ids, np.diff(np.concatenate([[0], ends])[rows])
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -356,7 +411,7 @@ def write_token_files(
                 if writer is None:
                     encoder = encoder_of(tokenizer)
                     writer = Writer(uri, f"{context.taskAttemptId()}.tmp", planes, block)
-                ids, counts = encoder.encode(as_texts(piece.column("text")))
+                ids, counts = encoder.encode(piece.column("text"))
                 writer.add(piece.column("doc_id"), counts + 1, with_ends(ids, counts, end_id))
                 n += piece.num_rows
         if writer is not None:

@@ -106,6 +106,48 @@ def test_chunked_encoding_equals_the_library(small):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[::-1]
 
 
+def test_random_characters_encode_like_the_library():
+    """Every kind of letter, digit, mark and white space beside every other one, cut or not."""
+    import random
+
+    draw = random.Random(3)
+    kinds = [*"aZst'lvm  \n\t\r\x0b\x0c.,-&<|>09é×÷Àÿȿɀяр梦😀\u0301\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b—\x1c\x1f\x00\x7f½²٣ª", "'s", "'ll", " '", "  ", "\n\n", "<|endoftext|>"]
+    encoder = tokenfile.ChunkEncoder(BPE)
+    for _ in range(20):
+        some = draw.sample(kinds, draw.randint(3, len(kinds)))
+        texts = ["".join(draw.choices(some, k=draw.randint(0, 30))) for _ in range(500)]
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids, counts = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_words_are_learnt_apart_from_marks_and_lines():
+    """Each word goes through the library once, not once for every mark, line and word beside it."""
+    words = [f"{a}{b}o" for a in ["ba", "ke", "ni", "zü", "sç"] for b in ["ra", "te", "li", "mo", "vu", "xy"]]
+    texts = [f"{a}{mark}\n{b}{mark} {a}" for a in words for b in words for mark in [".", "!", "&&&"]]
+    encoder = tokenfile.ChunkEncoder(BPE)
+    ids, counts = encoder.encode(texts)
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert len(encoder.lengths) <= 2 * len(words) + 4
+
+
+@pytest.mark.parametrize("change", [{"add_prefix_space": True}, {"use_regex": False}])
+def test_other_pre_tokenizers(tmp_path, change):
+    """Texts are cut only for the pre-tokenizer whose cuts are known."""
+    import json
+
+    with open(BPE, encoding="utf-8") as f:
+        about = json.load(f)
+    about["pre_tokenizer"] |= change
+    (tmp_path / "other.json").write_text(json.dumps(about), encoding="utf-8")
+    encoder = tokenfile.ChunkEncoder(str(tmp_path / "other.json"))
+    texts = ["two words.\nA line", "", "x  y", "don't"]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, counts = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 @pytest.mark.parametrize("kind", ["bit", "byte"])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
 def test_planes_round_trip(kind, n):
