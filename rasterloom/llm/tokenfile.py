@@ -38,13 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import byte_lengths, slices
+from rasterloom.llm.common import byte_lengths, slices, small_batches
 from rasterloom.plans.scratch import scratch_path
 
 MAGIC = b"TKPLANE1"
 BLOCK_IDS = 1 << 16
 END_ID = 0
-MOST_CHUNKS, MOST_BYTES = 350_000, 48 << 20  # of the chunks kept between slices: their number, and bytes of their texts and ids
+MOST_CHUNKS, MOST_BYTES = 200_000, 48 << 20  # of the chunks kept between slices: their number, and bytes of their texts and ids
 KEPT_CHUNK = 64  # longer chunks are not kept
 SLICE_TEXT = 2 << 20
 
@@ -148,17 +148,14 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        about = json.loads(self.tokenizer.to_str())
-        cuts = about["pre_tokenizer"] or {}
-        self.special = [x["content"] for x in about["added_tokens"]]
-        self.cuts = (
-            (cuts.get("type"), cuts.get("add_prefix_space"), cuts.get("use_regex", True), about["model"]["type"]) == ("ByteLevel", False, True, "BPE")
-            and about["model"].get("dropout") is None
-            and not (about["normalizer"] or about["truncation"] or about["padding"])
-        )
+        self.model, cuts = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts = isinstance(self.model, BPE) and self.model.dropout is None and isinstance(cuts, ByteLevel) and cuts.use_regex and not cuts.add_prefix_space
+        self.cuts &= self.tokenizer.normalizer is None and self.tokenizer.truncation is None and self.tokenizer.padding is None
         self.clear()
 
     def clear(self) -> None:
@@ -418,7 +415,7 @@ def write_token_files(
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "docs": pa.array([n], pa.int64()), "ids": pa.array([writer.close()], pa.int64())})
 
     keys = ["doc_id", "tie", "salt"]
-    narrow = docs.select(
+    narrow = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("salt")
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
