@@ -51,6 +51,36 @@ def test_many_small_files_share_few_tasks(spark, tmp_path):
     assert [tuple(r) for r in checked.groupBy("status").count().collect()] == [("unreadable", 1000)]
 
 
+@pytest.mark.parametrize("most", [0, 1, 256])
+def test_tasks_list_what_spark_lists(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(chips, "FOLDERS", most)
+    root = tmp_path / "a folder%20"
+    for name in ("x/y/1.npz", "x/a b#%41.npz", "x/2.npy", "k=1/_k=2/3.npz", "_no/4.npz", ".no/5.npz", "x/_6.npz", "x/.7.npz", "x/8.npz._COPYING_", "\u00e9/9.npz", "0.npz"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(name.encode() * 3)
+    (root / "x" / "empty.npz").write_bytes(b"")
+    (root / "none").mkdir()
+    (root / "x" / "link.npz").symlink_to(root / "0.npz")
+    (root / "x" / "gone.npz").symlink_to(root / "nowhere")
+    want = sorted(tuple(r) for r in chips._spark_files(spark, str(root), "*.npz").collect())
+    assert len(want) == 6
+    for given in (str(root), f"file://{root}/", f"file:{root}"):
+        got = chips.stack_files(spark, given)
+        assert sorted(tuple(r) for r in got.collect()) == want
+        assert "binaryFile" not in got._jdf.queryExecution().toString()  # whose listing the driver holds
+    assert [r["path"] for r in chips.stack_listing(spark, str(root)).collect()] == sorted(r[0] for r in want)
+    one = chips.stack_files(spark, f"{root}/x/*/1.npz".replace("%", "?"))  # patterns are left to Spark
+    assert [r["length"] for r in one.collect()] == [27]
+    assert chips.stack_files(spark, str(root / "none")).collect() == []
+
+
+def test_checked_files_are_read_once(spark, tmp_path):
+    (tmp_path / "1.npz").write_bytes(b"not a zip")
+    valid, quarantine = chips.split_by_qa(chips.chip_qa(chips.stack_files(spark, str(tmp_path))))
+    (tmp_path / "1.npz").unlink()
+    assert (valid.count(), quarantine.count()) == (0, 1)
+
+
 def test_files_are_joined_in_order_of_their_names(spark, tmp_path):
     (tmp_path / "parts").mkdir()
     for name, content in (("b", b"two" * 5), ("a", b"one"), ("c", b"")):
